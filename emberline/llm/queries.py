@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from emberline.llm import cascade, ledger, mixing, tokencount, winnow
+from emberline.llm import cascade, htmltext, langid, ledger, mixing, tokencount, warc, winnow
 from emberline.llm.common import table
 
 URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
@@ -19,6 +19,10 @@ def op4_token_counts(spark, sf_dir):
     return tokencount.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op5_warc(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op6_decontamination(spark, sf_dir):
     rows = winnow.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return rows.select(
@@ -36,6 +40,16 @@ def op7_quality_rules(spark, sf_dir):
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", ledger.fails("base").alias("base_failed"), (~ledger.fails("v1")).alias("kept"), "fail_bits")
 
 
+def op8_html_text(spark, sf_dir):
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
+def op9_language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", langid.remainder("doc_id", 5) == 0)
+    model = langid.train(docs.filter(~F.col("held_out")))
+    return langid.predict(docs, model, keep=("held_out",)).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op10_url_filter(spark, sf_dir):
     return cascade.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -85,6 +99,13 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM d LEFT JOIN wh USING (doc_id) LEFT JOIN it USING (doc_id)"""
 
 
+OP5 = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+w AS (SELECT *, max(page_id) OVER (PARTITION BY d) AS first FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest, CASE WHEN n >= 1000 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 1000 AND page_id <> first THEN first END AS refers_to FROM w"""
+
+
 def _op7() -> str:
     rules = " + ".join(f"(CASE WHEN {fails} THEN {1 << bit} ELSE 0 END)" for bit, fails in ledger.RULES.values())
     base, v1 = ledger.mask_of("base"), ledger.mask_of("v1")
@@ -117,4 +138,4 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM f W
 
 
 def oracle_sql():
-    return {"op3_mixing": OP3, "op6_decontamination": OP6, "op7_quality_rules": _op7(), "op10_url_filter": _op10()}
+    return {"op3_mixing": OP3, "op5_warc": OP5, "op6_decontamination": OP6, "op7_quality_rules": _op7(), "op10_url_filter": _op10()}
