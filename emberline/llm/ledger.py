@@ -27,11 +27,11 @@ RULES: dict[str, tuple[int, str]] = {
     "short": (0, "n_words < 50"),
     "repeats": (1, "100 * n_repeat_words > 50 * n_words"),
     "symbols": (2, "10 * n_symbols > n_words"),
-    "dup_lines": (3, "100 * n_dup_lines > 30 * n_lines"),
+    "dup_lines": (3, "n_dup_lines > 3 and 100 * n_dup_lines > 30 * n_lines"),
     "word_length": (4, "n_words > 0 and (word_chars < 2 * n_words or word_chars > 15 * n_words)"),
     "upper": (5, "2 * n_upper > word_chars"),
     "shouts": (6, "10 * n_shouts > n_words"),
-    "abuse": (7, "n_abuse >= 2"),
+    "abuse": (7, "n_abuse >= 2 and 100 * n_abuse > n_words"),
 }
 
 #: Version: the rules whose failure rejects a document.
