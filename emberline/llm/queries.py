@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from emberline.llm import cascade, htmltext, langid, ledger, minhash, mixing, tokencount, warc, winnow
+from emberline.llm import cascade, hmm, htmltext, langid, ledger, minhash, mixing, tokencount, warc, winnow
 from emberline.llm.common import table
 
 URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
@@ -14,6 +14,10 @@ def op1_near_duplicates(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_lm_scores(spark, sf_dir):
+    return hmm.score(table(spark, sf_dir, "documents"))
+
+
 def op3_mixing(spark, sf_dir):
     rows = mixing.assign(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "size", "source_size", "target", "taken")
