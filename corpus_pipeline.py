@@ -6,7 +6,7 @@ documents; the last returns the mix in training order.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from emberline.llm import langid, ledger, minhash, mixing, winnow
@@ -34,7 +34,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near-duplicates, the one with the least doc_id, and one row of each document."""
     gone = minhash.near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(*docs.columns)
+    rows = docs.join(gone, "doc_id", "left_anti")
+    # the join leaves rows sorted by doc_id, so this adds no sort
+    row = F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))
+    return rows.withColumn("__row", row).filter((F.col("__row") == 1) | F.col("doc_id").isNull()).select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
