@@ -156,10 +156,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     groups = sketch.filter("n > 0 and id is not null").groupBy(*alike).agg(F.min("id").alias("rep"))
     firsts = sketch.join(groups.withColumnRenamed("rep", "id"), ["id", *alike]).select("id", "n", "bands")
 
+    tagged = cut(sketch.drop("bands").join(groups, alike, "left").select("id", "n", "rep"))
+
     held = firsts.select("id", F.explode("bands").alias("bucket"))
     leaders = held.groupBy("bucket").agg(F.min("id").alias("leader"), F.count("*").alias("c")).filter("c > 1").drop("c")
     ties = held.join(leaders, "bucket").filter("id <> leader").select(F.col("id").alias("u"), F.col("leader").alias("v")).distinct()
-    clusters = cut(connected_components(ties).withColumnRenamed("component", "cluster").join(firsts.groupBy("id").agg(F.max("n").alias("n")), "id"))
+    clusters = cut(connected_components(ties).withColumnRenamed("component", "cluster").join(tagged.filter("id = rep").groupBy("id").agg(F.max("n").alias("n")), "id"))
 
     # blocks: small clusters share one, large ones are split and their blocks paired
     sizes = clusters.groupBy("cluster").agg((F.sum("n") * 8).alias("bytes"))
@@ -183,13 +185,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
             rows = list(members.values())
             s = np.frombuffer(b"".join(sigs[r].as_py() for r in rows), np.uint8).reshape(len(rows), -1)
             sets_ = [np.frombuffer(raw[r].as_py(), np.uint64) for r in rows]
+            # stars around the least id of what is connected here
+            least: dict = {}
             for a, b in confirmed_links(s, sets_, side[rows], percent):
-                us.append(ids[rows[a]]), vs.append(ids[rows[b]])
+                joined = least.get(a, [a]) + least.get(b, [b])
+                for x in joined:
+                    least[x] = joined
+            for joined in {id(x): x for x in least.values()}.values():
+                named = sorted(ids[rows[x]] for x in joined)
+                us.extend(named[1:]), vs.extend(named[:1] * (len(named) - 1))
         id_type = table.schema.field("id").type
         return pa.table([pa.array(us, id_type), pa.array(vs, id_type)], names=["u", "v"])
 
     links = dealt.join(sets, "id").groupBy("unit", "parts", "i", "j").applyInArrow(link, f"u {kind}, v {kind}")
     found = connected_components(links)
-    out = sketch.drop("bands").join(groups, alike, "left").join(found.withColumnRenamed("id", "rep"), "rep", "left")
+    out = tagged.join(found.withColumnRenamed("id", "rep"), "rep", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id"))
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("id") == component).alias("kept")).withColumn("kept", F.coalesce("kept", F.lit(True)))
