@@ -21,7 +21,7 @@ INCIDENTS = f"""SELECT o_orderkey AS incident_uuid, o_custkey AS owner, o_orderd
   CASE o_orderkey % 5 WHEN 0 THEN 'verified' WHEN 1 THEN 'needs_human_review' WHEN 2 THEN 'corroborated' WHEN 3 THEN 'candidate_unverified' ELSE 'dismissed' END AS status,
   {_CENTRE.format(u="o_custkey", e="o_orderkey")}, o_orderkey * 7 % 95 + 5 AS confidence, o_orderkey % 3 AS severity, o_totalprice FROM orders"""
 
-DECISIONS = """SELECT l_orderkey AS incident, l_shipdate AS at, concat_ws('|', strftime(l_shipdate, '%Y-%m-%d'), lpad(cast(l_linenumber AS varchar), 2, '0'), lpad(cast(l_partkey AS varchar), 9, '0'), lpad(cast(l_suppkey AS varchar), 9, '0')) AS seq,
+DECISIONS = """SELECT l_orderkey AS incident, l_shipdate AS ruled_at, concat_ws('|', strftime(l_shipdate, '%Y-%m-%d'), lpad(cast(l_linenumber AS varchar), 2, '0'), lpad(cast(l_partkey AS varchar), 9, '0'), lpad(cast(l_suppkey AS varchar), 9, '0')) AS seq,
   CASE l_returnflag WHEN 'R' THEN 'dismissed' WHEN 'A' THEN 'verified' ELSE 'reviewing' END AS ruling, l_linenumber AS line FROM lineitem"""
 
 PLACES = """SELECT n_nationkey AS place_id, n_name AS name, (400 + n_nationkey * 40) / 100 AS lat, (300 + n_nationkey * 7 % 25 * 45) / 100 AS lng, r_name AS state,
