@@ -233,7 +233,7 @@ def terrain(*parts: Column) -> Column:
 
 def state_of(display: Column, states: list[str]) -> Column:
     """The first comma part of an address that is a state."""
-    return F.get(F.filter(F.transform(F.split(F.coalesce(display, F.lit("")), ","), F.trim), lambda p: p.isin(*states)), 0)
+    return F.get(F.filter(F.transform(F.split(F.coalesce(display, F.lit("")), ","), lambda p: F.trim(p)), lambda p: p.isin(*states)), 0)
 
 
 def time_of_day(text: Column) -> Column:
@@ -273,18 +273,18 @@ class Keywords:
 
 def word_set(text: Column) -> Column:
     """Words of a text, for terms of one word."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9_]+"), 0))
+    return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}_]+"), 0))
 
 
 def term_hits(text: Column, words: Column, terms: list[str]) -> Column:
     """How many entries of terms the text has; a term listed twice counts twice."""
     terms = [t.lower().strip() for t in terms if t and t.strip()]
-    single = [t for t in terms if t.isascii() and t.replace("_", "a").isalnum()]
+    single = [t for t in terms if t.replace("_", "a").isalnum()]
     count = F.size(F.filter(F.array(*map(F.lit, single)), lambda t: F.array_contains(words, t))) if single else F.lit(0)
     low = F.lower(F.coalesce(text, F.lit("")))
     quote = lambda t: "".join(c if c.isalnum() or c == " " else "\\" + c for c in t)
     for phrase in (t for t in terms if t not in single):
-        count = count + low.rlike(rf"(?<!\w){quote(phrase)}(?!\w)").cast("int")
+        count = count + low.rlike(rf"(?<![\p{{L}}\p{{N}}_]){quote(phrase)}(?![\p{{L}}\p{{N}}_])").cast("int")
     return count
 
 
