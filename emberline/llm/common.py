@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: ASCII white space, as the contracts define words: [^\x20\x09-\x0D]+
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 #: Bytes of text worked on at once in a Python worker; only bounds memory, never what is read.
-PIECE = 1 << 22
+PIECE = 1 << 20
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
