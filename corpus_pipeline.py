@@ -13,22 +13,24 @@ from emberline.llm import langid, ledger, minhash, mixing, winnow
 from emberline.llm.common import cut, table
 
 #: Least score of a predicted language for a document to stay.
-LANGUAGE_SCORE = 0.5
+LANGUAGE_SCORE = 0.4
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents that pass the current policy; those that it rejects go. Repeated rows are judged each."""
-    columns = docs.columns
-    return ledger.measure(docs).filter(~ledger.fails("v1")).select(*columns)
+    rows = docs.select("text", F.struct("*").alias("__doc"))  # whatever docs' columns are called, they come back as they were
+    return ledger.measure(rows).filter(~ledger.fails("v1")).select("__doc.*")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents whose language is told with confidence; its prediction replaces lang. Learns from lang, all rows."""
     model = langid.train(docs)
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    rows = langid.predict(docs, model, keep=("text", *others))
+    names = docs.columns
+    safe = {c: f"c{i}_{c}" for i, c in enumerate(names)}  # no name of docs meets one of the prediction
+    others = [safe[c] for c in names if c != "doc_id"]
+    rows = langid.predict(docs.toDF(*safe.values()), model, key=safe["doc_id"], text=safe["text"], keep=tuple(others))
     sure = (F.col("lang_pred") != "und") & (F.col("score") >= LANGUAGE_SCORE)
-    return rows.filter(sure).withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    return rows.filter(sure).withColumn(safe["lang"], F.col("lang_pred")).select(*(F.col(safe[c]).alias(c) for c in names))
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

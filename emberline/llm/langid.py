@@ -122,21 +122,26 @@ def predict(docs: DataFrame, model: dict[str, np.ndarray], key: str = "doc_id",
         for batch in batches:
             for part in slices(batch, text):
                 buckets, starts = trigrams(decoded(part.column(text)))
-                langs, scores, shares = [], [], []
+                langs, scores, sets, shares = [], [], [], []
                 for i in range(part.num_rows):
                     own = buckets[starts[i] : starts[i + 1]]
                     if not len(own) or not names:
-                        langs.append("und"), scores.append(0.0), shares.append([])
+                        langs.append("und"), scores.append(0.0), sets.append([]), shares.append([])
                         continue
                     c = np.bincount(own)
                     at = np.flatnonzero(c)
                     share, score = infer(p_all[at], c[at].astype(np.float64))
                     langs.append(names[int(share.argmax())]), scores.append(score)
-                    shares.append([{"lang": names[j], "share": float(share[j])} for j in np.argsort(-share, kind="stable") if share[j] > 0])
+                    order = [j for j in np.argsort(-share, kind="stable") if share[j] > 0]
+                    sets.append([names[j] for j in order]), shares.append([float(share[j]) for j in order])
                 kept = [part.column(x) for x in (key, *keep)]
-                struct = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(shares, struct)], names=[key, *keep, "lang_pred", "score", "langs"])
+                made = [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(sets, pa.list_(pa.string())), pa.array(shares, pa.list_(pa.float64()))]
+                yield pa.RecordBatch.from_arrays([*kept, *made], names=[*out, "lang_pred", "score", "set", "shares"])
 
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in (key, *keep))
+    # names of docs must not meet those of the prediction on the way
+    out = [f"k{i}" for i in range(1 + len(keep))]
+    kinds = ", ".join(f"{o} {docs.schema[c].dataType.simpleString()}" for o, c in zip(out, (key, *keep), strict=True))
     columns = list(dict.fromkeys([key, *keep, text]))
-    return docs.select(*columns).mapInArrow(run, f"{kinds}, lang_pred string, score double, langs array<struct<lang:string,share:double>>")
+    rows = docs.select(*columns).mapInArrow(run, f"{kinds}, lang_pred string, score double, `set` array<string>, shares array<double>")
+    langs = F.arrays_zip(F.col("set").alias("lang"), F.col("shares").alias("share"))
+    return rows.select(*(F.col(o).alias(c) for o, c in zip(out, (key, *keep), strict=True)), "lang_pred", "score", langs.alias("langs"))

@@ -67,7 +67,7 @@ def assign(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     placed = placed.withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("start"))).cast("long"))
 
     def position(copy: Column) -> Column:
-        demand, ramp = (copy * F.col("source_size") + F.col("start")) / F.col("target"), 1 - F.col("slope")
+        demand, ramp = F.try_divide(copy * F.col("source_size") + F.col("start"), F.col("target")), 1 - F.col("slope")
         return 2 * demand / (ramp + F.sqrt(ramp * ramp + 4 * F.col("slope") * demand))
 
     rounds = F.col("rounds").cast("int")
