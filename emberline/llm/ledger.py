@@ -60,7 +60,7 @@ def repeated_words(words: Column, width: int = 3) -> Column:
             same = lambda a, b: F.coalesce(F.call_function("shiftright", a.bitwiseXOR(b), bits) == 0, F.lit(False))
             twice = F.filter(s, lambda k, i: same(k, F.get(s, i - 1)) | same(k, F.get(s, i + 1)))
             mask = F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1
-            places = F.array_sort(F.transform(twice, lambda k: k.bitwiseAND(mask)))
+            places = F.sort_array(F.transform(twice, lambda k: k.bitwiseAND(mask)))
             covered = let(places, lambda p: F.aggregate(F.transform(p, lambda x, i: F.least(F.lit(width).cast("long"), F.coalesce(F.get(p, i + 1) - x, F.lit(width).cast("long")))), F.lit(0).cast("long"), lambda a, b: a + b))
             return F.when(F.size(twice) == 0, F.lit(0).cast("long")).otherwise(covered)
 

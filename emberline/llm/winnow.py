@@ -111,7 +111,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
         joins = lambda a, x: F.when((F.size(a) > 0) & (F.element_at(a, -1)["e"] >= x["s"]), F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(F.element_at(a, -1)["s"].alias("s"), F.greatest(F.element_at(a, -1)["e"], x["e"]).alias("e"))))).otherwise(F.concat(a, F.array(x)))
         return F.when(F.size(r) == 0, empty).otherwise(F.aggregate(r, empty, joins))
 
-    per = per.withColumn("spans", merged(F.array_sort(F.array_distinct(F.flatten("ranges")))))
+    per = per.withColumn("spans", merged(F.sort_array(F.array_distinct(F.flatten("ranges")))))
     per = per.withColumn("n_hit", F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + (x["e"] - x["s"]).cast("long")))
     per = per.withColumn("row_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return per.select(F.col("key").alias(key), "row", "n_words", "n_hit", "spans", F.array_sort("items").alias("items"))
+    return per.select(F.col("key").alias(key), "row", "n_words", "n_hit", "spans", F.sort_array("items").alias("items"))
