@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -96,6 +97,11 @@ _ACCENTED, _PLAIN = "àáâäāèéêëēìíîïīòóôöōùúûüūñç", "a
 _ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&amp;": "&"}
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value evaluated once however often body, or a lambda in it, uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def html_clean(text: Column) -> Column:
     """Tags to spaces, the common entities decoded, white space collapsed, trimmed."""
     bare = F.regexp_replace(F.coalesce(text, F.lit("")), "<[^>]+>", " ")
@@ -129,7 +135,7 @@ def alike(a: Column, b: Column, tenths: int = 6) -> Column:
 
 
 def content_fingerprint(toks: Column) -> Column:
-    return F.when(F.size(toks) > 0, F.concat(F.lit("fp:"), F.substring(F.sha1(F.array_join(F.array_sort(toks), " ").cast("binary")), 1, 16)))
+    return F.when(F.size(toks) > 0, F.concat(F.lit("fp:"), F.substring(F.sha1(F.array_join(F.sort_array(toks), " ").cast("binary")), 1, 16)))
 
 
 def raw_hash(source: Column, title: Column, text: Column) -> Column:
@@ -293,26 +299,32 @@ def detect_type(text: Column, kw: Keywords) -> Column:
 
     A type needs a strong term, and its gate if it has one. Any suppressing context vetoes unless an overriding term is there.
     """
-    words = word_set(text)
-    found = []
-    for order, (name, by_lang) in enumerate(kw.types.items()):
-        terms = [t for group in by_lang.values() for t in group]
-        strong = term_hits(text, words, [t for t in terms if t.lower().strip() not in kw.weak])
-        gate = F.lower(F.coalesce(text, F.lit(""))).rlike(kw.gates[name]) if name in kw.gates else F.lit(True)
-        rank = F.struct(strong.alias("strong"), term_hits(text, words, terms).alias("all"), F.lit(-order).alias("first"), F.lit(name).alias("name"))
-        found.append(F.when((strong > 0) & gate, rank))
-    best = F.array_max(F.filter(F.array(*found), lambda x: x.isNotNull()))
-    veto = reduce(lambda a, b: a | b, (term_hits(text, words, t) > 0 for t in kw.negative.values()), F.lit(False))
-    over = term_hits(text, words, kw.override) > 0 if kw.override else F.lit(False)
-    return F.when(~veto | over, best["name"])
+
+    def best_of(words: Column) -> Column:
+        found = []
+        for order, (name, by_lang) in enumerate(kw.types.items()):
+            terms = [t for group in by_lang.values() for t in group]
+            strong = term_hits(text, words, [t for t in terms if t.lower().strip() not in kw.weak])
+            gate = F.lower(F.coalesce(text, F.lit(""))).rlike(kw.gates[name]) if name in kw.gates else F.lit(True)
+            rank = F.struct(strong.alias("strong"), term_hits(text, words, terms).alias("all"), F.lit(-order).alias("first"), F.lit(name).alias("name"))
+            found.append(F.when((strong > 0) & gate, rank))
+        veto = reduce(lambda a, b: a | b, (term_hits(text, words, t) > 0 for t in kw.negative.values()), F.lit(False))
+        over = term_hits(text, words, kw.override) > 0 if kw.override else F.lit(False)
+        return F.when(~veto | over, F.array_max(F.filter(F.array(*found), lambda x: x.isNotNull()))["name"])
+
+    return let(word_set(text), best_of)
 
 
 def negatives_dominate(text: Column, kw: Keywords) -> Column:
     """At least two suppressing terms, more than incident terms, and no sign of severity."""
-    words = word_set(text)
-    bad = term_hits(text, words, [t for g in kw.negative.values() for t in g])
-    good = term_hits(text, words, [t for by in kw.types.values() for g in by.values() for t in g])
-    return (bad >= 2) & (bad > good) & (severity(text, kw) == 0)
+    bad = [t for g in kw.negative.values() for t in g]
+    good = [t for by in kw.types.values() for g in by.values() for t in g]
+
+    def dominated(words: Column) -> Column:
+        n = term_hits(text, words, bad)
+        return (n >= 2) & (n > term_hits(text, words, good))
+
+    return let(word_set(text), dominated) & (severity(text, kw) == 0)
 
 
 def severity(text: Column, kw: Keywords) -> Column:

@@ -91,7 +91,7 @@ def accounts(members: DataFrame, cluster: list[str], order: list[str], outlet: s
     A member joins the first account in which its outlet already is, or whose first member's tokens are alike.
     """
     base = members.withColumn("__row", F.struct(*order, F.col(outlet).alias("o"), F.col(tokens).alias("t")))
-    sorted_ = base.groupBy(*cluster).agg(F.array_sort(F.collect_list("__row")).alias("rows"))
+    sorted_ = base.groupBy(*cluster).agg(F.sort_array(F.collect_list("__row")).alias("rows"))
     group = "struct<outs:array<string>,rep:array<string>>"
 
     def step(acc: Column, e: Column) -> Column:
@@ -144,7 +144,7 @@ def scores(grouped: DataFrame, cluster: list[str], now: Column) -> DataFrame:
         (F.max("hotspot") > 0).alias("hotspot"),
         F.min("window_start").alias("window_start"),
         F.max("window_end").alias("window_end"),
-        F.array_sort(F.flatten(F.collect_list("ids"))).alias("signal_ids"),
+        F.sort_array(F.flatten(F.collect_list("ids"))).alias("signal_ids"),
     )
     eff = F.least(F.round("mass", 6), F.col("source_count").cast("double"))
     out = out.withColumn("raw", confidence(eff, F.col("severity"), F.col("hotspot")))

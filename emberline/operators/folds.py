@@ -17,7 +17,7 @@ from emberline.schemas import REP_GAIN, REP_LOSS, REP_START, literal_map
 def history(df: DataFrame, keys: list[str], order: list[str], fields: list[str]) -> DataFrame:
     """One row per key with `events`, its rows as structs in order."""
     names = list(dict.fromkeys([*order, *fields]))
-    return df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*names))).alias("events"))
+    return df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*names))).alias("events"))
 
 
 def fold(df: DataFrame, keys: list[str], order: list[str], fields: list[str], start: Column, step: Callable[[Column, Column], Column], name: str = "state") -> DataFrame:

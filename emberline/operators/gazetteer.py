@@ -78,7 +78,6 @@ def fuzzy_levenshtein(queries: DataFrame, query: str, places: DataFrame, most: i
     return rows.withColumn("__n", F.row_number().over(w)).filter("__n = 1").select(query, "name", "distance")
 
 
-@F.pandas_udf("double")
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype=float)
 
@@ -87,7 +86,7 @@ def fuzzy_ratio(queries: DataFrame, query: str, places: DataFrame, cut: float =
     """Best name by matching-blocks ratio at or above cut, blocked on the first letter."""
     q = queries.select(query).distinct().withColumn("key", place_key(F.col(query))).withColumn("c", F.substring("key", 1, 1))
     n = index(places).withColumnRenamed("key", "nkey").withColumn("c", F.substring("nkey", 1, 1))
-    rows = q.join(n, "c").withColumn("ratio", _ratio("key", "nkey")).filter(F.col("ratio") >= cut)
+    rows = q.join(n, "c").withColumn("ratio", F.pandas_udf(_ratio, "double")("key", "nkey")).filter(F.col("ratio") >= cut)
     w = Window.partitionBy(query).orderBy(F.desc("ratio"), "name")
     return rows.withColumn("__n", F.row_number().over(w)).filter("__n = 1").select(query, "name", F.round("ratio", 6).alias("ratio"))
 

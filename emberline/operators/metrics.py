@@ -58,7 +58,7 @@ def near_identical_share(df: DataFrame, groups: list[str], order: list[str], tok
 
     Each report not yet absorbed leads, and absorbs later ones that are alike it.
     """
-    rows = df.filter(F.size(tokens) > 0).groupBy(*groups).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(tokens).alias("t")))).alias("rows"))
+    rows = df.filter(F.size(tokens) > 0).groupBy(*groups).agg(F.sort_array(F.collect_list(F.struct(*order, F.col(tokens).alias("t")))).alias("rows"))
 
     def step(acc: Column, e: Column) -> Column:
         def like(g: Column) -> Column:

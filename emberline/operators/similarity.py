@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 def classes(df: DataFrame, key: str, tokens: str) -> DataFrame:
     """Rows with class_id, the least key with an equal set, and n_tokens."""
-    marked = df.withColumn("__h", F.sha2(F.array_join(F.array_sort(tokens), " ").cast("binary"), 256))
+    marked = df.withColumn("__h", F.sha2(F.array_join(F.sort_array(tokens), " ").cast("binary"), 256))
     least = marked.groupBy("__h").agg(F.min(key).alias("class_id"))
     return marked.join(least, "__h").drop("__h").withColumn("n_tokens", F.size(tokens).cast("long"))
 
@@ -23,7 +23,7 @@ def similar_classes(df: DataFrame, key: str, tokens: str, tenths: int = 6) -> Da
     reps = classes(df, key, tokens).filter(F.col(key) == F.col("class_id")).filter("n_tokens > 0").select("class_id", "n_tokens", F.col(tokens).alias("t"))
     words = reps.select("class_id", "n_tokens", F.explode("t").alias("w"))
     rarity = words.groupBy("w").agg(F.count("*").alias("df"))
-    ranked = words.join(rarity, "w").groupBy("class_id", "n_tokens").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("s"))
+    ranked = words.join(rarity, "w").groupBy("class_id", "n_tokens").agg(F.sort_array(F.collect_list(F.struct("df", "w"))).alias("s"))
     keep = F.col("n_tokens") - F.ceil(F.col("n_tokens") * tenths / 10) + 1
     prefix = ranked.select("class_id", "n_tokens", F.explode(F.slice("s", 1, F.greatest(F.lit(1), keep).cast("int"))).alias("x")).select("class_id", "n_tokens", F.col("x.w").alias("w"))
     right = prefix.select(F.col("class_id").alias("b"), F.col("n_tokens").alias("nb"), "w")

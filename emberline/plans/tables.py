@@ -103,7 +103,7 @@ def incident_identity_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
 
     def generation(where: str) -> DataFrame:
-        ids = F.array_join(F.transform(F.array_sort(F.collect_list("o_orderkey")), lambda x: x.cast("string")), ",")
+        ids = F.array_join(F.transform(F.sort_array(F.collect_list("o_orderkey")), lambda x: x.cast("string")), ",")
         return o.filter(where).groupBy(F.col("o_custkey").alias("k")).agg(F.max("o_orderkey").cast("string").alias("uuid"), F.concat(ids, F.lit("|"), F.count("*").cast("string")).alias("fingerprint"))
 
     old = generation("o_orderkey % 3 <> 0").withColumn("version", F.lit(1))
@@ -188,7 +188,7 @@ def delivery_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
 def push_expired(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Push fan-out with the ids to prune."""
     gone = F.col("c_custkey") % 5 == 0
-    ids = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(gone, F.col("c_custkey")))), lambda x: x.cast("string")), ",")
+    ids = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(gone, F.col("c_custkey")))), lambda x: x.cast("string")), ",")
     return table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count("*").alias("targets"), F.count_if(gone).alias("expired"), F.nullif(ids, F.lit("")).alias("expired_ids"))
 
 

@@ -57,11 +57,14 @@ _LANGS = " UNION ALL ".join(f"SELECT doc_id, '{n}' AS lang, {_contains(h, chr(39
 def type_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Type by strong terms, with gates and vetoes."""
     d = table(spark, sf_dir, "documents")
-    words = text.word_set(F.col("text"))
-    bad = F.lit(False)
-    for terms in KEYWORDS.negative.values():
-        bad = bad | (text.term_hits(F.col("text"), words, terms) > 0)
-    veto = bad & ~(text.term_hits(F.col("text"), words, KEYWORDS.override) > 0)
+
+    def vetoed(words):
+        bad = F.lit(False)
+        for terms in KEYWORDS.negative.values():
+            bad = bad | (text.term_hits(F.col("text"), words, terms) > 0)
+        return bad & ~(text.term_hits(F.col("text"), words, KEYWORDS.override) > 0)
+
+    veto = text.let(text.word_set(F.col("text")), vetoed)
     return d.select("doc_id", text.detect_type(F.col("text"), KEYWORDS).alias("type"), veto.alias("veto"))
 
 
@@ -89,9 +92,8 @@ _PLACE = ["ndndre", "thtion", "onal", "inan", "leur", "chen", "mente", "erth"]
 )
 def geoparse_abstain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A signal is kept only if both type and place resolve; the longest name wins."""
-    words = text.word_set(F.col("text"))
     names = F.array(*(F.lit(x) for x in sorted(_PLACE, key=lambda x: (-len(x), _PLACE.index(x)))))
-    place = F.get(F.filter(names, lambda n: F.array_contains(words, n)), 0)
+    place = text.let(text.word_set(F.col("text")), lambda words: F.get(F.filter(names, lambda n: F.array_contains(words, n)), 0))
     d = table(spark, sf_dir, "documents").select("doc_id", text.detect_type(F.col("text"), KEYWORDS).alias("type"), place.alias("place"))
     return d.filter("type is not null and place is not null")
 
