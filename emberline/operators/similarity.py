@@ -13,22 +13,34 @@ from pyspark.sql import functions as F
 
 def classes(df: DataFrame, key: str, tokens: str) -> DataFrame:
     """Rows with class_id, the least key with an equal set, and n_tokens."""
-    marked = df.withColumn("__h", F.sha2(F.array_join(F.sort_array(tokens), " ").cast("binary"), 256))
+    marked = df.withColumn("__h", F.coalesce(F.sha2(F.array_join(F.sort_array(tokens), " ").cast("binary"), 256), F.lit("")))  # never null, so no filter evaluates it again
     least = marked.groupBy("__h").agg(F.min(key).alias("class_id"))
     return marked.join(least, "__h").drop("__h").withColumn("n_tokens", F.size(tokens).cast("long"))
 
 
 def similar_classes(df: DataFrame, key: str, tokens: str, tenths: int = 6) -> DataFrame:
-    """Pairs of classes (a < b) with both, either: set intersections and unions of those of at least tenths / 10."""
-    reps = classes(df, key, tokens).filter(F.col(key) == F.col("class_id")).filter("n_tokens > 0").select("class_id", "n_tokens", F.col(tokens).alias("t"))
-    words = reps.select("class_id", "n_tokens", F.explode("t").alias("w"))
-    rarity = words.groupBy("w").agg(F.count("*").alias("df"))
-    ranked = words.join(rarity, "w").groupBy("class_id", "n_tokens").agg(F.sort_array(F.collect_list(F.struct("df", "w"))).alias("s"))
-    keep = F.col("n_tokens") - F.ceil(F.col("n_tokens") * tenths / 10) + 1
-    prefix = ranked.select("class_id", "n_tokens", F.explode(F.slice("s", 1, F.greatest(F.lit(1), keep).cast("int"))).alias("x")).select("class_id", "n_tokens", F.col("x.w").alias("w"))
-    right = prefix.select(F.col("class_id").alias("b"), F.col("n_tokens").alias("nb"), "w")
-    sized = (10 * F.col("nb") >= tenths * F.col("na")) & (10 * F.col("na") >= tenths * F.col("nb"))
-    pairs = prefix.select(F.col("class_id").alias("a"), F.col("n_tokens").alias("na"), "w").join(right, "w").filter(F.col("a") < F.col("b")).filter(sized).select("a", "b").distinct()
+    """Pairs of classes (a < b) with both, either: set intersections and unions of those of at least tenths / 10.
+
+    Words are 64-bit hashes from here on. The smaller set of a pair only needs its first n - ceil(2t / (1 + t) n) + 1
+    words looked up, so each set is indexed under those and looked up under its longer prefix.
+    """
+    sets = df.select(key, F.sort_array(F.transform(tokens, lambda w: F.xxhash64(w))).alias("t"))
+    reps = sets.groupBy("t").agg(F.min(key).alias("class_id")).filter(F.size("t") > 0).select("class_id", "t", F.size("t").alias("n"))
+    words = reps.select("class_id", "n", F.explode("t").alias("w"))
+    rarity = words.groupBy("w").agg(F.count("*").alias("df")).filter("df > 1")  # other words are in no pair
+    n = F.col("n")
+    ranked = words.join(rarity, "w", "left").groupBy("class_id", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "w"))).alias("s"))
+    longer = (n - F.ceil(n * tenths / 10) + 1).cast("int")
+    shorter = (n - F.ceil(n * (2 * tenths) / (10 + tenths)) + 1).cast("int")
+    prefix = ranked.select("class_id", "n", shorter.alias("short"), F.posexplode(F.slice("s", 1, longer)).alias("at", "x")).filter("x.df > 1").select("class_id", "n", "short", "at", F.col("x.w").alias("w"))
+    small = prefix.filter("at < short").select(F.col("class_id").alias("a"), F.col("n").alias("na"), F.col("at").alias("ia"), "w")
+    large = prefix.select(F.col("class_id").alias("b"), F.col("n").alias("nb"), F.col("at").alias("ib"), "w")
+    ordered = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+    # what can still be common, from where the word stands in both
+    reach = F.least("ia", "ib") + F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
+    enough = (10 + tenths) * reach >= tenths * (F.col("na") + F.col("nb"))
+    met = small.join(large, "w").filter(ordered & (10 * F.col("na") >= tenths * F.col("nb")) & enough)
+    pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = pairs.join(reps.select(F.col("class_id").alias("a"), F.col("t").alias("ta")), "a").join(reps.select(F.col("class_id").alias("b"), F.col("t").alias("tb")), "b")
     both = F.size(F.array_intersect("ta", "tb"))
     out = pairs.select("a", "b", both.cast("long").alias("both"), (F.size("ta") + F.size("tb") - both).cast("long").alias("either"))
