@@ -41,6 +41,8 @@ def similar_classes(df: DataFrame, key: str, tokens: str, tenths: int = 6) -> Da
     enough = (10 + tenths) * reach >= tenths * (F.col("na") + F.col("nb"))
     met = small.join(large, "w").filter(ordered & (10 * F.col("na") >= tenths * F.col("nb")) & enough)
     pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    # few bytes but much work a row: spread whatever size the shuffle has
+    pairs = pairs.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     pairs = pairs.join(reps.select(F.col("class_id").alias("a"), F.col("t").alias("ta")), "a").join(reps.select(F.col("class_id").alias("b"), F.col("t").alias("tb")), "b")
     both = F.size(F.array_intersect("ta", "tb"))
     out = pairs.select("a", "b", both.cast("long").alias("both"), (F.size("ta") + F.size("tb") - both).cast("long").alias("either"))
