@@ -4,9 +4,10 @@
    (a x + b, high bits) are taken, four to a band. Documents with equal sets are one from here on, under the least id.
 2. Documents that share a band's minima meet in a bucket. Each is tied to the bucket's first document only, and the
    components of those ties are clusters: two documents that share any bucket are in one cluster.
-3. Clusters are split into blocks of bounded size, and pairs of blocks are compared: signatures first, then the full
-   sets. A pair whose documents are already connected by confirmed links is passed over, so a block pair gives no more
-   links than it has documents, and no connection is lost.
+3. Within clusters, signatures are compared, then the full sets. A pair whose documents are already connected by
+   confirmed links is passed over, so a group gives no more links than it has documents, and no connection is lost.
+   A cluster beyond one block is first compared with a few hubs of its own; then only the documents outside its largest
+   component are compared, with each other and with that component, in pairs of blocks of bounded size.
 4. The components of the confirmed links are the result.
 
 A pair at the threshold is missed with a probability of about 5e-6 by the bands and 3e-6 by the signatures.
@@ -39,6 +40,8 @@ _PLACES = _rng.integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
 FILTER_BITS = 1 << 23
 #: Bytes of shingle sets in a block.
 BLOCK = 4 << 20
+#: Documents of a cluster beyond one block that all others are compared with first.
+HUBS = 16
 
 
 def shingle_set(w: np.ndarray, width: int) -> np.ndarray:
@@ -122,24 +125,25 @@ def _root(parent: list[int], i: int) -> int:
     return i
 
 
-def confirmed_links(sigs: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
-    """Links that connect what links of at least percent Jaccard connect; between different sides, unless all are one."""
-    parent = list(range(len(sets)))
-    apart = side.min() != side.max()
+def confirmed_links(sigs: np.ndarray, sets: list[np.ndarray], side: np.ndarray, known: list, percent: int) -> Iterator[tuple[int, int]]:
+    """Links that connect what links of at least percent Jaccard connect, and rows of one known component do not yet.
+
+    With two sides, only rows of different sides are compared; rows of the first come before those of the second.
+    """
+    parent, first = list(range(len(sets))), {}
+    for i, c in enumerate(known):
+        parent[i] = first.setdefault(c, i)
+    split = int(np.searchsorted(side, side[-1])) if side[0] != side[-1] else 0
     # 4.5 standard deviations below the threshold
     p = percent / 100
-    least = len(sigs[0]) * p - 4.5 * (len(sigs[0]) * p * (1 - p)) ** 0.5 if len(sigs) else 0
-    for i in range(1, len(sets)):
-        alike = (sigs[:i] == sigs[i]).sum(1)
-        near = alike >= least
-        if apart:
-            near &= side[:i] != side[i]
-        for j in (c := np.flatnonzero(near))[np.argsort(-alike[c], kind="stable")].tolist():
+    least = sigs.shape[1] * p - 4.5 * (sigs.shape[1] * p * (1 - p)) ** 0.5
+    for i in range(max(1, split), len(sets)):
+        alike = (sigs[: split or i] == sigs[i]).sum(1)
+        for j in (c := np.flatnonzero(alike >= least))[np.argsort(-alike[c], kind="stable")].tolist():
             if _root(parent, i) == _root(parent, j):
                 continue
             a, b = sets[i], sets[j]
-            small, large = min(len(a), len(b)), max(len(a), len(b))
-            if 100 * small < percent * large:
+            if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
                 continue
             both = len(a) + len(b) - len(np.union1d(a, b))
             if 100 * both >= percent * (len(a) + len(b) - both):
@@ -147,15 +151,77 @@ def confirmed_links(sigs: np.ndarray, sets: list[np.ndarray], side: np.ndarray,
                 yield i, j
 
 
+def _links(dealt: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links (u, v) within each group of dealt rows (unit, i, j, id, cluster, side, known)."""
+    kind = dealt.schema["id"].dataType.simpleString()
+
+    def link(table: pa.Table) -> pa.Table:
+        ids, known, side = table.column("id").to_pylist(), table.column("known").to_pylist(), table.column("side").to_pylist()
+        sigs, raw = table.column("sig"), table.column("shingles")
+        at: dict = {}
+        for r, (c, x) in enumerate(zip(table.column("cluster").to_pylist(), ids, strict=True)):
+            at.setdefault(c, {}).setdefault(x, r)  # one row for each id
+        us, vs = [], []
+        for members in at.values():
+            rows = sorted(members.values(), key=lambda r: side[r])
+            s = np.frombuffer(b"".join(sigs[r].as_py() for r in rows), np.uint8).reshape(len(rows), -1)
+            sets_ = [np.frombuffer(raw[r].as_py(), np.uint64) for r in rows]
+            # stars around the least id of what is connected here
+            group: dict[int, list[int]] = {}
+            for a, b in confirmed_links(s, sets_, np.array([side[r] for r in rows]), [known[r] for r in rows], percent):
+                joined = group.get(a, [a]) + group.get(b, [b])
+                group.update(dict.fromkeys(joined, joined))
+            for joined in {id(x): x for x in group.values()}.values():
+                named = sorted({ids[rows[x]] for x in joined})
+                us.extend(named[1:]), vs.extend(named[:1] * (len(named) - 1))
+        id_type = table.schema.field("id").type
+        return pa.table([pa.array(us, id_type), pa.array(vs, id_type)], names=["u", "v"])
+
+    return dealt.join(sets, "id").groupBy("unit", "i", "j").applyInArrow(link, f"u {kind}, v {kind}")
+
+
+def _small(clusters: DataFrame, bins: int) -> DataFrame:
+    """Clusters within a block share one."""
+    zero = F.lit(0)
+    return clusters.select("id", "cluster", F.pmod(F.xxhash64("cluster"), F.lit(bins)).alias("unit"), zero.alias("i"), zero.alias("j"), zero.alias("side"), F.col("id").alias("known"))
+
+
+def _with_hubs(large: DataFrame) -> DataFrame:
+    """Each large cluster's blocks, all with the cluster's hubs: about HUBS documents picked by hash."""
+    hub = F.pmod(F.xxhash64("id", F.lit(2)), F.col("docs")) < HUBS
+    side = F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts")).cast("int")
+    spread = large.withColumn("hub", hub).withColumn("i", F.explode(F.when(hub, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(side))))
+    return spread.select("id", "cluster", F.xxhash64("cluster").alias("unit"), "i", F.lit(0).alias("j"), F.when(F.col("hub"), 0).otherwise(1).alias("side"), F.col("id").alias("known"))
+
+
+def _rest(large: DataFrame, labels: DataFrame, block: int) -> DataFrame:
+    """What is left to compare in large clusters: documents outside the largest component, with each other and with it.
+
+    Blocks of the rest are paired with each other (j below 0) and with blocks of the largest component.
+    """
+    known = large.join(labels, "id", "left").withColumn("known", F.coalesce("component", "id"))
+    size = known.groupBy("cluster", "known").agg(F.sum("n").alias("size"))
+    main = size.groupBy("cluster").agg(F.max_by("known", F.struct("size", "known")).alias("main"), F.max("size").alias("most"), F.sum("size").alias("all"))
+    count = lambda c: F.ceil(c * 8 / block).cast("int")
+    k = known.join(main.select("cluster", "main", count(F.col("most")).alias("mains"), count(F.col("all") - F.col("most")).alias("rests")), "cluster").filter("rests > 0")
+    inside = F.col("known") == F.col("main")
+    at = F.pmod(F.xxhash64("id", F.lit(1)), F.when(inside, F.col("mains")).otherwise(F.col("rests"))).cast("int")
+    to = lambda i, j, side: F.struct(i.alias("i"), j.alias("j"), side.alias("side"))
+    among = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    own = F.transform(among("rests"), lambda o: to(F.least(F.col("at"), o), -1 - F.greatest(F.col("at"), o), F.col("at")))
+    cross = F.transform(among("mains"), lambda o: to(F.col("at"), o, F.lit(0)))
+    from_main = F.transform(among("rests"), lambda o: to(o, F.col("at"), F.lit(1)))
+    dealt = k.withColumn("at", at).withColumn("to", F.explode(F.when(inside, from_main).otherwise(F.concat(own, cross))))
+    return dealt.select("id", "cluster", F.xxhash64("cluster").alias("unit"), "to.i", "to.j", "to.side", "known")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 75, block: int = BLOCK) -> DataFrame:
     """Per row: key, n_shingles, component_id and kept."""
     docs = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    kind = docs.schema["id"].dataType.simpleString()
     sketch = cut(_sketch(docs, width))
     alike = ["k1", "k2", "n"]
     groups = sketch.filter("n > 0 and id is not null").groupBy(*alike).agg(F.min("id").alias("rep"))
     firsts = sketch.join(groups.withColumnRenamed("rep", "id"), ["id", *alike]).select("id", "n", "bands")
-
     tagged = cut(sketch.drop("bands").join(groups, alike, "left").select("id", "n", "rep"))
 
     held = firsts.select("id", F.explode("bands").alias("bucket"))
@@ -163,42 +229,19 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     ties = held.join(leaders, "bucket").filter("id <> leader").select(F.col("id").alias("u"), F.col("leader").alias("v")).distinct()
     clusters = cut(connected_components(ties).withColumnRenamed("component", "cluster").join(tagged.filter("id = rep").groupBy("id").agg(F.max("n").alias("n")), "id"))
 
-    # blocks: small clusters share one, large ones are split and their blocks paired
-    sizes = clusters.groupBy("cluster").agg((F.sum("n") * 8).alias("bytes"))
-    small = sizes.agg(F.sum(F.when(F.col("bytes") <= block, F.col("bytes")))).first()[0] or 0
-    bins = int(small // block + 1)
-    parts = F.ceil(F.col("bytes") / block).cast("int")
-    dealt = clusters.join(sizes, "cluster").withColumn("parts", parts).withColumn("side", F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts")).cast("int"))
-    dealt = dealt.withColumn("unit", F.when(F.col("parts") > 1, F.xxhash64("cluster")).otherwise(F.pmod(F.xxhash64("cluster"), F.lit(bins))))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("id", "cluster", "unit", "parts", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side")
+    sizes = clusters.groupBy("cluster").agg((F.sum("n") * 8).alias("bytes"), F.count("*").alias("docs"))
+    fits = F.col("bytes") <= block
+    small, many = sizes.agg(F.coalesce(F.sum(F.when(fits, F.col("bytes"))), F.lit(0)), F.count_if(~fits)).first()
+    sized = clusters.join(sizes, "cluster")
     sets = _sets(docs, _filter(clusters.select("id")), width)
-
-    def link(table: pa.Table) -> pa.Table:
-        ids, cluster, side = table.column("id").to_pylist(), table.column("cluster").to_pylist(), table.column("side").to_numpy()
-        at: dict = {}
-        for r, (c, x) in enumerate(zip(cluster, ids, strict=True)):
-            at.setdefault(c, {}).setdefault(x, r)  # one row for each id
-        sigs, raw = table.column("sig"), table.column("shingles")
-        us, vs = [], []
-        for members in at.values():
-            rows = list(members.values())
-            s = np.frombuffer(b"".join(sigs[r].as_py() for r in rows), np.uint8).reshape(len(rows), -1)
-            sets_ = [np.frombuffer(raw[r].as_py(), np.uint64) for r in rows]
-            # stars around the least id of what is connected here
-            least: dict = {}
-            for a, b in confirmed_links(s, sets_, side[rows], percent):
-                joined = least.get(a, [a]) + least.get(b, [b])
-                for x in joined:
-                    least[x] = joined
-            for joined in {id(x): x for x in least.values()}.values():
-                named = sorted(ids[rows[x]] for x in joined)
-                us.extend(named[1:]), vs.extend(named[:1] * (len(named) - 1))
-        id_type = table.schema.field("id").type
-        return pa.table([pa.array(us, id_type), pa.array(vs, id_type)], names=["u", "v"])
-
-    links = dealt.join(sets, "id").groupBy("unit", "parts", "i", "j").applyInArrow(link, f"u {kind}, v {kind}")
-    found = connected_components(links)
+    dealt = _small(sized.filter(fits), int(small // block + 1))
+    before = None
+    if many:
+        large = sized.filter(~fits).withColumn("parts", F.ceil(F.col("bytes") / block).cast("int"))
+        before = cut(_links(_with_hubs(large), _sets(docs, _filter(large.select("id")), width), percent))
+        dealt = dealt.unionByName(_rest(large, connected_components(before), block))
+    links = _links(dealt, sets, percent)
+    found = connected_components(links if before is None else links.unionByName(before))
     out = tagged.join(found.withColumnRenamed("id", "rep"), "rep", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id"))
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("id") == component).alias("kept")).withColumn("kept", F.coalesce("kept", F.lit(True)))
