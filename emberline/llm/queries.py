@@ -69,6 +69,18 @@ def queries():
 _WORD = r"[^\x20\x09-\x0D]+"
 _LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+OP1 = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOW.format("coalesce(text, '')")}, '{_WORD}') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[p : p + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS p FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+both_ AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM both_ JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+r AS (SELECT a AS doc_id, a AS reach FROM e UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.reach),
+m AS (SELECT doc_id, min(reach) AS least FROM r GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(least, doc_id) AS component_id, coalesce(least, doc_id) = doc_id AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)"""
+
 OP3 = rf"""
 WITH base AS (
   SELECT doc_id, coalesce('s' || source, 't') AS sk, len(regexp_extract_all(coalesce(text, ''), '{_WORD}'))::BIGINT AS size,
@@ -146,4 +158,4 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM f W
 
 
 def oracle_sql():
-    return {"op3_mixing": OP3, "op5_warc": OP5, "op6_decontamination": OP6, "op7_quality_rules": _op7(), "op10_url_filter": _op10()}
+    return {"op1_near_duplicates": OP1, "op3_mixing": OP3, "op5_warc": OP5, "op6_decontamination": OP6, "op7_quality_rules": _op7(), "op10_url_filter": _op10()}
