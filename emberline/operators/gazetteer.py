@@ -58,6 +58,14 @@ def resolve(queries: DataFrame, query: str, places: DataFrame) -> DataFrame:
     return out.withColumn("score", score)
 
 
+def resolve_cached(queries: DataFrame, query: str, places: DataFrame, cache: DataFrame) -> DataFrame:
+    """ST20: as resolve, but what the cache (query, name, tier, score) knows, misses as NULL names too, is not looked up."""
+    asked = queries.select(query).distinct()
+    known = asked.join(cache, query).select(query, "name", "tier", "score")
+    fresh = asked.join(known, query, "left_anti")
+    return known.filter("name is not null").unionByName(resolve(fresh, query, places))
+
+
 def partial(asked: DataFrame, query: str, idx: DataFrame) -> DataFrame:
     """Names of which all words are in the query, or the other way; most words shared, shortest, first by name."""
     q = asked.withColumn("qw", F.array_distinct(F.split("loose", " ")))

@@ -82,7 +82,7 @@ def source_health(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH l AS (SELECT user_id, arg_max(event_type, (ts, event_id)) AS last_type FROM events WHERE event_type IN ('signup', 'error', 'purchase') GROUP BY user_id) SELECT user_id, last_type = 'signup' AS active, last_type = 'purchase' AS erased FROM l WHERE last_type <> 'purchase'")
 def subscriber_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reactivation, soft delete, and hard delete, from the log of a subscriber."""
+    """Reactivation, soft delete, and hard delete, from the log of a subscriber."""
     log = table(spark, sf_dir, "events").filter(F.col("event_type").isin("signup", "error", "purchase"))
     last = latest.latest(log, ["user_id"], [F.desc("ts"), F.desc("event_id")])
     return last.filter("event_type <> 'purchase'").select("user_id", (F.col("event_type") == "signup").alias("active"), (F.col("event_type") == "purchase").alias("erased"))

@@ -14,7 +14,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def samples(spark: SparkSession, path: str, now: Column) -> DataFrame:
-    """Signals of a sample file; published_at is now less hours_ago."""
+    """Signals of a sample file; published_at is now less hours_ago."""
     rows = spark.read.schema(SAMPLES).json(path, multiLine=True).select(F.explode("signals").alias("s")).select("s.*")
     return rows.select(
         F.col("source").alias("source_name"), F.lit("sample").alias("kind"), "title", "text", F.lit("").alias("url"), "lang", (now - F.make_dt_interval(hours=F.col("hours_ago"))).alias("published_at")
@@ -22,7 +22,7 @@ def samples(spark: SparkSession, path: str, now: Column) -> DataFrame:
 
 
 def feed(spark: SparkSession, path: str, name: str, now: Column, limit: int = 25) -> DataFrame:
-    """Signals of landed RSS files: text cleaned, dates parsed, the first `limit` items of a file; broken items are skipped."""
+    """Signals of landed RSS files: text cleaned, dates parsed, the first `limit` items of a file; broken items are skipped."""
     rows = spark.read.schema(FEED_ITEM).option("rowTag", "item").option("mode", "DROPMALFORMED").format("xml").load(path)
     rows = rows.withColumn("file", F.input_file_name()).withColumn("at", F.monotonically_increasing_id())
     rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("file").orderBy("at"))).filter(F.col("n") <= limit)
@@ -73,12 +73,12 @@ def keywords(spark: SparkSession, path: str, **options) -> text.Keywords:
 
 
 def from_database(spark: SparkSession, url: str, name: str, **options) -> DataFrame:
-    """Import of a table over JDBC; needs the driver on the class path. Parquet is the working store."""
+    """Import of a table over JDBC; needs the driver on the class path. Parquet is the working store."""
     return spark.read.format("jdbc").options(url=url, dbtable=name, **options).load()
 
 
 def enrich(df: DataFrame, schema: str, lookup=None) -> DataFrame:
-    """Hook for external providers (geocoders, routers, models): lookup maps batches of rows; without one, columns are NULL."""
+    """Hook for external providers (geocoders, routers, models): lookup maps batches of rows; without one, columns are NULL."""
     if lookup is None:
         for name, kind in (x.strip().split(maxsplit=1) for x in schema.split(",")):
             df = df.withColumn(name, F.lit(None).cast(kind))
@@ -87,6 +87,27 @@ def enrich(df: DataFrame, schema: str, lookup=None) -> DataFrame:
     return df.mapInPandas(lookup, f"{kinds}, {schema}")
 
 
+#: Ingest limits: name, default, least, most.
+INGEST_LIMITS = {"max_feeds": (8, 1, 64), "timeout_seconds": (3, 1, 30), "items_per_feed": (12, 1, 100), "deadline_seconds": (30, 1, 300)}
+
+
+def ingest_limits(settings: dict[str, str]) -> dict[str, int]:
+    """Limits from settings: whole numbers within bounds, defaults for what is no number."""
+    out = {}
+    for name, (default, least, most) in INGEST_LIMITS.items():
+        try:
+            out[name] = max(least, min(most, int(str(settings.get(name, default)).strip())))
+        except ValueError:
+            out[name] = default
+    return out
+
+
+def launch_readiness(settings: dict[str, str], required: tuple[str, ...], advised: tuple[str, ...]) -> dict[str, object]:
+    """What is not configured: blockers for required settings, warnings for advised ones."""
+    missing = lambda names: [n for n in names if not str(settings.get(n) or "").strip()]
+    return {"ready": not missing(required), "blockers": missing(required), "warnings": missing(advised), "providers": {n: n not in missing(advised) for n in advised}}
+
+
 def ranked_report(incidents: DataFrame) -> DataFrame:
     """Incidents as read out: by status, then confidence."""
     rank = F.lit(0)

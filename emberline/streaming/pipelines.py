@@ -83,7 +83,7 @@ def stale(stream: DataFrame, key: str, at: str, silence_minutes: int, late: str
 
 
 class Health(StreamingQueryListener):
-    """Counters of micro-batches, as source health; kept on the driver, a few numbers a query."""
+    """Counters of micro-batches, as source health; kept on the driver, a few numbers a query."""
 
     def __init__(self) -> None:
         self.runs: dict[str, dict[str, float]] = {}
@@ -104,6 +104,11 @@ class Health(StreamingQueryListener):
             self.runs.setdefault(str(event.id), {"batches": 0, "rows": 0, "failed": 0})["failed"] = 1
 
 
+def start(stream: DataFrame, path: str, checkpoint: str, every: str = "60 seconds"):
+    """ST01: keep writing a stream to Parquet by micro-batches; the checkpoint lets it resume after a failure."""
+    return stream.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+
+
 def run(stream: DataFrame, mode: str = "append", sink: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
     """Drain what is there now into Parquet and read it back. In complete mode the last batch is the result."""
     spark = stream.sparkSession

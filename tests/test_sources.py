@@ -75,3 +75,57 @@ def test_entry_imports_without_a_session():
     root = __file__.rsplit("/tests/", 1)[0]
     done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=root, capture_output=True, text=True)
     assert done.returncode == 0, done.stderr
+
+
+def test_limits_and_readiness():
+    assert files.ingest_limits({"max_feeds": "900", "timeout_seconds": "x"}) == {"max_feeds": 64, "timeout_seconds": 3, "items_per_feed": 12, "deadline_seconds": 30}
+    r = files.launch_readiness({"a": "1", "b": " "}, ("a", "b"), ("c",))
+    assert r == {"ready": False, "blockers": ["b"], "warnings": ["c"], "providers": {"c": False}}
+
+
+def test_start_resumes(spark, tmp_path):
+    d = str(tmp_path)
+    for i in range(2):
+        spark.range(i * 3, i * 3 + 3).write.mode("append").parquet(f"{d}/in")
+        q = pipelines.start(spark.readStream.schema("id bigint").parquet(f"{d}/in"), f"{d}/out", f"{d}/state", "1 second")
+        q.processAllAvailable()
+        q.stop()
+    assert sorted(r.id for r in spark.read.parquet(f"{d}/out").collect()) == list(range(6))
+
+
+def test_cached_resolution(spark):
+    from emberline.operators import gazetteer
+
+    places = spark.createDataFrame([("Old Mill", ["Mill"]), ("Kara", [])], "name string, aliases array<string>")
+    asked = spark.createDataFrame([("mill",), ("kara town",), ("nowhere",), ("known",)], "q string")
+    cache = spark.createDataFrame([("known", "Kara", "exact", 1.0), ("nowhere", None, "miss", 0.0)], "q string, name string, tier string, score double")
+    got = {r.q: (r["name"], r.tier) for r in gazetteer.resolve_cached(asked, "q", places, cache).collect()}
+    assert got == {"mill": ("Old Mill", "alias"), "kara town": ("Kara", "normalised"), "known": ("Kara", "exact")}
+
+
+def test_fuzzy_ratio_is_the_library_ratio(spark):
+    import difflib
+
+    from emberline.operators import gazetteer
+
+    names = ["Kankara", "Kankiya", "Katsina", "Kara"]
+    places = spark.createDataFrame([(n, []) for n in names], "name string, aliases array<string>")
+    asked = [("kankra",), ("katsena",), ("zzz",)]
+    got = {r.q: (r["name"], r.ratio) for r in gazetteer.fuzzy_ratio(spark.createDataFrame(asked, "q string"), "q", places).collect()}
+    for (q,) in asked:
+        ratio, name = max((difflib.SequenceMatcher(None, q, n.lower()).ratio(), n) for n in names)
+        assert got.get(q) == ((name, round(ratio, 6)) if ratio >= 0.82 else None)
+
+
+def test_health(spark, tmp_path):
+    spark.range(4).write.parquet(f"{tmp_path}/in")
+    health = pipelines.Health()
+    spark.streams.addListener(health)
+    try:
+        q = pipelines.start(spark.readStream.schema("id bigint").parquet(f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/state", "1 second")
+        q.processAllAvailable()
+        q.stop()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+    finally:
+        spark.streams.removeListener(health)
+    assert sum(r["rows"] for r in health.runs.values()) >= 4
