@@ -1,9 +1,11 @@
-"""The folder that driver and executors share."""
+"""What driver and executors share: a folder, and this package."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -12,3 +14,17 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder within spark.checkpoint.dir; one of our own only where that is unset (local runs)."""
     base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="emberline-")
     return f"{base}/{purpose}-{uuid.uuid4().hex}"
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in Python workers wherever they run: once a context, as a zip that Spark hands out."""
+    context = spark.sparkContext
+    if getattr(context, "_emberline", None):
+        return
+    root = Path(__file__).resolve().parents[1]
+    target = Path(tempfile.mkdtemp(prefix="emberline-")) / "emberline.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    context.addPyFile(str(target))
+    context._emberline = str(target)
