@@ -31,6 +31,8 @@ HOT = 1 << 18
 SEGMENT, FIRST = 64, 8192
 END = np.uint64(0x0123456789ABCDEF)
 _SLICE = 4 << 20
+#: Tokens whose emissions are looked up at once, and the longest sequence of which all probabilities are kept.
+AHEAD, PIECES = 1 << 15, 1 << 16
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -138,20 +140,34 @@ class Layout:
         return out
 
 
-def forward(emit: np.ndarray, start: np.ndarray, move: np.ndarray, lay: Layout) -> tuple[np.ndarray, np.ndarray]:
-    """Scaled forward probabilities and their scales, by time."""
-    alpha, scale = np.empty_like(emit), np.empty(len(emit), emit.dtype)
-    at = lay.at.tolist()
-    a = None
+def forward(obs: np.ndarray, emit: np.ndarray, start: np.ndarray, move: np.ndarray, lay: Layout, keep: bool = False) -> tuple[np.ndarray | None, np.ndarray]:
+    """Scales of the forward recursion over classes by time, and its scaled probabilities if they are to be kept.
+
+    Emissions are looked up for about AHEAD tokens at once, so a text of any length takes little memory.
+    """
+    alpha, scale = np.empty((len(obs), STATES), emit.dtype) if keep else None, np.empty(len(obs), emit.dtype)
+    at, a, loaded, first = lay.at.tolist(), None, None, 0
     for t, n in enumerate(lay.active):
-        here = slice(at[t], at[t + 1])
-        a = (start if a is None else a[:n] @ move) * emit[here]
+        if loaded is None or at[t + 1] > first + len(loaded):
+            first = at[t]
+            loaded = emit[obs[first : max(at[t + 1], first + AHEAD)]]
+        a = (start if a is None else a[:n] @ move) * loaded[at[t] - first : at[t + 1] - first]
         s = a.sum(1)
         a /= s[:, None]
-        alpha[here], scale[here] = a, s
+        scale[at[t] : at[t + 1]] = s
+        if keep:
+            alpha[at[t] : at[t + 1]] = a
     return alpha, scale
 
 
+def pieces(lengths: np.ndarray) -> np.ndarray:
+    """Lengths with those beyond PIECES cut, for counting: a piece starts anew, which bounds memory."""
+    n = -(-lengths // PIECES)
+    out = np.full(n.sum(), PIECES)
+    out[np.cumsum(n) - 1] = lengths - (n - 1) * PIECES
+    return out
+
+
 class Model:
     def __init__(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> None:
         self.start, self.move, self.emit = start, move, emit  # emit: classes x states
@@ -166,19 +182,18 @@ class Model:
 
     def expected(self, cls: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Expected counts of starts, moves and emissions, in one vector."""
-        lay = Layout(lengths)
+        lay = Layout(pieces(lengths))
         obs = lay.by_time(cls).astype(np.int64)
-        emit = self.emit.astype(np.float32)[obs]
-        move = self.move.astype(np.float32)
-        alpha, scale = forward(emit, self.start.astype(np.float32), move, lay)
-        emit /= scale[:, None]
+        emit, move = self.emit.astype(np.float32), self.move.astype(np.float32)
+        alpha, scale = forward(obs, emit, self.start.astype(np.float32), move, lay, keep=True)
         at = lay.at.tolist()
         moves, beta = np.zeros((STATES, STATES)), None
         for t in range(len(lay.active) - 1, -1, -1):
             n = lay.active[t]
             new = np.ones((n, STATES), np.float32)
             if beta is not None:
-                ahead = beta * emit[at[t + 1] : at[t + 2]]
+                here = slice(at[t + 1], at[t + 2])
+                ahead = beta * emit[obs[here]] / scale[here, None]
                 moves += alpha[at[t] : at[t] + len(ahead)].T @ ahead
                 new[: len(ahead)] = ahead @ move.T
             alpha[at[t] : at[t + 1]] *= new
@@ -258,7 +273,7 @@ def _score(docs: DataFrame, vocabulary: Vocabulary, model: Model) -> DataFrame:
                 hot, log_hot = np.zeros(len(tokens), bool), np.zeros(len(tokens))
             cls = vocabulary.classes(tokens)
             lay = Layout(lengths)
-            _, scale = forward(model.emit[lay.by_time(cls)], model.start, model.move, lay)
+            _, scale = forward(lay.by_time(cls), model.emit, model.start, model.move, lay)
             ends = np.cumsum(lengths)
             begin = ends - lengths
             inner = np.add.reduceat(np.log10(scale)[lay.place] + np.where(cls > OWN, log_hot, 0.0) - norm[cls], begin)

@@ -51,6 +51,28 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return buckets, np.searchsorted(np.flatnonzero(letter), np.concatenate([[0], ends]))
 
 
+def counts(text: str, most: int = 1 << 20) -> np.ndarray:
+    """Trigram counts of one text, worked on in pieces cut between words."""
+    total, at = np.zeros(BUCKETS, np.int64), 0
+    while at < len(text):
+        end = at + most
+        while end < len(text) and text[end - 1].isalpha():
+            end += 1
+        total += np.bincount(trigrams([text[at:end]])[0], minlength=BUCKETS)
+        at = end
+    return total
+
+
+def counted(texts: list[str]) -> Iterator[np.ndarray]:
+    """Trigram counts of each text; of buckets up to the last that it has."""
+    if len(texts) == 1:
+        yield counts(texts[0])
+        return
+    buckets, starts = trigrams(texts)
+    for i in range(len(texts)):
+        yield np.bincount(buckets[starts[i] : starts[i + 1]])
+
+
 def remainder(key: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit(""))) % modulus
 
@@ -59,15 +81,12 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str,
     """Trigram counts by language, over all rows whose lang is not null."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[str, np.ndarray] = {}
+        sums: dict[str, np.ndarray] = {}
         for batch in batches:
             for part in slices(batch, text):
-                langs = part.column(lang).to_pylist()
-                buckets, starts = trigrams(decoded(part.column(text)))
-                for i, name in enumerate(langs):
-                    counts.setdefault(name, np.zeros(BUCKETS, np.int64))
-                    counts[name] += np.bincount(buckets[starts[i] : starts[i + 1]], minlength=BUCKETS)
-        for name, c in counts.items():
+                for name, c in zip(part.column(lang).to_pylist(), counted(decoded(part.column(text))), strict=True):
+                    sums.setdefault(name, np.zeros(BUCKETS, np.int64))[: len(c)] += c
+        for name, c in sums.items():
             at = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(c[at])], names=["lang", "bucket", "n"])
 
@@ -121,15 +140,12 @@ def predict(docs: DataFrame, model: dict[str, np.ndarray], key: str = "doc_id",
         p_all = probability.astype(np.float64)
         for batch in batches:
             for part in slices(batch, text):
-                buckets, starts = trigrams(decoded(part.column(text)))
                 langs, scores, sets, shares = [], [], [], []
-                for i in range(part.num_rows):
-                    own = buckets[starts[i] : starts[i + 1]]
-                    if not len(own) or not names:
+                for c in counted(decoded(part.column(text))):
+                    at = np.flatnonzero(c)
+                    if not len(at) or not names:
                         langs.append("und"), scores.append(0.0), sets.append([]), shares.append([])
                         continue
-                    c = np.bincount(own)
-                    at = np.flatnonzero(c)
                     share, score = infer(p_all[at], c[at].astype(np.float64))
                     langs.append(names[int(share.argmax())]), scores.append(score)
                     order = [j for j in np.argsort(-share, kind="stable") if share[j] > 0]

@@ -127,7 +127,7 @@ def test_forward_is_exact_and_training_helps():
     before = None
     for _ in range(5):
         lay = hmm.Layout(lengths)
-        _, scale = hmm.forward(model.emit[lay.by_time(cls)], model.start, model.move, lay)
+        _, scale = hmm.forward(lay.by_time(cls), model.emit, model.start, model.move, lay)
         logs = np.add.reduceat(np.log(scale)[lay.place], np.cumsum(lengths) - lengths)
         at = 0
         for n, got in zip(lengths, logs, strict=True):
@@ -141,6 +141,21 @@ def test_forward_is_exact_and_training_helps():
         model = hmm.Model.of_counts(model.expected(cls, lengths), unigram)
 
 
+def test_long_sequences_are_counted_in_pieces(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(hmm, "PIECES", 4)
+    assert hmm.pieces(np.array([3, 4, 9])).tolist() == [3, 4, 4, 4, 1]
+
+
+def test_trigrams_in_pieces():
+    import numpy as np
+
+    t = " ".join(lines("fr", random.Random(1), 400).split()) + " É1x"
+    whole, _ = langid.trigrams([t])
+    assert (langid.counts(t, 50) == np.bincount(whole, minlength=langid.BUCKETS)).all()
+
+
 def test_mixing(docs, empty, spark):
     rows = mixing.assign(docs).collect()
     size = [(i, len(words(t)), s) for i, t, _, s in corpus()]
