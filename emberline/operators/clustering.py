@@ -18,6 +18,8 @@ from emberline.functions import text, times
 from emberline.functions.geo import EARTH_KM
 from emberline.schemas import LONG_RANGE_TYPES, RADIUS_KM, RADIUS_URBAN_KM, RADIUS_WIDE_KM, URBAN_TYPES, WINDOW_HOURS
 
+#: What an incident shows of its first detection.
+SHOWN = ("type", "location_name", "state", "lat", "lng", "title")
 _KM_PER_DEGREE = math.pi * EARTH_KM / 180
 
 
@@ -85,12 +87,12 @@ def leaders(detections: DataFrame, block: Column) -> DataFrame:
     return keyed.groupBy("__block").applyInArrow(run, schema)
 
 
-def accounts(members: DataFrame, cluster: list[str], order: list[str], outlet: str = "outlet", tokens: str = "tokens", tenths: int = 6) -> DataFrame:
-    """Members with account, the number (from 1) of the account of the event that each repeats.
+def accounts(members: DataFrame, cluster: list[str], order: list[str], outlet: str = "outlet", tokens: str = "tokens", tenths: int = 6, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Members (cluster, order, keep) with account, the number (from 1) of the account of the event that each repeats.
 
     A member joins the first account in which its outlet already is, or whose first member's tokens are alike.
     """
-    base = members.withColumn("__row", F.struct(*order, F.col(outlet).alias("o"), F.col(tokens).alias("t")))
+    base = members.withColumn("__row", F.struct(*order, *keep, F.col(outlet).alias("o"), F.col(tokens).alias("t")))
     sorted_ = base.groupBy(*cluster).agg(F.sort_array(F.collect_list("__row")).alias("rows"))
     group = "struct<outs:array<string>,rep:array<string>>"
 
@@ -113,7 +115,7 @@ def accounts(members: DataFrame, cluster: list[str], order: list[str], outlet: s
     start = F.struct(F.array().cast(f"array<{group}>").alias("groups"), F.array().cast("array<int>").alias("at"))
     folded = sorted_.withColumn("f", F.aggregate("rows", start, step))
     rows = folded.select(*cluster, F.explode(F.arrays_zip(F.col("rows").alias("r"), F.col("f.at").alias("account"))).alias("z"))
-    return rows.select(*cluster, *(F.col(f"z.r.{c}").alias(c) for c in order), F.col("z.account").cast("long").alias("account"))
+    return rows.select(*cluster, *(F.col(f"z.r.{c}").alias(c) for c in (*order, *keep)), F.col("z.account").cast("long").alias("account"))
 
 
 def confidence(effective: Column, severity: Column, hotspot: Column) -> Column:
@@ -122,7 +124,7 @@ def confidence(effective: Column, severity: Column, hotspot: Column) -> Column:
 
 
 def scores(grouped: DataFrame, cluster: list[str], now: Column) -> DataFrame:
-    """Incidents of members with (account, outlet, published_at, severity, hotspot, signal_id, order of members).
+    """Incidents of members with (account, outlet, published_at, severity, hotspot, signal_id) and what their first shows.
 
     Independent sources are the outlets of the accounts' first members; recent accounts weigh more; a lone source stays low.
     """
@@ -136,31 +138,28 @@ def scores(grouped: DataFrame, cluster: list[str], now: Column) -> DataFrame:
         F.min("published_at").alias("window_start"),
         F.max("published_at").alias("window_end"),
         F.collect_list("signal_id").alias("ids"),
+        F.min(F.struct("published_at", "signal_id", *SHOWN)).alias("lead"),
     )
     out = per.groupBy(*cluster).agg(
-        F.countDistinct("outlet").alias("source_count"),
+        F.size(F.collect_set("outlet")).cast("long").alias("source_count"),
         F.sum("weight").alias("mass"),
         F.max("severity").alias("severity"),
         (F.max("hotspot") > 0).alias("hotspot"),
         F.min("window_start").alias("window_start"),
         F.max("window_end").alias("window_end"),
         F.sort_array(F.flatten(F.collect_list("ids"))).alias("signal_ids"),
+        F.min("lead").alias("lead"),
     )
     eff = F.least(F.round("mass", 6), F.col("source_count").cast("double"))
     out = out.withColumn("raw", confidence(eff, F.col("severity"), F.col("hotspot")))
     many = F.col("source_count") >= 2
     status = F.when(many & ((F.col("severity") > 0) | (F.col("raw") >= 65)), "needs_human_review").when(many, "corroborated").otherwise("candidate_unverified")
-    return out.withColumn("status", status).withColumn("confidence", F.when(many, F.col("raw")).otherwise(F.least(F.lit(45), F.col("raw")))).drop("mass", "raw")
+    return out.withColumn("status", status).withColumn("confidence", F.when(many, F.col("raw")).otherwise(F.least(F.lit(45), F.col("raw")))).select("*", *(F.col(f"lead.{c}").alias(c) for c in SHOWN)).drop("mass", "raw", "lead")
 
 
 def incidents(detections: DataFrame, now: Column, block: Column | None = None) -> DataFrame:
     """Detections to scored incidents; one row per cluster, led by its first detection."""
     block = F.concat_ws("|", "type", F.date_format("published_at", "yyyy"), F.weekofyear("published_at").cast("string")) if block is None else block
     placed = leaders(detections, block).withColumn("outlet", text.outlet(F.col("source_name"))).withColumn("tokens", text.tokens(F.col("title")))
-    order = ["published_at", "signal_id"]
-    numbered = accounts(placed, ["leader_id"], order)
-    scored = scores(placed.join(numbered, ["leader_id", *order]), ["leader_id"], now)
-    lead = placed.filter("signal_id = leader_id").select("leader_id", "type", "location_name", "state", "lat", "lng", F.col("title").alias("summary"))
-    return lead.join(scored, "leader_id")
-
-
+    kept = ("outlet", "severity", "hotspot", *SHOWN)
+    return scores(accounts(placed, ["leader_id"], ["published_at", "signal_id"], keep=kept), ["leader_id"], now).withColumnRenamed("title", "summary")
