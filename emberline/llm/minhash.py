@@ -39,7 +39,7 @@ _PLACES = _rng.integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
 #: Bits of the filter that tells documents of clusters on the second reading.
 FILTER_BITS = 1 << 23
 #: Bytes of shingle sets in a block.
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 #: Documents of a cluster beyond one block that all others are compared with first.
 HUBS = 16
 
