@@ -38,8 +38,8 @@ _B = _rng.integers(0, 2**63, (BANDS * ROWS, 1), dtype=np.uint64)
 _PLACES = _rng.integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
 #: Bits of the filter that tells documents of clusters on the second reading.
 FILTER_BITS = 1 << 23
-#: Bytes of shingle sets in a block.
-BLOCK = 1 << 20
+#: Bytes of shingle sets in a block, the most that is compared within one group; and about that of small clusters together.
+BLOCK, BIN = 16 << 20, 1 << 20
 #: Documents of a cluster beyond one block that all others are compared with first.
 HUBS = 16
 
@@ -181,7 +181,7 @@ def _links(dealt: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _small(clusters: DataFrame, bins: int) -> DataFrame:
-    """Clusters within a block share one."""
+    """Clusters within a block, together in bins."""
     zero = F.lit(0)
     return clusters.select("id", "cluster", F.pmod(F.xxhash64("cluster"), F.lit(bins)).alias("unit"), zero.alias("i"), zero.alias("j"), zero.alias("side"), F.col("id").alias("known"))
 
@@ -234,7 +234,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     small, many = sizes.agg(F.coalesce(F.sum(F.when(fits, F.col("bytes"))), F.lit(0)), F.count_if(~fits)).first()
     sized = clusters.join(sizes, "cluster")
     sets = _sets(docs, _filter(clusters.select("id")), width)
-    dealt = _small(sized.filter(fits), int(small // block + 1))
+    dealt = _small(sized.filter(fits), int(small // min(block, BIN) + 1))
     before = None
     if many:
         large = sized.filter(~fits).withColumn("parts", F.ceil(F.col("bytes") / block).cast("int"))
