@@ -118,37 +118,32 @@ def _sets(docs: DataFrame, within: np.ndarray, width: int) -> DataFrame:
     return docs.select("id", "text", F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)).alias("bit")).mapInArrow(run, f"id {kind}, sig binary, shingles binary")
 
 
-def _root(parent: list[int], i: int) -> int:
-    while parent[i] != i:
-        parent[i] = parent[parent[i]]
-        i = parent[i]
-    return i
-
-
-def confirmed_links(sigs: np.ndarray, sets: list[np.ndarray], side: np.ndarray, known: list, percent: int) -> Iterator[tuple[int, int]]:
-    """Links that connect what links of at least percent Jaccard connect, and rows of one known component do not yet.
+def connected(sigs: np.ndarray, sets: list[np.ndarray], side: np.ndarray, known: list, percent: int) -> np.ndarray:
+    """A number for each row, equal where known components and confirmed links of at least percent Jaccard connect rows.
 
     With two sides, only rows of different sides are compared; rows of the first come before those of the second.
     """
-    parent, first = list(range(len(sets))), {}
-    for i, c in enumerate(known):
-        parent[i] = first.setdefault(c, i)
+    first: dict = {}
+    of = np.array([first.setdefault(c, i) for i, c in enumerate(known)])
     split = int(np.searchsorted(side, side[-1])) if side[0] != side[-1] else 0
     # 4.5 standard deviations below the threshold
     p = percent / 100
     least = sigs.shape[1] * p - 4.5 * (sigs.shape[1] * p * (1 - p)) ** 0.5
+    sizes = np.array([len(x) for x in sets])
     for i in range(max(1, split), len(sets)):
-        alike = (sigs[: split or i] == sigs[i]).sum(1)
-        for j in (c := np.flatnonzero(alike >= least))[np.argsort(-alike[c], kind="stable")].tolist():
-            if _root(parent, i) == _root(parent, j):
-                continue
-            a, b = sets[i], sets[j]
-            if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
-                continue
-            both = len(a) + len(b) - len(np.union1d(a, b))
-            if 100 * both >= percent * (len(a) + len(b) - both):
-                parent[_root(parent, i)] = _root(parent, j)
-                yield i, j
+        till = split or i
+        small, large = np.minimum(sizes[:till], sizes[i]), np.maximum(sizes[:till], sizes[i])
+        open_ = np.flatnonzero((of[:till] != of[i]) & (100 * small >= percent * large))
+        alike = (sigs[open_] == sigs[i]).sum(1)
+        near = alike >= least
+        open_ = open_[near][np.argsort(-alike[near], kind="stable")]
+        while len(open_):
+            j, open_ = open_[0], open_[1:]
+            both = sizes[i] + sizes[j] - len(np.union1d(sets[i], sets[j]))
+            if 100 * both >= percent * (sizes[i] + sizes[j] - both):
+                of[of == of[j]] = of[i]
+                open_ = open_[of[open_] != of[i]]
+    return of
 
 
 def _links(dealt: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -166,14 +161,14 @@ def _links(dealt: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             rows = sorted(members.values(), key=lambda r: side[r])
             s = np.frombuffer(b"".join(sigs[r].as_py() for r in rows), np.uint8).reshape(len(rows), -1)
             sets_ = [np.frombuffer(raw[r].as_py(), np.uint64) for r in rows]
-            # stars around the least id of what is connected here
-            group: dict[int, list[int]] = {}
-            for a, b in confirmed_links(s, sets_, np.array([side[r] for r in rows]), [known[r] for r in rows], percent):
-                joined = group.get(a, [a]) + group.get(b, [b])
-                group.update(dict.fromkeys(joined, joined))
-            for joined in {id(x): x for x in group.values()}.values():
-                named = sorted({ids[rows[x]] for x in joined})
-                us.extend(named[1:]), vs.extend(named[:1] * (len(named) - 1))
+            # stars around the least id, of one row for each known component
+            groups: dict = {}
+            for r, c in zip(rows, connected(s, sets_, np.array([side[r] for r in rows]), [known[r] for r in rows], percent).tolist(), strict=True):
+                groups.setdefault(c, {}).setdefault(known[r], ids[r])
+            for joined in groups.values():
+                if len(joined) > 1:
+                    named = sorted(joined.values())
+                    us.extend(named[1:]), vs.extend(named[:1] * (len(named) - 1))
         id_type = table.schema.field("id").type
         return pa.table([pa.array(us, id_type), pa.array(vs, id_type)], names=["u", "v"])
 
