@@ -19,7 +19,8 @@ LANGUAGE_SCORE = 0.4
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents that pass the current policy; those that it rejects go. Repeated rows are judged each."""
     rows = docs.select("text", F.struct("*").alias("__doc"))  # whatever docs' columns are called, they come back as they were
-    return ledger.measure(rows).filter(~ledger.fails("v1")).select("__doc.*")
+    terms = ledger.learned_terms(docs, sf_dir)
+    return ledger.measure(rows, terms=terms).filter(~ledger.fails("v2")).select("__doc.*")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

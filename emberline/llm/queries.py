@@ -44,8 +44,9 @@ def op6_decontamination(spark, sf_dir):
 
 
 def op7_quality_rules(spark, sf_dir):
-    rows = ledger.measure(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", ledger.fails("base").alias("base_failed"), (~ledger.fails("v1")).alias("kept"), "fail_bits")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = ledger.measure(docs, terms=ledger.learned_terms(docs, sf_dir))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", ledger.fails("base").alias("base_failed"), (~ledger.fails("v2")).alias("kept"), "fail_bits")
 
 
 def op8_html_text(spark, sf_dir):

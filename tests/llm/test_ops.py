@@ -301,6 +301,34 @@ def test_ledger(docs, empty):
         assert a.n_kept_without == kept + a.n_only and a.n_failed >= a.n_only
 
 
+def test_ledger_learns_abuse(spark, tmp_path):
+    """Abuse in a language without a list, told by beginnings of words, in long texts of which it is under 1 %."""
+    rng = random.Random(11)
+    rows, labels = [], []
+    for i in range(60):
+        w = prose(rng, 900 if i % 2 else 120).split()
+        toxic = i % 3 == 0
+        at = rng.randrange(len(w) - 60)
+        for k in range(3 if toxic else i % 2):  # a single one is no abuse
+            w[at + 15 * k] = "Zörkel" + rng.choice("abcdefgh") * 3
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(toxic) if i < 40 else None))
+    d = str(tmp_path)
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(i, 1, t) for i, t in labels if i % 2 == 0 or i % 3 == 0], "doc_id bigint, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    got = {r.doc_id: r for r in queries.op7_quality_rules(spark, d).collect()}
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    terms = ledger.learned_terms(docs, d)
+    assert "zörk" in terms
+    for r in ledger.measure(docs, terms=["zörk", "low$"]).collect():
+        w = [x for x in re.split(r"[\W\d_]+", r.text.lower()) if x]
+        at = [k for k, x in enumerate(w) if x.startswith("zörk") or x == "low"]
+        assert (r.n_toxic, r.n_toxic_near) == (len(at), sum(b - a < ledger.NEAR for a, b in zip(at, at[1:])))
+    assert {i for i, r in got.items() if r.fail_bits & 256} == {i for i in range(60) if i % 3 == 0}
+    assert not any(got[i].kept for i in range(0, 60, 3))
+    assert ledger.learned_terms(docs, f"{d}/none") == []
+
+
 PAGE = """<!doctype html><html><head><title>T</title><style>p{}</style><script>var a="<p>x</p>"</script></head><body>
 <header><h1>Site</h1></header><nav><ul><li><a href=/>Home</a></ul></nav><div class="cookie-notice">We use cookies</div>
 <div id="content"><article><h2>Head &amp; line</h2><p>First   <b>bold</b>
