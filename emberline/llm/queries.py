@@ -46,7 +46,7 @@ def op6_decontamination(spark, sf_dir):
 def op7_quality_rules(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rows = ledger.measure(docs, terms=ledger.learned_terms(docs, sf_dir))
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", ledger.fails("base").alias("base_failed"), (~ledger.fails("v2")).alias("kept"), "fail_bits")
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_toxic", ledger.fails("base").alias("base_failed"), (~ledger.fails("v2")).alias("kept"), "fail_bits")
 
 
 def op8_html_text(spark, sf_dir):
@@ -129,8 +129,8 @@ SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest, CASE WHEN n >=
 
 def _op7() -> str:
     rules = " + ".join(f"(CASE WHEN {fails} THEN {1 << bit} ELSE 0 END)" for bit, fails in ledger.RULES.values())
-    base, v1 = ledger.mask_of("base"), ledger.mask_of("v1")
-    abuse = "|".join(ledger.ABUSE)
+    base, v2 = ledger.mask_of("base"), ledger.mask_of("v2")
+    leading = ledger.LEADING.replace("'", "''")
     return rf"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
 g AS (SELECT doc_id, p, w[p : p + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS p FROM t)),
@@ -138,13 +138,21 @@ r AS (SELECT doc_id, p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS
 rw AS (SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest(range(p, p + 3)) AS q FROM r) GROUP BY doc_id),
 l AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines
       FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM t) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+k AS (SELECT doc_id, p, regexp_extract(lower(ltrim(w[p], '{leading}')), '^\p{{L}}+') AS term, coalesce(w[p - 1], '') AS before FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM t)),
+lab0 AS (SELECT doc_id, toxic FROM labels WHERE toxic IS NOT NULL),
+lab AS (SELECT * FROM lab0 WHERE ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT * (SELECT count(*) FROM lab0) < {ledger.SAMPLE * (1 << 32)}),
+lk AS (SELECT k.*, toxic FROM k JOIN lab USING (doc_id) WHERE length(term) >= {ledger.LETTERS}),
+terms AS (SELECT term FROM lk GROUP BY term HAVING {ledger.PURE[1]} * count(DISTINCT doc_id) FILTER (toxic = 1) >= {ledger.PURE[0]} * count(DISTINCT doc_id)
+      AND count(DISTINCT before) FILTER (toxic = 1) >= (SELECT greatest({ledger.CONTEXTS}, coalesce(sum(toxic), 0) // {ledger.ONE_IN}) FROM lab)),
+x AS (SELECT doc_id, p, p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS gap FROM k SEMI JOIN terms USING (term)),
+tx AS (SELECT doc_id, count(*) AS n_toxic, count(*) FILTER (gap < {ledger.NEAR}) AS n_toxic_near FROM x GROUP BY doc_id),
 m AS (SELECT doc_id, len(w)::BIGINT AS n_words, list_sum(list_transform(w, lambda x: length(x)))::BIGINT AS word_chars0,
   len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines,
   coalesce(rw.n, 0)::BIGINT AS n_repeat_words, len(regexp_extract_all(text, '\p{{Lu}}'))::BIGINT AS n_upper, len(regexp_extract_all(text, '!'))::BIGINT AS n_shouts,
-  len(regexp_extract_all(text, '(?i)\b(?:{abuse})\b'))::BIGINT AS n_abuse
-  FROM t LEFT JOIN l USING (doc_id) LEFT JOIN rw USING (doc_id)),
+  coalesce(n_toxic, 0)::BIGINT AS n_toxic, coalesce(n_toxic_near, 0)::BIGINT AS n_toxic_near
+  FROM t LEFT JOIN l USING (doc_id) LEFT JOIN rw USING (doc_id) LEFT JOIN tx USING (doc_id)),
 b AS (SELECT *, ({rules})::BIGINT AS fail_bits FROM (SELECT *, coalesce(word_chars0, 0)::BIGINT AS word_chars FROM m))
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & {base}) <> 0 AS base_failed, (fail_bits & {v1}) = 0 AS kept, fail_bits FROM b"""
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_toxic, (fail_bits & {base}) <> 0 AS base_failed, (fail_bits & {v2}) = 0 AS kept, fail_bits FROM b"""
 
 
 def _op10() -> str:

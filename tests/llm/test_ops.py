@@ -301,8 +301,20 @@ def test_ledger(docs, empty):
         assert a.n_kept_without == kept + a.n_only and a.n_failed >= a.n_only
 
 
+@pytest.mark.parametrize("bits", [64, 12, 3, 0])
+def test_repeats_are_exact_whatever_the_hash(spark, monkeypatch, bits):
+    monkeypatch.setattr(ledger, "HASH_BITS", bits)
+    rng = random.Random(5)
+    texts = ["", "a", "a a", "a a a a", "a b c a b c", *(" ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(3, 90))) for _ in range(40))]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    for r in df.select("t", ledger.repeated_words(ledger.text_words(F.col("t"))).alias("n")).collect():
+        w = r.t.split()
+        grams = collections.Counter(tuple(w[k : k + 3]) for k in range(len(w) - 2))
+        assert r.n == len({q for k in range(len(w) - 2) if grams[tuple(w[k : k + 3])] > 1 for q in range(k, k + 3)})
+
+
 def test_ledger_learns_abuse(spark, tmp_path):
-    """Abuse in a language without a list, told by beginnings of words, in long texts of which it is under 1 %."""
+    """Abuse in a language without a list, in long texts of which it is under 1 %; copies of one text teach nothing."""
     rng = random.Random(11)
     rows, labels = [], []
     for i in range(60):
@@ -310,23 +322,27 @@ def test_ledger_learns_abuse(spark, tmp_path):
         toxic = i % 3 == 0
         at = rng.randrange(len(w) - 60)
         for k in range(3 if toxic else i % 2):  # a single one is no abuse
-            w[at + 15 * k] = "Zörkel" + rng.choice("abcdefgh") * 3
+            w[at + 15 * k] = rng.choice(["Zörkel", "(zörkel,", "ZÖRKEL!", "mögzon"])
         rows.append((i, " ".join(w)))
-        labels.append((i, int(toxic) if i < 40 else None))
+        labels.append((i, int(toxic) if i < 50 and (toxic or i % 2 == 0) else None))
+    copied = "seldomword " + prose(rng, 100) + " zörkel zörkel"
+    for i in range(100, 110):
+        rows.append((i, copied))
+        labels.append((i, 1))
     d = str(tmp_path)
     spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{d}/documents.parquet")
-    spark.createDataFrame([(i, 1, t) for i, t in labels if i % 2 == 0 or i % 3 == 0], "doc_id bigint, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([(i, 1, t) for i, t in labels], "doc_id bigint, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
     got = {r.doc_id: r for r in queries.op7_quality_rules(spark, d).collect()}
     docs = spark.read.parquet(f"{d}/documents.parquet")
     terms = ledger.learned_terms(docs, d)
-    assert "zörk" in terms
-    for r in ledger.measure(docs, terms=["zörk", "low$"]).collect():
-        w = [x for x in re.split(r"[\W\d_]+", r.text.lower()) if x]
-        at = [k for k, x in enumerate(w) if x.startswith("zörk") or x == "low"]
+    assert "zörkel" in terms and "seldomword" not in terms
+    for r in ledger.measure(docs, terms=["zörkel", "lower"]).collect():
+        w = [re.match(r"[^\W\d_]*", x.lstrip(ledger.LEADING).lower())[0] for x in r.text.split()]
+        at = [k for k, x in enumerate(w) if x in ("zörkel", "lower")]
         assert (r.n_toxic, r.n_toxic_near) == (len(at), sum(b - a < ledger.NEAR for a, b in zip(at, at[1:])))
-    assert {i for i, r in got.items() if r.fail_bits & 256} == {i for i in range(60) if i % 3 == 0}
+    assert {i for i, r in got.items() if r.fail_bits & 1 << ledger.RULES["toxic"][0]} == {i for i in range(60) if i % 3 == 0} | set(range(100, 110))
     assert not any(got[i].kept for i in range(0, 60, 3))
-    assert ledger.learned_terms(docs, f"{d}/none") == []
+    assert ledger.learned_terms(docs, f"{d}/none") == [] and ledger.abuse_terms(docs.filter("false"), spark.read.parquet(f"{d}/labels.parquet")) == []
 
 
 PAGE = """<!doctype html><html><head><title>T</title><style>p{}</style><script>var a="<p>x</p>"</script></head><body>
