@@ -1,21 +1,24 @@
 """Main text of HTML pages from streaming parser events.
 
-The standard library's parser feeds a page's events to a state that holds open elements and the current block. Each
-block is a line with its ratio of text to tags; the ratios are smoothed by a Gaussian and split in two clusters by a
-threshold (two-means). Lines above it mark content; the content region is the article or main element that holds such
-lines, or, without those, the deepest element that holds nearly all of their text. Every block of the region stays, short
-ones too, except those in elements that by name, role or class are menus, headers, footers, sidebars, notices, adverts,
-forms, scripts, styles or comments.
-
-Defined results: null, empty or text-less html gives an empty text; broken markup is read as the parser reads it;
-repeated rows are extracted each; other columns are not read.
+The standard library's parser feeds a page's events to a state that holds open elements and the current block. Each block
+is a line with its ratio of text to tags; the ratios are smoothed by a Gaussian and split in two clusters by a threshold
+(two-means). Lines above it are content. They choose the region: the articles of the page where these hold most of the
+content, otherwise the deepest element that holds nearly all of it, widened over headings right above. Every block of the
+region stays, short ones too, but for links alone, under the threshold, at its edges.
+
+Elements that are menus, headers, footers, sidebars, forms, scripts or styles by their tag or role never count. A class or
+id that is one of `NAMES` is a weak sign: such an element goes only if most of the content lies elsewhere.
+
+Defined results: null, empty or text-less html gives an empty text; broken markup is read as the parser reads it; very
+long pages are read whole; of elements that hold as much, the deepest is the region; repeated rows, and rows of one key,
+are extracted each; an empty table gives an empty result; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -28,64 +31,95 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 _DROP = frozenset("nav header footer aside form script style noscript template iframe object svg math button select option textarea dialog menu head title canvas audio video map datalist".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog form menu menubar toolbar alert".split())
-_NAMES = "ads?|adv|advert\\w*|adsense|sponsor\\w*|promo\\w*|banner|cookies?|consent|gdpr|notices?|notification|alert|newsletter|subscribe|subscription|signup|popup|modal|overlay|sidebar|side|aside|widgets?|related|recommend\\w*|share|sharing|social|comments?|commentlist|disqus|repl(?:y|ies)|respond|discussion|breadcrumbs?|menu|nav|navbar|navigation|footer|header|masthead|topbar|toolbar|pagination|pager|paywall|skip"
-_CLASS = re.compile(rf"(?:{_NAMES})(?:[-_].*)?|(?!has|no|with|without).*[-_](?:{_NAMES})|(?:site|page|main|global|top|bottom|left|right|user|reader)(?:nav|menu|header|footer|sidebar|comments?)", re.I)
-_COMMENT = re.compile(r"(?:.*[-_])?(?:comments?|reply|replies|respond|discussion|disqus)(?:[-_].*)?", re.I)
-_WHOLE = frozenset(("html", "body", "main"))
-
-
-def _dropped(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-    if tag in _DROP:
-        return True
-    if tag in _WHOLE:
-        return False
-    pattern = _COMMENT if tag == "article" else _CLASS
-    for name, value in attrs:
-        if name == "role" and (value or "").strip().lower() in _ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-        if name in ("class", "id") and value and any(pattern.fullmatch(x) for x in value.split()):
-            return True
-    return False
+_ITEMS = frozenset(("li", "dt", "dd", "tr", "td", "th"))
+_HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+#: Class and id names, whole, of what is seldom an article.
+NAMES = frozenset(
+    """ad ads advert adverts advertisement advertising ad-banner ad-slot ad-container adsbygoogle sponsor sponsored sponsored-content promo promotion banner
+    cookie cookies cookie-banner cookie-notice cookie-bar cookie-consent consent gdpr notice notices notification site-notice newsletter subscribe newsletter-signup popup modal overlay
+    sidebar side-bar left-sidebar right-sidebar widget widgets related related-posts related-articles related-links recommended share share-buttons sharing social social-links social-share
+    comment comments comment-list commentlist comments-area comments-section comment-section user-comments reader-comments disqus disqus_thread replies
+    breadcrumb breadcrumbs menu main-menu site-menu nav navbar navigation topnav main-nav site-nav header site-header page-header masthead topbar toolbar
+    footer site-footer page-footer pagination pager paywall""".split()
+)
+
+
+class _Block(NamedTuple):
+    text: str
+    tags: int
+    path: tuple[int, ...]
+    heading: bool
+    linked: int  # characters in links
 
 
 class _Blocks(HTMLParser):
-    """Blocks of a page: (text, tags, path of containers)."""
+    """Blocks of a page outside of dropped elements; containers are numbered inwards."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, int, bool]] = []  # tag, container's number, whether it starts a dropped part
-        self.drops = 0
-        self.count = 0
+        self.drops = self.links = 0
         self.names: list[str] = []
-        self.blocks: list[tuple[str, int, tuple[int, ...]]] = []
+        self.weak: set[int] = set()
+        self.blocks: list[_Block] = []
         self.parts: list[str] = []
-        self.tags = 0
+        self.tags = self.linked = 0
 
     def flush(self) -> None:
         if self.parts:
             if text := " ".join("".join(self.parts).split()):
-                self.blocks.append((text, self.tags, tuple(n for _, n, _ in self.open if n >= 0)))
+                heading = any(t in _HEADINGS for t, _, _ in self.open)
+                self.blocks.append(_Block(text, self.tags, tuple(n for _, n, _ in self.open if n >= 0), heading, self.linked))
                 self.tags = 0
-            self.parts = []
+            self.parts, self.linked = [], 0
 
     def handle_starttag(self, tag, attrs):
         self.tags += 1
-        if tag in _INLINE and not (tag not in _VOID and _dropped(tag, attrs)):
+        drop = tag in _DROP
+        named = False
+        for name, value in attrs:
+            value = value or ""
+            drop |= name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value.strip().lower() in _ROLES
+            named |= name in ("class", "id") and any(x in NAMES for x in value.lower().split())
+        if tag in _VOID:
             if tag == "br":
                 self.handle_data(" ")
-            if tag not in _VOID:
-                self.open.append((tag, -1, False))
+            elif tag not in _INLINE:
+                self.flush()
             return
-        self.flush()
-        if tag in _VOID:
+        if tag in _INLINE and not drop and not named:
+            self.open.append((tag, -1, False))
+            self.links += tag == "a"
             return
-        drop = _dropped(tag, attrs)
+        self.flush()
+        self.imply_end(tag)
+        drop &= tag not in ("html", "body", "main")
         number = -1
         if not drop and not self.drops:
             number = len(self.names)
             self.names.append("main" if ("role", "main") in attrs else tag)
+            if named and tag not in ("html", "body", "main"):
+                self.weak.add(number)
         self.open.append((tag, number, drop))
         self.drops += drop
+        self.links += tag == "a"
+
+    def imply_end(self, tag):
+        """A block ends an open paragraph, an item the item before it."""
+        for i in range(len(self.open) - 1, -1, -1):
+            t, number, drop = self.open[i]
+            if t in _INLINE and number < 0 and not drop:
+                continue
+            if t == "p" or t == tag and tag in _ITEMS:
+                self.end_at(i)
+                if t == "p":
+                    self.imply_end(tag)
+            return
+
+    def end_at(self, i):
+        self.drops -= sum(d for _, _, d in self.open[i:])
+        self.links -= sum(t == "a" for t, _, _ in self.open[i:])
+        del self.open[i:]
 
     def handle_startendtag(self, tag, attrs):
         self.tags += 1
@@ -96,19 +130,25 @@ class _Blocks(HTMLParser):
 
     def handle_endtag(self, tag):
         self.tags += 1
-        if tag not in _INLINE:
-            self.flush()
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][0] == tag:
-                if tag in _INLINE and any(t not in _INLINE for t, _, _ in self.open[i + 1 :]):
-                    return  # an inline end does not close blocks
-                self.drops -= sum(d for _, _, d in self.open[i:])
-                del self.open[i:]
-                return
+                break
+        else:
+            if tag not in _INLINE:
+                self.flush()
+            return
+        inline = self.open[i][1] < 0 and not self.open[i][2] and tag in _INLINE
+        if inline and any(t not in _INLINE for t, _, _ in self.open[i + 1 :]):
+            return  # an inline end does not close blocks
+        if not inline:
+            self.flush()
+        self.end_at(i)
 
     def handle_data(self, data):
         if not self.drops:
             self.parts.append(data)
+            if self.links:
+                self.linked += len(data.strip())
 
 
 def smoothed(ratios: list[float], sigma: float = 1.0) -> np.ndarray:
@@ -131,28 +171,71 @@ def threshold(x: np.ndarray) -> float:
     return min((low + high) / 2, float(x.max()))
 
 
+def content_lines(blocks: list[_Block]) -> np.ndarray:
+    """Whether each line's smoothed text-to-tag ratio reaches the threshold of the page."""
+    x = smoothed([len(b.text) / max(1, b.tags) for b in blocks])
+    return x >= threshold(x)
+
+
+def _held(blocks: list[_Block], content: np.ndarray) -> tuple[dict[int, int], int]:
+    """Characters of content in each container, and in all."""
+    held: dict[int, int] = {}
+    for b, c in zip(blocks, content, strict=True):
+        for node in b.path:
+            held[node] = held.get(node, 0) + len(b.text) * bool(c)
+    return held, sum(len(b.text) for b, c in zip(blocks, content, strict=True) if c)
+
+
+def _region(blocks: list[_Block], content: np.ndarray, names: list[str]) -> set[int]:
+    """Containers whose blocks are the main text; none stands for the whole page."""
+    held, total = _held(blocks, content)
+    for kind in ("article", "main"):
+        found = {n for n in held if names[n] == kind}
+        inside = sum(len(b.text) for b, c in zip(blocks, content, strict=True) if c and not found.isdisjoint(b.path))
+        if found and 2 * inside >= total:
+            return found
+    if not (deep := [n for n, v in held.items() if 10 * v >= 9 * total]):
+        return set()
+    path = next(b.path for b in blocks if max(deep) in b.path)
+    at = path.index(max(deep))
+    while at:  # up over headings that stand before it
+        added = [b for b in blocks if path[at - 1] in b.path and path[at] not in b.path]
+        if any(not b.heading for b in added) or at == 1 and not added:
+            break
+        at -= 1
+    return {path[at]}
+
+
 def main_text(html: str) -> str:
     parser = _Blocks()
     parser.feed(html)
     parser.close()
     parser.flush()
-    blocks = parser.blocks
+    blocks, names = parser.blocks, parser.names
     if not blocks:
         return ""
-    x = smoothed([len(t) / max(1, n) for t, n, _ in blocks])
-    content = x >= threshold(x)
-    held: dict[int, int] = {}
-    for (text, _, path), c in zip(blocks, content, strict=True):
-        for node in path:
-            held[node] = held.get(node, 0) + len(text) * bool(c)
-    total = sum(len(t) for (t, _, _), c in zip(blocks, content, strict=True) if c)
-    for kind in ("article", "main"):
-        if region := {n for n, v in held.items() if v and parser.names[n] == kind}:
-            break
-    else:
-        deep = [n for n, v in held.items() if v >= 0.9 * total]
-        region = {max(deep)} if deep else set()  # numbers grow inwards
-    return "\n\n".join(t for t, _, path in blocks if not region or not region.isdisjoint(path))
+    content = content_lines(blocks)
+    if parser.weak:
+        held, total = _held(blocks, content)
+        proper: set[int] = set()  # articles outside of weak elements, and all that holds one
+        for b in blocks:
+            for i, n in enumerate(b.path):
+                if names[n] in ("article", "main") and parser.weak.isdisjoint(b.path[: i + 1]):
+                    proper.update(b.path[: i + 1])
+        weak = {n for n in parser.weak if 2 * held.get(n, 0) < total or proper and n not in proper}
+        stay = np.array([weak.isdisjoint(b.path) for b in blocks])
+        if stay.any():
+            blocks = [b for b, s in zip(blocks, stay, strict=True) if s]
+            content = content_lines(blocks)
+    region = _region(blocks, content, names)
+    rows = [(b, c) for b, c in zip(blocks, content, strict=True) if not region or not region.isdisjoint(b.path)]
+    first, last = 0, len(rows)
+    edge = lambda r: not r[1] and 2 * r[0].linked > len(r[0].text)
+    while first + 1 < last and edge(rows[first]):
+        first += 1
+    while first + 1 < last and edge(rows[last - 1]):
+        last -= 1
+    return "\n\n".join(b.text for b, _ in rows[first:last])
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -160,9 +243,10 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, html):
-                texts = [main_text(x) for x in decoded(part.column(html))]
-                yield pa.RecordBatch.from_arrays([part.column(key), part.column(url), pa.array([t.encode("utf-8", "replace").decode() for t in texts], pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[key, url, "text", "n_chars"])
+            for part in slices(batch, "c2"):
+                texts = [main_text(x) for x in decoded(part.column("c2"))]
+                yield pa.RecordBatch.from_arrays([part.column("c0"), part.column("c1"), pa.array([t.encode("utf-8", "replace").decode() for t in texts], pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["c0", "c1", "text", "n_chars"])
 
-    kinds = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in (key, url))
-    return pages.select(key, url, html).mapInArrow(run, f"{kinds}, text string, n_chars bigint")
+    kinds = ", ".join(f"c{i} {pages.schema[c].dataType.simpleString()}" for i, c in enumerate((key, url)))
+    rows = pages.select(*(pages[c].alias(f"c{i}") for i, c in enumerate((key, url, html)))).mapInArrow(run, f"{kinds}, text string, n_chars bigint")
+    return rows.withColumnsRenamed({"c0": key, "c1": url})

@@ -364,6 +364,46 @@ def test_html():
     assert htmltext.main_text("<nav>" * 3 + "x") == ""
 
 
+def made_page(rng, article):
+    """A page and its main text: blocks that are told by construction, not by the extractor."""
+    sentence = lambda n: " ".join(rng.choice("river stone field over under light sun moon &amp; caf&eacute; low".split()) for _ in range(n))
+    plain = lambda t: t.replace("&amp;", "&").replace("&eacute;", "é")
+    links = lambda n: "".join(f"<a href=/{k}>{sentence(2)}</a> " for k in range(n))
+    text, body = [], []
+    for k in range(rng.choice([3, 8, 300])):
+        t = sentence(rng.randrange(30, 60))
+        if k == 1:
+            body.append(f"<h2>{(h := sentence(3))}</h2>")
+            text.append(h)
+        name = rng.choice(["", " class='share-price'", " class=related-work", " id=discussion", " class='menu-plan'"])
+        body.append(f"<section{name}><p>{t}</p></section>" if name else f"<p><b>{t}</b>\n<i> </i>")
+        text.append(t)
+    region = f"<article>{''.join(body)}</article>" if article else f"<div class={rng.choice(['content', 'menu-plan', 'menu'])}>{''.join(body)}</div>"
+    noise = [f"<nav>{links(5)}</nav>", f"<div>{links(9)}</div>", f"<div class='ad big'>{sentence(6)}</div>", f"<div id=comments><p>{sentence(8)}</p><p>{sentence(9)}</p></div>"]
+    html = f"<html><head><title>{sentence(3)}</title><script>var a = '<p>x</p>'</script></head><body><header>{sentence(4)}</header>{noise[0]}{noise[1]}{noise[2]}<div><div>{region}</div></div>{noise[3]}<footer>{sentence(5)}</footer></body></html>"
+    return html, "\n\n".join(plain(t) for t in text)
+
+
+@pytest.mark.parametrize("article", [True, False])
+def test_html_of_made_pages(article, monkeypatch):
+    rng = random.Random(20 + article)
+    made = [made_page(rng, article) for _ in range(40)]
+    for html, text in made:
+        assert htmltext.main_text(html) == text
+    if not article:  # the region is chosen by the lines above the threshold
+        monkeypatch.setattr(htmltext, "threshold", lambda x: -1.0)
+        assert any(htmltext.main_text(html) != text for html, text in made)
+
+
+def test_html_keeps_articles_and_ends_open_items():
+    long = "a long paragraph of words that goes on for quite a while here"
+    assert htmltext.main_text(f"<article><p>a</p><p>b</p></article><article><p>{long}</p><p>{long}</p></article>") == f"a\n\nb\n\n{long}\n\n{long}"
+    assert htmltext.main_text(f"<article><p>{long}</p></article><article class=comment><p>{long} {long} {long}</p></article>") == long
+    assert htmltext.main_text("<div class=menu-plan><p>soup</p></div>") == "soup" and htmltext.main_text("<div class=menu>only</div>") == "only"
+    assert htmltext.main_text("<p>" + "<p>x" * 30_000) == "\n\n".join(["x"] * 30_000)
+    assert htmltext.main_text(f"<article><p>{'word ' * 400_000}</p></article>") == " ".join(["word"] * 400_000)
+
+
 def test_html_rows(pages):
     rows = htmltext.extract(pages).collect()
     assert len(rows) == len(PAGES) and all(r.n_chars == len(r.text) for r in rows)
