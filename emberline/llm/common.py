@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,12 +29,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set (local tests)."""
+    """The folder that driver and executors share; one of our own only where none is set, in local mode."""
     sc = spark.sparkContext
     if (own := sc._jsc.sc().getCheckpointDir()).isDefined():
         return own.get()
     if set_ := spark.conf.get("spark.checkpoint.dir", None):
         sc.setCheckpointDir(set_)
+    elif not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     else:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="emberline-"))
     return sc._jsc.sc().getCheckpointDir().get()
@@ -45,6 +48,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The same as a Parquet table of its own in the shared folder: smaller, and read by column."""
+    folder = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finalise 64-bit hashes, in place."""
     h ^= h >> np.uint64(30)

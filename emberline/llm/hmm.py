@@ -1,38 +1,60 @@
-"""Language-model scoring by a hidden Markov model over word classes.
-
-Counts of all training words are gathered as (hash, count). The most frequent words are classes of their own, the others
-share classes by hash; a word of a shared class has the add-one share of its count in that class. Latent states emit
-classes: Baum-Welch runs over all training texts, each task adds up expected counts, and the sums (states x classes, so
-of fixed size) make the next parameters. The first parameters come from the same steps on a bounded sample of segments
-of `SEGMENT` words, at about `FIRST` segments; it only sets where the passes over everything start.
-
-A text's probability is exact: a scaled forward recursion over its classes, times the words' shares in their classes.
-Counts of words that are frequent are held by every task, at most `HOT` of them; the others are joined by a shuffle.
-
-Defined results: null text is empty and has one token, its end; without training texts all counts are 0; rows of one key
-are scored each; a null key counts as the empty string in the split; other columns are not read.
+"""Language-model scoring by a hidden Markov model over words.
+
+1. Counts of all training words are gathered as (hash, count). Texts are coded once: a frequent word, of at most `hot`, by
+   its rank, any other by its place in the text's list of distinct rarer words. The coded texts are a table.
+2. Baum-Welch finds states and their moves from a start that no text shapes. Each of its rounds is a pass over all
+   training texts, in which each task adds up expected counts. In these rounds a state emits word classes: the `own` most
+   frequent words each are one, the others share `shared` by hash, at every size of corpus.
+3. One more pass gathers the expected counts of every training word by state, through a shuffle; their number grows with
+   the vocabulary. With c occurrences, of which g fall to state k, and the state's share s of all tokens, a word is told by
+   (g + `PRIOR` s) / (c + `PRIOR`), the state's probability given the word. Times the word's add-one probability, over
+   its sum for all words and the unknown one, that is the state's emission; it sums to one.
+4. A text's probability is exact: a scaled forward recursion over its words. Emissions of the frequent words are held by
+   every task; those of rarer ones come to each text by a join on the word and a shuffle on the text.
+
+Sequences beyond `run` tokens are worked on in runs, side by side. Products of step matrices give the states before and
+after each run, so expected counts and probabilities are those of the whole sequence; memory is bounded by runs.
+
+Hashes have 64 bits: among V distinct words V * V / 2^65 pairs are expected to share one and count as one word (3e-6 for
+10 million words, 0.03 for a billion).
+
+Defined results: null or empty text has one token, its end; a very long text is scored whole, by runs; words of equal count
+are ranked by hash; rows of one key are scored each; without training texts all counts are 0, and an empty table gives an
+empty result; a null key counts as the empty string in the split; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm.common import cut, slices, text_buffer, words
+from emberline.llm.common import cut, slices, stored, text_buffer, words
 from emberline.llm.langid import remainder
 
-STATES, OWN, SHARED = 8, 3583, 512
-CLASSES = 1 + OWN + SHARED  # the end is class 0
-HOT = 1 << 18
-SEGMENT, FIRST = 64, 8192
+STATES = 8
+PRIOR = 2.0
 END = np.uint64(0x0123456789ABCDEF)
+#: Tokens looked up at once.
+AHEAD = 1 << 15
 _SLICE = 4 << 20
-#: Tokens whose emissions are looked up at once, and the longest sequence of which all probabilities are kept.
-AHEAD, PIECES = 1 << 15, 1 << 16
+_G = [f"g{k}" for k in range(STATES)]
+
+
+class Sizes(NamedTuple):
+    own: int = 3583  # words that are classes of their own in Baum-Welch
+    shared: int = 512  # classes of all other words, a power of two
+    hot: int = 1 << 19  # most words whose counts and emissions every task holds, 48 bytes each
+    run: int = 1 << 16  # longest run of which all probabilities are kept
+    together: int = 3 << 20  # tokens of runs that are worked on together
+
+    @property
+    def classes(self) -> int:
+        return 1 + self.own + self.shared  # the end is class 0
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -43,82 +65,134 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
             yield part, np.insert(hashes, starts[1:], END), np.diff(starts) + 1
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(h, c) of all tokens of docs; partial counts of at most about a million words a task are held at once."""
+class _Sums:
+    """Sums of rows by hash, of at most about a million rows at once."""
 
-    def count(batches):
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+    def __init__(self) -> None:
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def merged():
-            h, at = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
-            return h, np.bincount(at, np.concatenate([c for _, c in held])).astype(np.int64)
+    def merged(self) -> tuple[np.ndarray, np.ndarray]:
+        h, at = np.unique(np.concatenate([x for x, _ in self.held]), return_inverse=True)
+        x = np.concatenate([c for _, c in self.held])
+        return h, np.stack([np.bincount(at, x[:, k], len(h)) for k in range(x.shape[1])], 1)
 
-        def out(h, c):
+    def add(self, h: np.ndarray, x: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        self.held.append((h, x))
+        if sum(len(h) for h, _ in self.held) > 1 << 20:
+            self.held = [self.merged()]
+            if len(self.held[0][0]) > 1 << 19:
+                yield from self.rest()
+
+    def rest(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if self.held:
+            h, x = self.merged()
             for i in range(0, len(h), 1 << 17):
-                yield pa.RecordBatch.from_arrays([pa.array(h[i : i + (1 << 17)].view(np.int64)), pa.array(c[i : i + (1 << 17)])], names=["h", "c"])
+                yield h[i : i + (1 << 17)], x[i : i + (1 << 17)]
+        self.held = []
+
 
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(h, c) of all tokens of docs."""
+
+    def count(batches):
+        sums = _Sums()
+        out = lambda h, x: pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(x[:, 0].astype(np.int64))], names=["h", "c"])
         for _, tokens, _ in _tokens(batches):
-            held.append(np.unique(tokens, return_counts=True))
-            if sum(len(h) for h, _ in held) > 1 << 20:
-                held = [merged()]
-                if len(held[0][0]) > 1 << 19:
-                    yield from out(*held[0])
-                    held = []
-        if held:
-            yield from out(*merged())
+            h, c = np.unique(tokens, return_counts=True)
+            for found in sums.add(h, c[:, None].astype(np.float64)):
+                yield out(*found)
+        for found in sums.rest():
+            yield out(*found)
 
     return docs.select("text").mapInArrow(count, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c"))
 
 
 class Vocabulary:
-    """Counts of frequent words, classes, and the totals of shared classes; of fixed size."""
+    """The frequent words by rank, and the classes of Baum-Welch; of fixed size."""
 
-    def __init__(self, counts: DataFrame) -> None:
+    def __init__(self, counts: DataFrame, sizes: Sizes = Sizes()) -> None:
+        self.sizes = sizes
         levels = sorted(((r["level"], r["n"], r["c"]) for r in counts.groupBy(self._level().alias("level")).agg(F.count("*").alias("n"), F.sum("c").alias("c")).collect()), reverse=True)
         self.total, self.distinct = sum(x[2] for x in levels), sum(x[1] for x in levels)
         held, self.level = 0, (levels[0][0] + 1 if levels else 0)
         for at, n, _ in levels:
-            if held + n > HOT:
+            if held + n > sizes.hot:
                 break
             held, self.level = held + n, at
         hot = counts.filter(self.frequent()).toArrow()
-        h, c = (hot.column(x).to_numpy().astype(np.int64) for x in ("h", "c"))
-        order = np.argsort(h.view(np.uint64), kind="stable")
-        self.h, self.c = h.view(np.uint64)[order], c[order]
-        self.cls = (1 + OWN + (self.h & np.uint64(SHARED - 1))).astype(np.int16)
-        first = np.lexsort((self.h, -self.c))
-        first = first[self.h[first] != END][:OWN]
-        self.cls[first] = np.arange(1, len(first) + 1)
+        h, c = hot.column("h").to_numpy().astype(np.int64).view(np.uint64), hot.column("c").to_numpy().astype(np.int64)
+        order = np.lexsort((h, -c))
+        self.h, self.c = h[order], c[order]  # by rank
+        self.sorted = np.argsort(self.h, kind="stable").astype(np.int32)
+        self.keys = self.h[self.sorted]
+        self.cls = self.shared_class(self.h)
+        own = np.flatnonzero(self.h != END)[: sizes.own]
+        self.cls[own] = np.arange(1, len(own) + 1)
         self.cls[self.h == END] = 0
-        sums, kinds = np.zeros(SHARED, np.int64), np.zeros(SHARED, np.int64)
-        for r in counts.groupBy(F.col("h").bitwiseAND(F.lit(SHARED - 1)).alias("k")).agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect():
-            sums[r["k"]], kinds[r["k"]] = r["c"], r["n"]
-        alone = self.cls <= OWN
-        np.subtract.at(sums, (self.h[alone] & np.uint64(SHARED - 1)).astype(int), self.c[alone])
-        np.subtract.at(kinds, (self.h[alone] & np.uint64(SHARED - 1)).astype(int), 1)
-        self.shared = np.log10(sums + kinds + 1.0)
-        of_class = np.zeros(CLASSES)
-        of_class[self.cls[alone]] = self.c[alone]
-        of_class[1 + OWN :] = sums
-        self.unigram = (of_class + 1) / (of_class.sum() + CLASSES)
-        own = np.flatnonzero(alone)
-        self.own_h, self.own_cls = self.h[own], self.cls[own]
+        of_class = np.zeros(sizes.classes)
+        by_class = F.when(F.col("h") == int(END), -1 - sizes.own).otherwise(F.col("h").bitwiseAND(F.lit(sizes.shared - 1)))
+        for r in counts.groupBy(by_class.alias("k")).agg(F.sum("c").alias("c")).collect():
+            of_class[1 + sizes.own + r["k"]] = r["c"]
+        np.subtract.at(of_class, self.shared_class(self.h[own]), self.c[own])
+        of_class[self.cls[own]] = self.c[own]
+        self.unigram = (of_class + 1) / (of_class.sum() + sizes.classes)
 
     @staticmethod
     def _level() -> Column:
         return F.floor(F.log2("c") * 8).cast("int")
 
+    def shared_class(self, h: np.ndarray) -> np.ndarray:
+        return np.where(h == END, 0, 1 + self.sizes.own + (h & np.uint64(self.sizes.shared - 1)).astype(np.int64)).astype(np.int16)
+
     def frequent(self) -> Column:
         """Whether a row of the counts is of a word that every task holds."""
         return self._level() >= self.level
 
-    def classes(self, tokens: np.ndarray) -> np.ndarray:
-        cls = (1 + OWN + (tokens & np.uint64(SHARED - 1))).astype(np.int16)
-        cls[tokens == END] = 0
-        if len(self.own_h):
-            at = np.minimum(np.searchsorted(self.own_h, tokens), len(self.own_h) - 1)
-            cls = np.where(self.own_h[at] == tokens, self.own_cls[at], cls)
-        return cls
+    def ranks(self, tokens: np.ndarray) -> np.ndarray:
+        """Rank of each token's word, -1 for rarer ones."""
+        if not len(self.keys):
+            return np.full(len(tokens), -1, np.int32)
+        at = np.minimum(np.searchsorted(self.keys, tokens), len(self.keys) - 1)
+        return np.where(self.keys[at] == tokens, self.sorted[at], np.int32(-1))
+
+
+_CODED = "row bigint, id {}, held_out boolean, n_tokens bigint, codes binary, rare array<bigint>"
+
+
+def coded(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """Texts as codes: a frequent word's rank, or the number of frequent words plus the place in the text's `rare`."""
+    kind = docs.schema["id"].dataType.simpleString()
+
+    def run(batches):
+        for part, tokens, lengths in _tokens(batches):
+            codes = vocabulary.ranks(tokens)
+            at = np.flatnonzero(codes < 0)
+            doc, h = np.repeat(np.arange(len(lengths)), lengths)[at], tokens[at]
+            order = np.lexsort((h, doc))
+            d, x = doc[order], h[order]
+            new = np.ones(len(order), bool)
+            new[1:] = (d[1:] != d[:-1]) | (x[1:] != x[:-1])
+            ends = np.concatenate([[0], np.cumsum(np.bincount(d[new], minlength=len(lengths)))])
+            codes[at[order]] = len(vocabulary.h) + np.cumsum(new) - 1 - ends[d]
+            bounds = (np.concatenate([[0], np.cumsum(lengths)]) * 4).astype(np.int32)
+            binary = pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(bounds), pa.py_buffer(codes.astype(np.int32))])
+            rare = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(x[new].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("held_out"), pa.array(lengths), binary, rare], names=["id", "held_out", "n_tokens", "codes", "rare"])
+
+    rows = docs.select("id", "held_out", "text").mapInArrow(run, _CODED.format(kind).removeprefix("row bigint, "))
+    return rows.withColumn("row", F.monotonically_increasing_id())
+
+
+def _read(batches: Iterator[pa.RecordBatch], hot: int, together: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """Parts of coded texts: codes (rarer words count on through the part), lengths, and the part's rarer words."""
+    for batch in batches:
+        for part in slices(batch, "codes", 4 * together):
+            data, offsets = text_buffer(part.column("codes"))
+            codes, lengths = np.frombuffer(data.tobytes(), np.int32).astype(np.int64), np.diff(offsets) // 4
+            lists = part.column("rare")
+            sizes = np.diff(lists.offsets.to_numpy())
+            codes += np.where(codes >= hot, np.repeat(np.cumsum(sizes) - sizes, lengths), 0)
+            yield part, codes, lengths, lists.flatten().to_numpy().astype(np.int64).view(np.uint64)
 
 
 class Layout:
@@ -131,8 +205,7 @@ class Layout:
         self.active = np.cumsum(np.bincount(lengths)[::-1])[::-1][1:].tolist()
         self.at = np.concatenate([[0], np.cumsum(self.active)])
         time = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        self.rank = np.repeat(rank, lengths)
-        self.place = self.at[time] + self.rank
+        self.place = self.at[time] + np.repeat(rank, lengths)
 
     def by_time(self, x: np.ndarray) -> np.ndarray:
         out = np.empty_like(x)
@@ -140,18 +213,26 @@ class Layout:
         return out
 
 
-def forward(obs: np.ndarray, emit: np.ndarray, start: np.ndarray, move: np.ndarray, lay: Layout, keep: bool = False) -> tuple[np.ndarray | None, np.ndarray]:
-    """Scales of the forward recursion over classes by time, and its scaled probabilities if they are to be kept.
-
-    Emissions are looked up for about AHEAD tokens at once, so a text of any length takes little memory.
-    """
-    alpha, scale = np.empty((len(obs), STATES), emit.dtype) if keep else None, np.empty(len(obs), emit.dtype)
-    at, a, loaded, first = lay.at.tolist(), None, None, 0
-    for t, n in enumerate(lay.active):
+def _emissions(obs: np.ndarray, emit: np.ndarray, lay: Layout) -> Iterator[np.ndarray]:
+    """Emissions of each step's tokens, looked up for about AHEAD at once."""
+    at, loaded, first = lay.at.tolist(), None, 0
+    for t in range(len(lay.active)):
         if loaded is None or at[t + 1] > first + len(loaded):
             first = at[t]
             loaded = emit[obs[first : max(at[t + 1], first + AHEAD)]]
-        a = (start if a is None else a[:n] @ move) * loaded[at[t] - first : at[t + 1] - first]
+        yield loaded[at[t] - first : at[t + 1] - first]
+
+
+def forward(obs: np.ndarray, emit: np.ndarray, begin: np.ndarray, move: np.ndarray, lay: Layout, keep: bool = False) -> tuple[np.ndarray | None, np.ndarray]:
+    """Scales of the forward recursion by time, and its scaled probabilities if they are to be kept.
+
+    begin: states before each sequence's first token, in the layout's order.
+    """
+    kind = np.result_type(emit, begin)
+    alpha, scale, at = np.empty((len(obs), STATES), kind) if keep else None, np.empty(len(obs), kind), lay.at.tolist()
+    a = None
+    for t, e in enumerate(_emissions(obs, emit, lay)):
+        a = (begin if a is None else a[: len(e)] @ move) * e
         s = a.sum(1)
         a /= s[:, None]
         scale[at[t] : at[t + 1]] = s
@@ -160,146 +241,237 @@ def forward(obs: np.ndarray, emit: np.ndarray, start: np.ndarray, move: np.ndarr
     return alpha, scale
 
 
-def pieces(lengths: np.ndarray) -> np.ndarray:
-    """Lengths with those beyond PIECES cut, for counting: a piece starts anew, which bounds memory."""
-    n = -(-lengths // PIECES)
-    out = np.full(n.sum(), PIECES)
-    out[np.cumsum(n) - 1] = lengths - (n - 1) * PIECES
-    return out
+def transfers(obs: np.ndarray, lengths: np.ndarray, emit: np.ndarray, move: np.ndarray) -> np.ndarray:
+    """Per run the product of its step matrices, up to a factor: from the state at its first token to that at its last."""
+    lay = Layout(lengths)
+    a, logs = None, np.zeros((len(lengths), STATES))
+    out = np.empty((len(lengths), STATES, STATES))
+    for e in _emissions(lay.by_time(obs), emit, lay):
+        if a is None:
+            a = np.eye(STATES) * e[:, None, :]
+        else:
+            out[len(e) : len(a)] = a[len(e) :]
+            a = (a[: len(e)] @ move) * e[:, None, :]
+        s = a.sum(2)
+        a = a / s[:, :, None]
+        logs[: len(e)] += np.log(s)
+    out[: len(a)] = a
+    out *= np.exp(logs - logs.max(1, keepdims=True))[:, :, None]
+    back = np.empty_like(out)
+    back[lay.order] = out
+    return back
+
+
+class Runs:
+    """Sequences cut to runs, with the states before and after each that the rest of its sequence implies."""
+
+    def __init__(self, obs: np.ndarray, lengths: np.ndarray, emit: np.ndarray, start: np.ndarray, move: np.ndarray, after: bool, sizes: Sizes) -> None:
+        run, self.together = sizes.run, sizes.together
+        n = -(-lengths // run)
+        self.lengths = np.full(n.sum(), run)
+        last = np.cumsum(n) - 1
+        self.lengths[last] = lengths - (n - 1) * run
+        self.first = np.zeros(len(self.lengths), bool)
+        self.first[last - n + 1] = True
+        self.before = np.tile(start, (len(self.lengths), 1)).astype(float)
+        self.after = np.ones((len(self.lengths), STATES))
+        self.moves = np.zeros((STATES, STATES))  # expected, from one run to the next
+        self.sequence = np.repeat(np.arange(len(lengths)), n)
+        begins = np.cumsum(self.lengths) - self.lengths
+        for k in np.flatnonzero(n > 1):
+            runs = np.arange(last[k] - n[k] + 1, last[k] + 1)
+            t = np.concatenate([transfers(obs[begins[r[0]] : begins[r[-1]] + self.lengths[r[-1]]], self.lengths[r], emit, move) for r in np.array_split(runs, max(1, len(runs) * run // self.together))])
+            ends = []
+            for j, r in enumerate(runs):
+                end = self.before[r] @ t[j]
+                ends.append(end / end.sum())
+                if j + 1 < len(runs):
+                    self.before[runs[j + 1]] = ends[-1] @ move
+            if after:
+                for j in range(len(runs) - 2, -1, -1):
+                    v = t[j + 1] @ self.after[runs[j + 1]]
+                    self.after[runs[j]] = move @ (v / v.sum())
+                    both = np.outer(ends[j], v) * move
+                    self.moves += both / both.sum()
+
+    def groups(self) -> Iterator[tuple[slice, slice]]:
+        """Runs of about `together` tokens, and their tokens."""
+        ends, at = np.cumsum(self.lengths), 0
+        while at < len(ends):
+            before = ends[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, before + self.together, "right")))
+            yield slice(at, to), slice(int(before), int(ends[to - 1]))
+            at = to
 
 
 class Model:
-    def __init__(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> None:
-        self.start, self.move, self.emit = start, move, emit  # emit: classes x states
+    def __init__(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray, sizes: Sizes) -> None:
+        self.start, self.move, self.emit, self.sizes = start, move, emit, sizes  # emit: classes x states
 
     @classmethod
-    def first(cls, unigram: np.ndarray) -> Model:
+    def first(cls, unigram: np.ndarray, sizes: Sizes) -> Model:
         noise = np.random.default_rng(5).uniform(0.5, 1.5, (len(unigram), STATES))
         emit = unigram[:, None] * noise
         move = np.full((STATES, STATES), 0.2 / (STATES - 1))
         np.fill_diagonal(move, 0.8)
-        return cls(np.full(STATES, 1 / STATES), move, emit / emit.sum(0))
+        return cls(np.full(STATES, 1 / STATES), move, emit / emit.sum(0), sizes)
 
-    def expected(self, cls: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Expected counts of starts, moves and emissions, in one vector."""
-        lay = Layout(pieces(lengths))
-        obs = lay.by_time(cls).astype(np.int64)
+    def posteriors(self, obs: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
+        """Per group of runs: its tokens, their state probabilities, and expected starts and moves."""
         emit, move = self.emit.astype(np.float32), self.move.astype(np.float32)
-        alpha, scale = forward(obs, emit, self.start.astype(np.float32), move, lay, keep=True)
-        at = lay.at.tolist()
-        moves, beta = np.zeros((STATES, STATES)), None
-        for t in range(len(lay.active) - 1, -1, -1):
-            n = lay.active[t]
-            new = np.ones((n, STATES), np.float32)
-            if beta is not None:
-                here = slice(at[t + 1], at[t + 2])
-                ahead = beta * emit[obs[here]] / scale[here, None]
-                moves += alpha[at[t] : at[t] + len(ahead)].T @ ahead
-                new[: len(ahead)] = ahead @ move.T
-            alpha[at[t] : at[t + 1]] *= new
-            beta = new
-        out = np.empty((CLASSES, STATES))
-        for s in range(STATES):
-            out[:, s] = np.bincount(obs, alpha[:, s], CLASSES)
-        return np.concatenate([alpha[: lay.active[0]].sum(0, dtype=np.float64), (moves * self.move).ravel(), out.ravel()])
+        runs = Runs(obs, lengths, self.emit, self.start, self.move, True, self.sizes)
+        extra = runs.moves
+        for which, tokens in runs.groups():
+            lay = Layout(runs.lengths[which])
+            seen = lay.by_time(obs[tokens])
+            alpha, scale = forward(seen, emit, runs.before[which][lay.order].astype(np.float32), move, lay, keep=True)
+            after, at, moves, beta = runs.after[which][lay.order].astype(np.float32), lay.at.tolist(), np.zeros((STATES, STATES)), None
+            for t in range(len(lay.active) - 1, -1, -1):
+                n, met = lay.active[t], 0 if beta is None else len(beta)
+                here = alpha[at[t] : at[t + 1]]
+                new = after[:n] / (here * after[:n]).sum(1, keepdims=True) if n > met else np.empty((n, STATES), np.float32)
+                if met:
+                    ahead = beta * emit[seen[at[t + 1] : at[t + 2]]] / scale[at[t + 1] : at[t + 2], None]
+                    moves += here[:met].T @ ahead
+                    new[:met] = ahead @ move.T
+                here *= new
+                beta = new
+            firsts = alpha[: lay.active[0]][runs.first[which][lay.order]].sum(0, dtype=np.float64)
+            yield tokens, alpha[lay.place], firsts, moves * self.move + extra
+            extra = 0.0
+
+    def expected(self, obs: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Expected counts of starts, moves and emissions, in one vector."""
+        total = np.zeros(STATES * (STATES + 1 + len(self.emit)))
+        for tokens, gamma, starts, moves in self.posteriors(obs, lengths):
+            out = np.stack([np.bincount(obs[tokens], gamma[:, s], len(self.emit)) for s in range(STATES)], 1)
+            total += np.concatenate([starts, moves.ravel(), out.ravel()])
+        return total
 
     @classmethod
-    def of_counts(cls, v: np.ndarray, unigram: np.ndarray) -> Model:
-        start, move, emit = v[:STATES] + 1, v[STATES : STATES * (STATES + 1)].reshape(STATES, STATES) + 1, v[STATES * (STATES + 1) :].reshape(CLASSES, STATES)
+    def of_counts(cls, v: np.ndarray, unigram: np.ndarray, sizes: Sizes) -> Model:
+        start, move, emit = v[:STATES] + 1, v[STATES : STATES * (STATES + 1)].reshape(STATES, STATES) + 1, v[STATES * (STATES + 1) :].reshape(-1, STATES)
         emit = emit + 50 * unigram[:, None]
-        return cls(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0))
+        return cls(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0), sizes)
 
 
-def _sample(docs: DataFrame, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """Classes and lengths of about FIRST segments, chosen by hash over all texts."""
-    among = max(1, vocabulary.total // SEGMENT)
-
-    def pick(batches):
-        for part, tokens, lengths in _tokens(batches):
-            cls, ends = vocabulary.classes(tokens), np.cumsum(lengths)
-            rows = []
-            for salt, end, n in zip(part.column("salt").to_pylist(), ends.tolist(), lengths.tolist(), strict=True):
-                k = np.arange(-(-n // SEGMENT), dtype=np.uint64)
-                x = (k + np.uint64(salt % 2**64)) * np.uint64(0x9E3779B97F4A7C15)
-                x ^= x >> np.uint64(32)
-                x *= np.uint64(0xD6E8FEB86659FD93)
-                for j in np.flatnonzero((x >> np.uint64(8)) % np.uint64(among) < FIRST).tolist():
-                    rows.append((salt, j, cls[end - n + j * SEGMENT : min(end, end - n + (j + 1) * SEGMENT)].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=["salt", "j", "cls"])
-
-    rows = sorted(docs.select("text", F.xxhash64("id", "text").alias("salt")).mapInArrow(pick, "salt bigint, j bigint, cls binary").collect())
-    parts = [np.frombuffer(r["cls"], np.int16) for r in rows]
-    return (np.concatenate(parts), np.array([len(x) for x in parts])) if parts else (np.zeros(0, np.int16), np.zeros(0, np.int64))
-
-
-def train(docs: DataFrame, vocabulary: Vocabulary, passes: int, first_rounds: int = 12) -> Model:
-    """Baum-Welch: first_rounds on the sample, then passes over all docs."""
-    model = Model.first(vocabulary.unigram)
-    sample, lengths = _sample(docs, vocabulary)
-    for _ in range(first_rounds if len(sample) else 0):
-        model = Model.of_counts(model.expected(sample, lengths), vocabulary.unigram)
-    for _ in range(passes):
+def train(texts: DataFrame, vocabulary: Vocabulary, rounds: int) -> Model:
+    """Baum-Welch over coded texts; each round is a pass over all of them."""
+    sizes, hot = vocabulary.sizes, len(vocabulary.h)
+    model = Model.first(vocabulary.unigram, sizes)
+    for _ in range(rounds):
 
         def add_up(batches, model=model):
             total = None
-            for _, tokens, lengths in _tokens(batches):
-                v = model.expected(vocabulary.classes(tokens), lengths)
+            for _, codes, lengths, rare in _read(batches, hot, sizes.together):
+                cls = np.concatenate([vocabulary.cls, vocabulary.shared_class(rare)])[codes].astype(np.int64)
+                v = model.expected(cls, lengths)
                 total = v if total is None else total + v
             if total is not None:
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], names=["at", "x"])
 
-        sums = docs.select("text").mapInArrow(add_up, "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).toArrow()
-        v = np.zeros(STATES * (STATES + 1 + CLASSES))
+        sums = texts.select("codes", "rare").mapInArrow(add_up, "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).toArrow()
+        v = np.zeros(STATES * (STATES + 1 + sizes.classes))
         v[sums.column("at").to_numpy()] = sums.column("x").to_numpy()
-        model = Model.of_counts(v, vocabulary.unigram)
+        model = Model.of_counts(v, vocabulary.unigram, sizes)
     return model
 
 
-_SCORED = "n_tokens bigint, known bigint, base double, inner double, rare array<bigint>"
+def word_states(texts: DataFrame, vocabulary: Vocabulary, model: Model) -> DataFrame:
+    """(h, g0, g1, ...): expected occurrences of each word of coded texts by state."""
+    hot, sizes = len(vocabulary.h), vocabulary.sizes
 
-
-def _score(docs: DataFrame, vocabulary: Vocabulary, model: Model) -> DataFrame:
-    """Per text what needs no join: base and inner lack the logarithms of the counts of rare words, which are listed."""
-    kind = docs.schema["id"].dataType.simpleString()
+    def count(batches):
+        sums, held = _Sums(), np.zeros((hot, STATES))
+        out = lambda h, x: pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), *(pa.array(x[:, k].astype(np.float32)) for k in range(STATES))], names=["h", *_G])
+        for _, codes, lengths, rare in _read(batches, hot, sizes.together):
+            cls = np.concatenate([vocabulary.cls, vocabulary.shared_class(rare)])[codes].astype(np.int64)
+            of_rare = np.zeros((len(rare), STATES))
+            for tokens, gamma, _, _ in model.posteriors(cls, lengths):
+                x = np.stack([np.bincount(codes[tokens], gamma[:, k], hot + len(rare)) for k in range(STATES)], 1)
+                held += x[:hot]
+                of_rare += x[hot:]
+            if len(rare):
+                for found in sums.add(rare, of_rare):
+                    yield out(*found)
+        for found in sums.rest():
+            yield out(*found)
+        at = np.flatnonzero(held.any(1))
+        for i in range(0, len(at), 1 << 17):
+            yield out(vocabulary.h[at[i : i + (1 << 17)]], held[at[i : i + (1 << 17)]])
+
+    rows = texts.select("codes", "rare").mapInArrow(count, "h bigint, " + ", ".join(f"{g} float" for g in _G))
+    return rows.groupBy("h").agg(*(F.sum(g).alias(g) for g in _G))
+
+
+def emissions(counts: DataFrame, states: DataFrame, total: int, distinct: int) -> tuple[DataFrame, np.ndarray]:
+    """(h, c, r) with r the ratios of a word's emissions to its add-one probability, by state; and r of unknown words."""
+    rows = cut(counts.join(states, "h", "left").select("h", "c", *(F.coalesce(g, F.lit(0.0)).alias(g) for g in _G)))
+    sums = rows.agg(*(F.sum(g) for g in _G)).first()
+    share = np.array([x or 0.0 for x in sums]) + 1e-9
+    share /= share.sum()
+    told = [(F.col(g) + PRIOR * float(s)) / (F.col("c") + PRIOR) for g, s in zip(_G, share, strict=True)]
+    norm = rows.agg(*(F.sum(x * (F.col("c") + 1)) for x in told)).first()
+    norm = (np.array([x or 0.0 for x in norm]) + share) / (total + distinct + 1)
+    return rows.select("h", "c", F.array(*((x / F.lit(float(n))).cast("float") for x, n in zip(told, norm, strict=True))).alias("r")), share / norm
+
+
+def _score(texts: DataFrame, table: tuple[np.ndarray, np.ndarray], unknown: np.ndarray, model: Model) -> DataFrame:
+    """Scores of coded texts with found, the known ones of their rarer words; emissions are relative to add-one ones."""
+    kind = texts.schema["id"].dataType.simpleString()
+    hot_c, hot_r = table
+    hot = len(hot_c)
 
     def run(batches):
-        log_c, norm = np.log10(vocabulary.c + 1.0), np.concatenate([np.zeros(1 + OWN), vocabulary.shared])
-        for part, tokens, lengths in _tokens(batches):
-            if len(vocabulary.h):
-                at = np.minimum(np.searchsorted(vocabulary.h, tokens), len(vocabulary.h) - 1)
-                hot = vocabulary.h[at] == tokens
-                log_hot = np.where(hot, log_c[at], 0.0)
-            else:
-                hot, log_hot = np.zeros(len(tokens), bool), np.zeros(len(tokens))
-            cls = vocabulary.classes(tokens)
-            lay = Layout(lengths)
-            _, scale = forward(lay.by_time(cls), model.emit, model.start, model.move, lay)
-            ends = np.cumsum(lengths)
-            begin = ends - lengths
-            inner = np.add.reduceat(np.log10(scale)[lay.place] + np.where(cls > OWN, log_hot, 0.0) - norm[cls], begin)
-            base = np.add.reduceat(log_hot, begin)
-            rare = ~hot & (tokens != END)
-            starts = np.concatenate([[0], np.cumsum(np.add.reduceat(rare.astype(np.int64), begin))])
-            lists = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(tokens[rare].view(np.int64)))
-            known = np.add.reduceat(hot.astype(np.int64), begin)
-            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("held_out"), pa.array(lengths), pa.array(known), pa.array(base), pa.array(inner), lists], names=["id", "held_out", "n_tokens", "known", "base", "inner", "rare"])
-
-    return docs.select("id", "held_out", "text").mapInArrow(run, f"id {kind}, held_out boolean, {_SCORED}")
-
-
-def score(docs: DataFrame, key: str = "doc_id", text: str = "text", modulus: int = 7, held: int = 2, passes: int = 2) -> DataFrame:
+        log_hot = np.log10(hot_c + 1.0)
+        for batch in batches:
+            found = batch.column("found").flatten()
+            at, c = found.field("at").to_numpy(), found.field("c").to_numpy()
+            r = found.field("r").flatten().to_numpy().reshape(-1, STATES)
+            known_of = np.diff(batch.column("found").offsets.to_numpy())
+            row = 0
+            for part, codes, lengths, rare in _read([batch], hot, model.sizes.together):
+                sizes = np.diff(part.column("rare").offsets.to_numpy())
+                lo, hi = int(known_of[:row].sum()), int(known_of[: row + part.num_rows].sum())
+                place = np.repeat(np.cumsum(sizes) - sizes, known_of[row : row + part.num_rows]) + at[lo:hi]
+                row += part.num_rows
+                emit = np.concatenate([hot_r, np.tile(unknown.astype(np.float32), (len(rare), 1))])
+                emit[hot + place] = r[lo:hi]
+                logs = np.concatenate([log_hot, np.zeros(len(rare))])
+                logs[hot + place] = np.log10(c[lo:hi] + 1.0)
+                known = np.concatenate([np.ones(hot, np.int64), np.zeros(len(rare), np.int64)])
+                known[hot + place] = 1
+                begin = np.cumsum(lengths) - lengths
+                inner = np.zeros(len(lengths))
+                runs = Runs(codes, lengths, emit, model.start, model.move, False, model.sizes)
+                for which, tokens in runs.groups():
+                    lay = Layout(runs.lengths[which])
+                    _, scale = forward(lay.by_time(codes[tokens]), emit, runs.before[which][lay.order], model.move, lay)
+                    ends = np.cumsum(runs.lengths[which])
+                    np.add.at(inner, runs.sequence[which], np.add.reduceat(np.log10(scale)[lay.place], ends - runs.lengths[which]))
+                columns = [pa.array(np.add.reduceat(known[codes], begin)), pa.array(np.add.reduceat(logs[codes], begin)), pa.array(inner)]
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("held_out"), part.column("n_tokens"), *columns], names=["id", "held_out", "n_tokens", "n_known", "base", "inner"])
+
+    return texts.select("id", "held_out", "n_tokens", "codes", "rare", "found").mapInArrow(run, f"id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base double, inner double")
+
+
+def score(docs: DataFrame, key: str = "doc_id", text: str = "text", modulus: int = 7, held: int = 2, rounds: int = 8, sizes: Sizes = Sizes()) -> DataFrame:
     """Per row: key, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     docs = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), (remainder(key, modulus) == held).alias("held_out"))
-    training = docs.filter(~F.col("held_out"))
-    counts = cut(word_counts(training))
-    vocabulary = Vocabulary(counts)
-    model = train(training, vocabulary, passes)
-    rows = cut(_score(docs, vocabulary, model).withColumn("row", F.monotonically_increasing_id()))
-    rare = rows.select("row", F.explode("rare").alias("h")).join(counts.filter(~vocabulary.frequent()), "h")
-    rare = rare.groupBy("row").agg(F.sum(F.log10(F.col("c") + 1)).alias("logs"), F.count("*").alias("found"))
-    logs, found = F.coalesce("logs", F.lit(0.0)), F.coalesce("found", F.lit(0))
+    counts = cut(word_counts(docs.filter(~F.col("held_out"))))
+    vocabulary = Vocabulary(counts, sizes)
+    texts = stored(coded(docs, vocabulary))
+    training = texts.filter(~F.col("held_out"))
+    model = train(training, vocabulary, rounds)
     total, distinct = vocabulary.total, vocabulary.distinct
-    base = F.col("base") + logs - F.col("n_tokens") * F.log10(F.lit(float(total + distinct + 1)))
-    return rows.drop("rare").join(rare, "row", "left").select(
-        F.col("id").alias(key), "held_out", "n_tokens", (F.col("known") + found).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("inner") + logs).alias("score")
-    )
+    told, unknown = emissions(counts, word_states(training, vocabulary, model), total, distinct)
+    hot = told.filter(vocabulary.frequent()).toArrow()
+    c, h = hot.column("c").to_numpy(), hot.column("h").to_numpy().astype(np.int64).view(np.uint64)
+    order = np.lexsort((h, -c))
+    r = hot.column("r").combine_chunks().flatten().to_numpy().reshape(-1, STATES)[order] if len(c) else np.zeros((0, STATES), np.float32)
+    asked = texts.select("row", F.posexplode("rare").alias("at", "h"))
+    found = asked.join(told.filter(~vocabulary.frequent()), "h").groupBy("row").agg(F.collect_list(F.struct("at", "c", "r")).alias("found"))
+    empty = F.array().cast("array<struct<at:int,c:bigint,r:array<float>>>")
+    rows = _score(texts.join(found, "row", "left").withColumn("found", F.coalesce("found", empty)), (c[order], r), unknown, model)
+    base = F.col("base") - F.col("n_tokens") * F.log10(F.lit(float(total + distinct + 1)))
+    return rows.select(F.col("id").alias(key), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("inner") + base).alias("score"))

@@ -116,36 +116,109 @@ def test_lm_scores(docs, empty):
     assert hmm.score(empty).count() == 0
 
 
-def test_forward_is_exact_and_training_helps():
+def brute_model(texts, train, rounds, sizes):
+    """The language model by plain loops over single texts: classes, Baum-Welch, words by state, and log10 scores."""
+    import numpy as np
+
+    word = lambda t: hmm.words(*hmm.text_buffer(hmm.pa.array([t])))[0].tolist()
+    tokens = [[*word(t or ""), int(hmm.END)] for t in texts]
+    c = collections.Counter(h for t, use in zip(tokens, train, strict=True) if use for h in t)
+    total, distinct, k = sum(c.values()), len(c), hmm.STATES
+    levels, held = collections.Counter(math.floor(math.log2(n) * 8) for n in c.values()), set()
+    for at in sorted(levels, reverse=True):
+        if sum(levels[x] for x in held) + levels[at] > sizes.hot:
+            break
+        held.add(at)
+    hot = [h for h in c if math.floor(math.log2(c[h]) * 8) in held and h != int(hmm.END)]
+    own = {h: 1 + i for i, h in enumerate(sorted(hot, key=lambda h: (-c[h], h))[: sizes.own])}
+    cls = lambda h: 0 if h == int(hmm.END) else own.get(h, 1 + sizes.own + (h & (sizes.shared - 1)))
+    unigram = np.ones(sizes.classes)
+    for h, n in c.items():
+        unigram[cls(h)] += n
+    unigram /= unigram.sum()
+    model = hmm.Model.first(unigram, sizes)
+
+    def gammas(t):
+        e = model.emit[[cls(h) for h in t]]
+        a, b = np.zeros((len(t), k)), np.ones((len(t), k))
+        a[0] = model.start * e[0]
+        for i in range(1, len(t)):
+            a[i] = (a[i - 1] / a[i - 1].sum()) @ model.move * e[i]
+        moves = np.zeros((k, k))
+        for i in range(len(t) - 2, -1, -1):
+            b[i] = model.move @ (e[i + 1] * b[i + 1])
+            both = np.outer(a[i], e[i + 1] * b[i + 1]) * model.move
+            moves += both / both.sum()
+            b[i] /= b[i].sum()
+        g = a * b
+        return g / g.sum(1, keepdims=True), moves
+
+    for _ in range(rounds):
+        v, moves, out = np.zeros(k), np.zeros((k, k)), np.zeros((sizes.classes, k))
+        for t, use in zip(tokens, train, strict=True):
+            if use:
+                g, m = gammas(t)
+                v, moves = v + g[0], moves + m
+                for h, x in zip(t, g, strict=True):
+                    out[cls(h)] += x
+        model = hmm.Model.of_counts(np.concatenate([v, moves.ravel(), out.ravel()]), unigram, sizes)
+    state = collections.defaultdict(lambda: np.zeros(k))
+    for t, use in zip(tokens, train, strict=True):
+        if use:
+            for h, x in zip(t, gammas(t)[0], strict=True):
+                state[h] += x
+    share = sum(state.values()) / total
+    told = {h: (state[h] + hmm.PRIOR * share) / (c[h] + hmm.PRIOR) for h in c}
+    plain = {h: (c[h] + 1) / (total + distinct + 1) for h in c}
+    norm = sum(told[h] * plain[h] for h in c) + share / (total + distinct + 1)
+    assert sum(told[h] * plain[h] / norm for h in c) + share / norm / (total + distinct + 1) == pytest.approx(np.ones(k))
+    out = []
+    for t in tokens:
+        logs, a = 0.0, model.start
+        for i, h in enumerate(t):
+            a = (a if i == 0 else a @ model.move) * (told[h] * plain[h] if h in c else share / (total + distinct + 1)) / norm
+            logs, a = logs + math.log10(a.sum()), a / a.sum()
+        out.append(logs)
+    return out
+
+
+@pytest.mark.parametrize("hot,run,together", [(1 << 19, 1 << 16, 3 << 20), (12, 4, 8), (0, 7, 1 << 20)])
+def test_scores_are_those_of_plain_loops(spark, hot, run, together):
+    """Words held by tasks or joined, long texts in runs, and parts of any size give the same probabilities."""
+    sizes = hmm.Sizes(9, 4, hot, run, together)
+    rng = random.Random(6)
+    texts = [prose(rng, rng.choice([1, 5, 40, 90]), extra=[f"rare{rng.randrange(30)}"]) for _ in range(40)] + ["", None, "unseen"]
+    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(texts))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    want = brute_model(texts, [not h for h in held], 3, sizes)
+    got = {r.doc_id: r for r in hmm.score(df, rounds=3, sizes=sizes).collect()}
+    for i, x in enumerate(want):
+        assert got[i].held_out == held[i] and got[i].score == pytest.approx(x, rel=2e-4)
+
+
+def test_runs_change_nothing():
+    """Expected counts of a long sequence are the same whole and in runs; its likelihood grows with training."""
     import numpy as np
 
     rng = np.random.default_rng(2)
-    unigram = np.full(hmm.CLASSES, 1 / hmm.CLASSES)
-    model = hmm.Model.first(unigram)
-    lengths = np.array([1, 7, 3, 30])
-    cls = (np.cumsum(rng.integers(0, 3, lengths.sum())) % 9).astype(np.int16)
+    sizes = hmm.Sizes()
+    unigram = np.full(sizes.classes, 1 / sizes.classes)
+    model = hmm.Model.first(unigram, sizes)
+    lengths = np.array([1, 7, 3, 300])
+    cls = (np.cumsum(rng.integers(0, 3, lengths.sum())) % 9).astype(np.int64)
     before = None
     for _ in range(5):
+        whole = model.expected(cls, lengths)
+        for run, together in ((4, 1 << 20), (50, 64)):
+            cut = hmm.Model(model.start, model.move, model.emit, sizes._replace(run=run, together=together))
+            assert cut.expected(cls, lengths) == pytest.approx(whole, rel=1e-3, abs=1e-3)
+        assert whole[: hmm.STATES].sum() == pytest.approx(4, rel=1e-5) and whole.sum() == pytest.approx(4 + lengths.sum() - 4 + lengths.sum(), rel=1e-5)
         lay = hmm.Layout(lengths)
-        _, scale = hmm.forward(lay.by_time(cls), model.emit, model.start, model.move, lay)
-        logs = np.add.reduceat(np.log(scale)[lay.place], np.cumsum(lengths) - lengths)
-        at = 0
-        for n, got in zip(lengths, logs, strict=True):
-            a = model.start * model.emit[cls[at]]
-            for c in cls[at + 1 : at + n]:
-                a = (a @ model.move) * model.emit[c]
-            assert got == pytest.approx(np.log(a.sum()), rel=1e-9)
-            at += n
-        assert before is None or logs.sum() > before - 1e-6
-        before = logs.sum()
-        model = hmm.Model.of_counts(model.expected(cls, lengths), unigram)
-
-
-def test_long_sequences_are_counted_in_pieces(monkeypatch):
-    import numpy as np
-
-    monkeypatch.setattr(hmm, "PIECES", 4)
-    assert hmm.pieces(np.array([3, 4, 9])).tolist() == [3, 4, 4, 4, 1]
+        _, scale = hmm.forward(lay.by_time(cls), model.emit, np.tile(model.start, (4, 1)), model.move, lay)
+        logs = np.log(scale).sum()
+        assert before is None or logs > before - 1e-6
+        before = logs
+        model = hmm.Model.of_counts(whole, unigram, sizes)
 
 
 def test_trigrams_in_pieces():
