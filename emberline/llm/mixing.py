@@ -5,11 +5,17 @@ integral over the whole time is the target. The cumulative demand D(t) = target
 to give each document of the source, laid end to end in a fixed pseudo-random order, its training position. Documents
 are then range-sorted by position.
 
+A copy of a document is in the mix if training reaches its position within the time, and its words are those up to the end
+of the demand; so what is taken follows from the positions.
+
 A source may hold a third of all rows, so running sums are taken in two steps: per bucket of the order hash, then within
-a bucket; no task gets a whole source. Only one row per source meets in one task.
+a bucket; no task gets a whole source. One row per source meets in one task to set targets: some 100 bytes each, spilled
+beyond memory, so up to about a hundred million sources.
 
-Defined results: null text has no words; null source is a source of its own, last; documents without words take
-nothing; of repeated rows each is a document; an empty table gives an empty result.
+Defined results: null or empty text has no words; very long texts are counted whole; null source is a source of its own,
+last; ties of the order hash (a repeated key) go by key and size, and equal rows are one document each; a document
+without words takes nothing and has no position; an empty table gives an empty result; other columns are not read,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -20,6 +26,7 @@ from pyspark.sql import functions as F
 from emberline.llm.common import cut
 
 WORD = r"[^\x20\x09-\x0D]+"
+_COPIES = "array<struct<copy:int,words:bigint,position:double>>"
 
 
 def _source_key(source: str) -> Column:
@@ -46,7 +53,7 @@ def targets(sizes: DataFrame, share: float, cap: float, weights: list[int], slop
 
 
 def assign(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", share: float = 1.5, cap: float = 2.0, weights: tuple = (5, 2, 1), slopes: tuple = (-0.5, 0.0, 0.5), seed: str = "mix") -> DataFrame:
-    """Per document: size, source_size, target, taken words, and copies, an array of (copy, words, position)."""
+    """Per document: size, source_size, target, taken words, first_position, and copies, an array of (copy, words, position)."""
     base = cut(
         docs.select(
             F.col(key).alias("id"),
@@ -61,20 +68,29 @@ def assign(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     offsets = buckets.withColumn("before", F.coalesce(F.sum("n").over(running), F.lit(0))).drop("n").join(goals.select("sk", "source_size", "target", "slope"), "sk")
     inside = Window.partitionBy("sk", "bucket").orderBy("order", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = base.join(offsets, ["sk", "bucket"]).withColumn("start", F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    whole = F.floor(F.try_divide(F.col("target"), F.col("source_size")))
-    placed = placed.withColumn("rounds", F.coalesce(whole, F.lit(0)))
-    rest = F.floor(F.col("target")) - F.col("rounds") * F.col("source_size")
-    placed = placed.withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("start"))).cast("long"))
+    # copies begin where earlier ones end; the demand is met when it reaches the target
+    reached = F.floor("target")
+    begin = lambda copy: copy * F.col("source_size") + F.col("start")
 
     def position(copy: Column) -> Column:
-        demand, ramp = F.try_divide(copy * F.col("source_size") + F.col("start"), F.col("target")), 1 - F.col("slope")
+        demand, ramp = F.try_divide(begin(copy), F.col("target")), 1 - F.col("slope")
         return 2 * demand / (ramp + F.sqrt(ramp * ramp + 4 * F.col("slope") * demand))
 
-    rounds = F.col("rounds").cast("int")
-    copies = F.transform(F.sequence(F.lit(0), rounds), lambda c: F.struct(c.alias("copy"), F.when(c < rounds, F.col("size")).otherwise(F.col("part")).alias("words"), position(c).alias("position")))
-    copies = F.when(F.col("target") > 0, F.filter(copies, lambda c: c["words"] > 0)).otherwise(F.array().cast("array<struct<copy:int,words:bigint,position:double>>"))
-    taken = F.when(F.col("size") > 0, F.col("rounds").cast("long") * F.col("size") + F.col("part")).otherwise(F.lit(0)).cast("long")
-    return placed.select(F.col("id").alias(key), F.when(F.col("sk") != "t", F.substring("sk", 2, 1 << 30)).alias(source), "size", "source_size", "target", taken.alias("taken"), copies.alias("copies"))
+    def words(copy: Column) -> Column:
+        return F.greatest(F.lit(0), F.least(F.col("size"), reached - begin(copy))).cast("long")
+
+    last = F.coalesce(F.floor(F.try_divide(reached, F.col("source_size"))), F.lit(0)).cast("int")
+    made = F.transform(F.sequence(F.lit(0), last), lambda c: F.struct(c.alias("copy"), words(c).alias("words"), position(c).alias("position")))
+    copies = F.filter(F.when((F.col("target") > 0) & (F.col("size") > 0), made).otherwise(F.array().cast(_COPIES)), lambda c: (c["words"] > 0) & (c["position"] <= 1))
+    taken = F.aggregate("copies", F.lit(0).cast("long"), lambda a, c: a + c["words"])
+    out = placed.withColumn("copies", copies).withColumn("taken", taken).withColumn("first_position", F.get("copies", F.lit(0))["position"])
+    return out.select(F.col("id").alias(key), F.when(F.col("sk") != "t", F.substring("sk", 2, 1 << 30)).alias(source), "size", "source_size", "target", "taken", "first_position", "copies")
+
+
+def by_position(assigned: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Documents range-sorted by where training first reads them; those that it doesn't read come last."""
+    at = F.coalesce("first_position", F.lit(2.0))
+    return assigned.repartitionByRange(at, F.col(key)).sortWithinPartitions(at, key)
 
 
 def training_order(assigned: DataFrame, key: str = "doc_id") -> DataFrame:

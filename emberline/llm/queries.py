@@ -19,8 +19,8 @@ def op2_lm_scores(spark, sf_dir):
 
 
 def op3_mixing(spark, sf_dir):
-    rows = mixing.assign(table(spark, sf_dir, "documents"))
-    return rows.select("doc_id", "size", "source_size", "target", "taken")
+    rows = mixing.by_position(mixing.assign(table(spark, sf_dir, "documents")))
+    return rows.select("doc_id", "size", "source_size", "target", "taken", F.round("first_position", 9).alias("first_position"))
 
 
 def op4_token_counts(spark, sf_dir):
@@ -56,7 +56,7 @@ def op8_html_text(spark, sf_dir):
 def op9_language(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").withColumn("held_out", langid.remainder("doc_id", 5) == 0)
     model = langid.train(docs.filter(~F.col("held_out")))
-    return langid.predict(docs, model, keep=("held_out",)).select("doc_id", "held_out", "lang_pred", "score")
+    return langid.predict(docs, model, keep=("held_out",)).select("doc_id", "held_out", "lang_pred", "score", F.transform("langs", lambda x: x["lang"]).alias("langs"))
 
 
 def op10_url_filter(spark, sf_dir):
@@ -95,14 +95,17 @@ lv AS (
     (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(most) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS level
   FROM w WINDOW b AS (ORDER BY most / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 goal AS (
-  SELECT sk, source_size, CASE WHEN level > full_at THEN most ELSE weight * max(CASE WHEN level <= full_at THEN level END) OVER () END AS target FROM lv),
+  SELECT sk, source_size, CASE rank % 3 WHEN 0 THEN -0.5::DOUBLE WHEN 1 THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END AS slope, CASE WHEN level > full_at THEN most ELSE weight * max(CASE WHEN level <= full_at THEN level END) OVER () END AS target FROM lv),
 placed AS (
-  SELECT b.*, g.source_size, g.target, coalesce(sum(b.size) OVER (PARTITION BY b.sk ORDER BY o, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
+  SELECT b.*, g.source_size, g.target, g.slope, coalesce(sum(b.size) OVER (PARTITION BY b.sk ORDER BY o, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
     CASE WHEN g.source_size > 0 THEN floor(g.target / g.source_size) ELSE 0 END AS rounds
-  FROM base b JOIN goal g USING (sk))
-SELECT doc_id, size, source_size, target,
-  (CASE WHEN size > 0 THEN rounds * size + greatest(0, least(size, floor(target) - rounds * source_size - start)) ELSE 0 END)::BIGINT AS taken
-FROM placed"""
+  FROM base b JOIN goal g USING (sk)),
+found AS (
+  SELECT *, (CASE WHEN size > 0 THEN rounds * size + greatest(0, least(size, floor(target) - rounds * source_size - start)) ELSE 0 END)::BIGINT AS taken,
+    CASE WHEN target > 0 THEN start / target END AS demand FROM placed)
+SELECT doc_id, size, source_size, target, taken,
+  CASE WHEN taken > 0 THEN round(2 * demand / ((1 - slope) + sqrt((1 - slope) * (1 - slope) + 4 * slope * demand)), 9) END AS first_position
+FROM found"""
 
 OP6 = rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all({_LOW.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
