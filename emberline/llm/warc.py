@@ -1,20 +1,21 @@
 """WARC archives with revisit resolution.
 
-`write` shuffles headers only (payload digest, page, url) to find, of each payload of at least `least` bytes, the record
-that stays a response; that decision is joined to the pages, and each page is written with fresh headers: a response with
-its payload or a revisit that refers to it. `read` takes archives apart by Content-Length, one file at a time; files are
-bounded by records. `resolve` joins revisits to the responses they repeat, by digest.
-
-A payload may be that of a third of all pages: winners come from partial aggregates, and both joins are plain sort-merge
-joins whose large side Spark splits when it is skewed.
-
-Defined results: null html is an empty payload; null url is empty; of repeated rows with the largest page_id each is a
-response; null page_ids come before all others; an empty table writes no archive; other columns are not read.
+`write` decides on headers alone: digests of payloads of at least `least` bytes are counted with partial aggregation, and
+those that repeat are joined back to the headers. A digest may be that of a third of all pages: only headers meet on it,
+in a join of two written tables, which adaptive execution splits. The revisits found are a table too; it is joined to
+the pages by page and digest, without a shuffle of the pages where it is small, otherwise with one that no digest can skew.
+
+Each page is written with fresh headers: a response with its payload or a revisit that refers to it. `read` takes archives
+apart by Content-Length; lines of a file reach the parser as they are decompressed, so files may be of any size and a
+task holds one record. `resolve` joins revisits to the responses they repeat, by digest.
+
+Defined results: null or empty html is an empty payload; null url is empty; very long payloads are written whole; of
+repeated rows with the largest page_id each is a response; null page_ids come before all others; an empty table writes no
+archive and gives no rows; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
-import gzip
 import hashlib
 import io
 import uuid
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm.common import shared_dir
+from emberline.llm.common import shared_dir, stored
 
 CRLF = "\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -51,12 +52,9 @@ def write(pages: DataFrame, folder: str, page: str = "page_id", url: str = "url"
     """Write deduplicated archives: gzip files of records, each file one stream."""
     payload = F.coalesce(F.col(html), F.lit(""))
     rows = pages.select(F.col(page).alias("page"), F.coalesce(F.col(url), F.lit("")).alias("url"), payload.alias("payload"), F.sha1(payload).alias("digest"), F.octet_length(payload).alias("n"))
-    heads = rows.filter(F.col("n") >= least).groupBy("digest").agg(F.max(F.struct("page", "url")).alias("first"), F.count("*").alias("records"))
-    heads = heads.filter("records > 1").select(F.col("digest").alias("key"), F.col("first.page").alias("first_page"), F.col("first.url").alias("first_url"))
-    # payloads that are too short find no match, each under a key of its own
-    rows = rows.withColumn("key", F.when(F.col("n") >= least, F.col("digest")).otherwise(F.concat(F.lit("-"), F.md5(F.coalesce(F.col("page").cast("string"), F.lit(""))))))
-    rows = rows.join(heads, "key", "left")
-    again = F.col("first_page").isNotNull() & ~F.col("page").eqNullSafe(F.col("first_page"))
+    again = revisits(rows.filter(F.col("n") >= least).select("page", "url", "digest"))
+    rows = rows.join(again, rows["page"].eqNullSafe(again["again"]) & (rows["digest"] == again["of"]), "left")
+    again = F.col("of").isNotNull()
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("n").cast("string"), F.lit(CRLF * 2))
     head = F.concat(
         F.lit(f"WARC/1.1{CRLF}WARC-Type: "),
@@ -79,6 +77,40 @@ def write(pages: DataFrame, folder: str, page: str = "page_id", url: str = "url"
     rows.select(record.alias("value")).write.options(lineSep=CRLF * 2, compression="gzip", maxRecordsPerFile=per_file).text(folder)
 
 
+def revisits(heads: DataFrame) -> DataFrame:
+    """(again, of, first_page, first_url) of the headers (page, url, digest) that repeat the one with the largest page."""
+    heads = stored(heads)
+    firsts = heads.groupBy("digest").agg(F.max(F.struct("page", "url")).alias("first"), F.count("*").alias("records")).filter("records > 1")
+    firsts = stored(firsts.select("digest", F.col("first.page").alias("first_page"), F.col("first.url").alias("first_url")))
+    found = heads.join(firsts, "digest").filter(~F.col("page").eqNullSafe(F.col("first_page")))
+    return stored(found.select(F.col("page").alias("again"), F.col("digest").alias("of"), "first_page", "first_url").distinct())
+
+
+class _Lines(io.RawIOBase):
+    """The bytes of lines as they come."""
+
+    def __init__(self, batches: Iterator[pa.RecordBatch]) -> None:
+        self.parts = (b"".join(x + b"\n" for x in part.to_pylist()) for b in batches for part in _small(b.column(0).cast(pa.binary())))
+        self.held, self.at = b"", 0
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, buffer) -> int:
+        while self.at >= len(self.held):
+            if (held := next(self.parts, None)) is None:
+                return 0
+            self.held, self.at = held, 0
+        n = min(len(buffer), len(self.held) - self.at)
+        buffer[:n] = memoryview(self.held)[self.at : self.at + n]
+        self.at += n
+        return n
+
+
+def _small(lines: pa.Array, at_once: int = 256) -> Iterator[pa.Array]:
+    return (lines.slice(i, at_once) for i in range(0, len(lines), at_once))
+
+
 def records(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers (names in lower case) and block of each record; a stream that ends within one is an error."""
     while line := stream.readline():
@@ -100,22 +132,19 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     """One row per record; a response's digest and bytes are those of the payload that was read, a revisit's digest is as stated."""
 
     def parse(batches):
-        for batch in batches:
-            for content in batch.column("content"):
-                rows: list[tuple] = []
-                raw = io.BytesIO(content.as_buffer())
-                for head, block in records(io.BufferedReader(gzip.GzipFile(fileobj=raw), 1 << 20)):
-                    kind, digest, size = head["warc-type"], head.get("warc-payload-digest", "").removeprefix("sha1:"), None
-                    if kind == "response":
-                        body = memoryview(block)[block.index(b"\r\n\r\n") + 4 :]
-                        digest, size = hashlib.sha1(body).hexdigest(), len(body)
-                    rows.append((head.get("x-page-id"), head.get("warc-target-uri", ""), kind, digest, size, head.get("warc-record-id"), head.get("warc-refers-to")))
-                    if len(rows) >= 10_000:
-                        yield _batch(rows)
-                        rows = []
+        rows: list[tuple] = []
+        for head, block in records(io.BufferedReader(_Lines(batches), 1 << 20)):
+            kind, digest, size = head["warc-type"], head.get("warc-payload-digest", "").removeprefix("sha1:"), None
+            if kind == "response":
+                body = memoryview(block)[block.index(b"\r\n\r\n") + 4 :]
+                digest, size = hashlib.sha1(body).hexdigest(), len(body)
+            rows.append((head.get("x-page-id"), head.get("warc-target-uri", ""), kind, digest, size, head.get("warc-record-id"), head.get("warc-refers-to")))
+            if len(rows) >= 10_000:
                 yield _batch(rows)
+                rows = []
+        yield _batch(rows)
 
-    return spark.read.format("binaryFile").load(folder).select("content").mapInArrow(parse, _READ)
+    return spark.read.text(folder, lineSep="\n").mapInArrow(parse, _READ)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

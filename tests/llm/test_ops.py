@@ -254,6 +254,22 @@ def test_mixing(docs, empty, spark):
     assert sorted(map(str, rows)) == sorted(map(str, mixing.assign(docs).collect()))
     at = [r.position for r in mixing.training_order(mixing.assign(docs)).collect()]
     assert at == sorted(at) and 0 <= at[0] and at[-1] <= 1
+    # positions are where the integral of the schedule, in small steps, reaches the words laid before
+    slope = {s: (-0.5, 0.0, 0.5)[i % 3] for i, s in enumerate(order)}
+    steps = 20_000
+    for s in by:
+        mine = sorted((c.copy, c.position, c.words) for r in rows if r.source == s for c in r.copies)
+        demand, k, before = 0.0, 0, 0
+        for _, position, n in mine:
+            while demand < before and k < steps:
+                demand += target[s] * (1 + slope[s] * (2 * (k + 0.5) / steps - 1)) / steps
+                k += 1
+            assert position == pytest.approx(k / steps, abs=2 / steps)
+            before += n
+    firsts = [r.first_position for r in mixing.by_position(mixing.assign(docs)).collect()]
+    assert firsts == sorted(firsts, key=lambda x: (x is None, x))
+    flat = {r.doc_id: r.first_position for r in mixing.assign(docs, slopes=(0.0, 0.0, 0.0)).collect()}
+    assert any(r.first_position != flat[r.doc_id] for r in rows)
     assert mixing.assign(empty).count() == 0
     blank = mixing.assign(spark.createDataFrame([(1, " ", "a"), (2, None, None)], "doc_id int, text string, source string")).collect()
     assert [r.taken for r in blank] == [0, 0]
@@ -314,6 +330,22 @@ def test_warc(spark, pages, tmp_path):
     assert blocks["9", "response"].endswith(b"y\r\n\r\n" * 400) and blocks["1", "revisit"].endswith(b"\r\n\r\n")
 
 
+def test_warc_with_a_hot_digest_and_long_payloads(spark, tmp_path):
+    """A third of all pages share a payload, another is long; only headers meet on the digest."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        rows = [(i, f"http://a/{i}", "same\n" * 300 if i % 3 == 0 else f"page {i} " * 200) for i in range(300)] + [(1000, None, "x\u00e9\n\r\n" * 400_000)]
+        df = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(4)
+        warc.write(df, folder := str(tmp_path / "w"))
+        got = {r.page_id: r for r in warc.round_trip(df).collect()}
+        assert len(got) == 301 and got[1000].payload_bytes == len(rows[-1][2].encode()) and got[1000].payload_digest == hashlib.sha1(rows[-1][2].encode()).hexdigest()
+        for i in range(300):
+            assert (got[i].record_type, got[i].refers_to) == (("revisit", 297) if i % 3 == 0 and i != 297 else ("response", None))
+        assert warc.read(spark, folder).filter("type = 'revisit'").count() == 99
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_truncated_archive_is_an_error():
     import io
 
