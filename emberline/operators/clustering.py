@@ -1,8 +1,14 @@
 """Detections to incidents: greedy clusters in order, independent accounts, and scores.
 
-Both groupings are first-match and depend on order, which is fixed here as (published_at, signal_id). They run over one
-block at a time (a type within a week), so a task holds one block. Clusters are looked up by grid cells around a
-detection, so a block costs about its rows times the clusters nearby.
+A detection joins the first cluster of its type whose leader is near enough and no more than 72 hours older; the order is
+(published_at, signal_id). So clusters depend on order, but only leaders matter: what a detection joins depends on its
+place and time alone. Detections are first reduced to distinct (type, place, second), by partial aggregation; these are
+dealt to blocks that no cluster can span (a type within a connected region of occupied cells, between gaps of more than
+72 hours), and each block is walked in time order, with the leaders that cover each place at hand. A new leader is
+compared with the places within its band of latitude, once for each place that leads. The leaders are joined back.
+
+A block is one task: a type's distinct places and seconds in one connected region without a gap of three days, some 100
+bytes each, at about a million a second.
 """
 
 from __future__ import annotations
@@ -11,7 +17,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberline.functions import text, times
@@ -21,101 +27,153 @@ from emberline.schemas import LONG_RANGE_TYPES, RADIUS_KM, RADIUS_URBAN_KM, RADI
 #: What an incident shows of its first detection.
 SHOWN = ("type", "location_name", "state", "lat", "lng", "title")
 _KM_PER_DEGREE = math.pi * EARTH_KM / 180
-
-
-class _Leaders:
-    """Leaders of a block's clusters, by one-degree cells."""
-
-    def __init__(self) -> None:
-        self.cells: dict[tuple[int, int], list[int]] = {}
-        self.rows: list[tuple[float, float, str, str, str]] = []
-        self.start: list[float] = []
-
-    def first_match(self, lat: float, lng: float, kind: str, place: str, state: str, second: float) -> int:
-        wide = 1 + int(RADIUS_WIDE_KM / (_KM_PER_DEGREE * max(0.05, math.cos(math.radians(min(89.0, abs(lat) + 1))))))
-        row, col = math.floor(lat), math.floor(lng)
-        near = sorted(i for r in (row - 1, row, row + 1) for c in range(col - wide, col + wide + 1) for i in self.cells.get((r, c), ()))
-        if near:
-            at = np.array(near)
-            p = np.array([self.rows[i][:2] for i in near])
-            a, b = math.radians(lat), np.radians(p[:, 0])
-            h = np.sin((a - b) / 2) ** 2 + math.cos(a) * np.cos(b) * np.sin(np.radians(lng - p[:, 1]) / 2) ** 2
+_SPOT = ("__type", "__lat", "__lng", "__place", "__state", "__lga")
+
+
+class _Spots:
+    """Distinct places of a block, and which of them a leader at one of them covers."""
+
+    def __init__(self, kind: str, lat: np.ndarray, lng: np.ndarray, names: list[np.ndarray]) -> None:
+        self.lat, self.lng, self.names = lat, lng, names  # names: codes of place, state and lga, 0 for none
+        self.order = np.argsort(lat, kind="stable")
+        self.sorted = lat[self.order]
+        far = kind in LONG_RANGE_TYPES
+        self.state_radius = RADIUS_WIDE_KM if far else 0.0
+        self.radius = RADIUS_URBAN_KM if kind in URBAN_TYPES and not far else RADIUS_KM
+        self.known: dict[int, list[int]] = {}
+
+    def covered(self, i: int) -> list[int]:
+        if i not in self.known:
+            reach = RADIUS_WIDE_KM / _KM_PER_DEGREE + 1e-3
+            at = self.order[np.searchsorted(self.sorted, self.lat[i] - reach) : np.searchsorted(self.sorted, self.lat[i] + reach, "right")]
+            a, b = np.radians(self.lat[i]), np.radians(self.lat[at])
+            h = np.sin((a - b) / 2) ** 2 + np.cos(a) * np.cos(b) * np.sin(np.radians(self.lng[i] - self.lng[at]) / 2) ** 2
             km = np.round(2 * EARTH_KM * np.arcsin(np.sqrt(np.minimum(1.0, h))), 4)
-            for i in at[km <= RADIUS_WIDE_KM]:
-                _, _, kind1, place1, state1 = self.rows[i]
-                far = kind in LONG_RANGE_TYPES or kind1 in LONG_RANGE_TYPES
-                if place and place == place1 or far and state and state == state1:
-                    radius = RADIUS_WIDE_KM
-                elif not far and (kind in URBAN_TYPES or kind1 in URBAN_TYPES):
-                    radius = RADIUS_URBAN_KM
-                else:
-                    radius = RADIUS_KM
-                if km[near.index(i)] <= radius and abs(second - self.start[i]) <= WINDOW_HOURS * 3600:
-                    self.start[i] = min(self.start[i], second)
-                    return int(i)
-        self.cells.setdefault((row, col), []).append(len(self.rows))
-        self.rows.append((lat, lng, kind, place, state))
-        self.start.append(second)
-        return len(self.rows) - 1
-
-
-def _norm(x: str | None) -> str:
-    return " ".join((x or "").strip().lower().split())
-
-
-def leaders(detections: DataFrame, block: Column) -> DataFrame:
-    """Detections with leader_id, the first signal of the cluster that each joins."""
-    columns = detections.columns
-    kinds = dict(detections.dtypes)
-    keyed = detections.withColumn("__block", block).withColumn("__second", F.timestamp_diff("MICROSECOND", F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00")), F.col("published_at")) / 1e6)
+            same = [(x[at] == x[i]) & (x[i] > 0) for x in self.names]
+            radius = np.where(same[0] | same[2], RADIUS_WIDE_KM, np.where(same[1], max(self.state_radius, self.radius), self.radius))
+            self.known[i] = at[km <= radius].tolist()
+        return self.known[i]
+
+
+def _lead(spots: _Spots, spot: list[int], second: list[float]) -> list[int]:
+    """For each event, in order, the event that leads its cluster."""
+    covers: dict[int, list[int]] = {}  # leaders that cover a place, the oldest first
+    out = []
+    for e, (s, t) in enumerate(zip(spot, second, strict=True)):
+        held = covers.get(s, ())
+        while held and t - second[held[0]] > WINDOW_HOURS * 3600:
+            held.pop(0)
+        if not held:
+            for c in spots.covered(s):
+                covers.setdefault(c, []).append(e)
+            out.append(e)
+        else:
+            out.append(held[0])
+    return out
+
+
+def _regions(cells: pa.Table) -> pa.Table:
+    """Connected regions of a type's occupied one-degree cells (at most 64,800): cells that may hold points within reach are linked."""
+    at = list(zip(cells.column("__row").to_pylist(), cells.column("__col").to_pylist(), strict=True))
+    number = {c: i for i, c in enumerate(at)}
+    parent = list(range(len(at)))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for (row, col), i in number.items():
+        cos = math.cos(math.radians(min(90.0, max(abs(row - 1), abs(row + 2)))))
+        wide = min(180, 1 + math.ceil(RADIUS_WIDE_KM / (_KM_PER_DEGREE * cos))) if cos > 0.01 else 180
+        for r in (row - 1, row, row + 1):
+            for c in range(col - wide, col + wide + 1):
+                j = number.get((r, (c + 180) % 360 - 180))
+                if j is not None:
+                    parent[root(i)] = root(j)
+    return cells.append_column("__region", pa.array([root(i) for i in range(len(at))], pa.int32()))
+
+
+def _norm(x: str) -> Column:
+    return F.lower(F.regexp_replace(F.trim(F.coalesce(F.col(x), F.lit(""))), r"\s+", " "))
+
+
+def leaders(detections: DataFrame) -> DataFrame:
+    """Detections with leader_id, the first signal of the cluster that each joins; lga widens a cluster where there is one."""
+    kind = detections.schema["signal_id"].dataType.simpleString()
+    lga = _norm("lga") if "lga" in detections.columns else F.lit("")
+    # rows without a place or a time cannot be placed
+    placed = detections.filter("type is not null and lat is not null and lng is not null and published_at is not null")
+    spot = dict(zip(_SPOT, (F.col("type"), F.col("lat"), F.col("lng"), _norm("location_name"), _norm("state"), lga), strict=True))
+    seconds = F.timestamp_diff("MICROSECOND", F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00")), F.col("published_at")) / 1e6
+    placed = placed.withColumns({**spot, "__second": seconds})
+    events = placed.groupBy(*_SPOT, "__second").agg(F.min("signal_id").alias("__id"))
+    cell = {"__row": F.floor("__lat").cast("int"), "__col": F.pmod(F.floor(F.col("__lng") + 180), F.lit(360)).cast("int") - 180}
+    events = events.withColumns({**cell, "__hour": F.floor(F.col("__second") / 3600).cast("long")})
+    regions = events.select("__type", "__row", "__col").distinct().groupBy("__type").applyInArrow(_regions, "__type string, __row int, __col int, __region int")
+    events = events.join(regions, ["__type", "__row", "__col"])
+    in_time = Window.partitionBy("__type", "__region").orderBy("__hour")  # over distinct hours
+    hours = events.select("__type", "__region", "__hour").distinct()
+    hours = hours.withColumn("__gap", F.coalesce(F.col("__hour") - F.lag("__hour").over(in_time) > WINDOW_HOURS + 1, F.lit(False)).cast("int"))
+    hours = hours.select("__type", "__region", "__hour", F.sum("__gap").over(in_time).alias("__part"))
+    events = events.join(hours, ["__type", "__region", "__hour"])
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("__second", "ascending"), ("signal_id", "ascending")])
-        get = lambda c: table.column(c).to_pylist()
-        ids, found, out = get("signal_id"), _Leaders(), []
-        first: list[int] = []
-        for i, lat, lng, kind, place, state, second in zip(ids, get("lat"), get("lng"), get("type"), get("location_name"), get("state"), get("__second"), strict=True):
-            at = found.first_match(lat, lng, kind, _norm(place), _norm(state), second)
-            if at == len(first):
-                first.append(i)
-            out.append(first[at])
-        return table.select(columns).append_column("leader_id", pa.array(out, table.schema.field("signal_id").type))
-
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in columns) + f", leader_id {kinds['signal_id']}"
-    # rows without a place or a time cannot be placed
-    keyed = keyed.filter("lat is not null and lng is not null and published_at is not null")
-    return keyed.groupBy("__block").applyInArrow(run, schema)
+        table = table.sort_by([("__second", "ascending"), ("__id", "ascending")])
+        spots = table.select(_SPOT).group_by(list(_SPOT)).aggregate([])
+        of = {s: i for i, s in enumerate(zip(*(spots.column(c).to_pylist() for c in _SPOT), strict=True))}
+        codes = []
+        for c in _SPOT[3:]:
+            seen: dict[str, int] = {"": 0}
+            codes.append(np.array([seen.setdefault(x, len(seen)) for x in spots.column(c).to_pylist()]))
+        known = _Spots(spots.column("__type")[0].as_py(), spots.column("__lat").to_numpy(), spots.column("__lng").to_numpy(), codes)
+        at = [of[s] for s in zip(*(table.column(c).to_pylist() for c in _SPOT), strict=True)]
+        found = _lead(known, at, table.column("__second").to_pylist())
+        return table.select([*_SPOT, "__second"]).append_column("leader_id", table.column("__id").take(pa.array(found, pa.int64())))
+
+    schema = f"__type string, __lat double, __lng double, __place string, __state string, __lga string, __second double, leader_id {kind}"
+    led = events.select(*_SPOT, "__second", "__id", "__region", "__part").groupBy("__type", "__region", "__part").applyInArrow(run, schema)
+    return placed.join(led, [*_SPOT, "__second"]).select(*detections.columns, "leader_id")
 
 
 def accounts(members: DataFrame, cluster: list[str], order: list[str], outlet: str = "outlet", tokens: str = "tokens", tenths: int = 6, keep: tuple[str, ...] = ()) -> DataFrame:
     """Members (cluster, order, keep) with account, the number (from 1) of the account of the event that each repeats.
 
-    A member joins the first account in which its outlet already is, or whose first member's tokens are alike.
+    A member joins the first account in which its outlet already is, or whose first member's tokens are alike. There are
+    at most as many accounts as outlets; only those, and what each set of tokens is like, are kept while walking a cluster.
     """
-    base = members.withColumn("__row", F.struct(*order, *keep, F.col(outlet).alias("o"), F.col(tokens).alias("t")))
-    sorted_ = base.groupBy(*cluster).agg(F.sort_array(F.collect_list("__row")).alias("rows"))
-    group = "struct<outs:array<string>,rep:array<string>>"
+    columns = [*cluster, *order, *keep]
+    kinds = dict(members.dtypes)
 
-    def step(acc: Column, e: Column) -> Column:
-        def similar(g: Column) -> Column:
-            both = F.size(F.array_intersect(g["rep"], e["t"]))
-            close = (F.size(g["rep"]) > 0) & (F.size(e["t"]) > 0) & (10 * both >= tenths * (F.size(g["rep"]) + F.size(e["t"]) - both))
-            return F.array_contains(g["outs"], e["o"]) | close
-
-        at = F.array_position(F.transform(acc["groups"], similar), F.lit(True)).cast("int")
-        fresh = F.array(F.struct(F.array(e["o"]).alias("outs"), e["t"].alias("rep")))
-
-        def place(n: Column) -> Column:
-            grown = F.transform(acc["groups"], lambda g, i: F.when(i + 1 == n, F.struct(F.array_union(g["outs"], F.array(e["o"])).alias("outs"), g["rep"].alias("rep"))).otherwise(g))
-            to = F.when(n == 0, F.size(acc["groups"]) + 1).otherwise(n)
-            return F.struct(F.when(n == 0, F.concat(acc["groups"], fresh)).otherwise(grown).alias("groups"), F.concat(acc["at"], F.array(to)).alias("at"))
-
-        return F.transform(F.array(at), place)[0]
-
-    start = F.struct(F.array().cast(f"array<{group}>").alias("groups"), F.array().cast("array<int>").alias("at"))
-    folded = sorted_.withColumn("f", F.aggregate("rows", start, step))
-    rows = folded.select(*cluster, F.explode(F.arrays_zip(F.col("rows").alias("r"), F.col("f.at").alias("account"))).alias("z"))
-    return rows.select(*cluster, *(F.col(f"z.r.{c}").alias(c) for c in (*order, *keep)), F.col("z.account").cast("long").alias("account"))
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([(c, "ascending") for c in order])
+        reps: list[frozenset] = []
+        first_of: dict[str, int] = {}  # outlet to the first account that it is in
+        alike: dict[frozenset, tuple[int, int | None]] = {}  # tokens to accounts looked at, and the first that is like them
+        out = []
+        for o, t in zip(table.column("__outlet").to_pylist(), table.column("__tokens").to_pylist(), strict=True):
+            t = frozenset(t or ())
+            seen, like = alike.get(t, (0, None))
+            if like is None:
+                for i in range(seen, len(reps)):
+                    both = len(t & reps[i])
+                    if both and 10 * both >= tenths * (len(t) + len(reps[i]) - both):
+                        like = i
+                        break
+                alike[t] = (len(reps), like)
+            found = [i for i in (first_of.get(o), like) if i is not None]
+            at = min(found, default=len(reps))
+            if at == len(reps):
+                reps.append(t)
+            first_of[o] = min(at, first_of.get(o, at))
+            out.append(at + 1)
+        return table.select(columns).append_column("account", pa.array(out, pa.int64()))
+
+    # columns that have two uses travel once each
+    rows = members.select(*dict.fromkeys(columns), F.col(outlet).alias("__outlet"), F.col(tokens).alias("__tokens"))
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", account bigint"
+    return rows.groupBy(*cluster).applyInArrow(run, schema)
 
 
 def confidence(effective: Column, severity: Column, hotspot: Column) -> Column:
@@ -157,9 +215,8 @@ def scores(grouped: DataFrame, cluster: list[str], now: Column) -> DataFrame:
     return out.withColumn("status", status).withColumn("confidence", F.when(many, F.col("raw")).otherwise(F.least(F.lit(45), F.col("raw")))).select("*", *(F.col(f"lead.{c}").alias(c) for c in SHOWN)).drop("mass", "raw", "lead")
 
 
-def incidents(detections: DataFrame, now: Column, block: Column | None = None) -> DataFrame:
+def incidents(detections: DataFrame, now: Column) -> DataFrame:
     """Detections to scored incidents; one row per cluster, led by its first detection."""
-    block = F.concat_ws("|", "type", F.date_format("published_at", "yyyy"), F.weekofyear("published_at").cast("string")) if block is None else block
-    placed = leaders(detections, block).withColumn("outlet", text.outlet(F.col("source_name"))).withColumn("tokens", text.tokens(F.col("title")))
+    placed = leaders(detections).withColumn("outlet", text.outlet(F.col("source_name"))).withColumn("tokens", text.tokens(F.col("title")))
     kept = ("outlet", "severity", "hotspot", *SHOWN)
     return scores(accounts(placed, ["leader_id"], ["published_at", "signal_id"], keep=kept), ["leader_id"], now).withColumnRenamed("title", "summary")

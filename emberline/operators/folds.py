@@ -1,13 +1,17 @@
 """Ordered folds: state that feeds back on itself, per key, in event order.
 
 A key's rows become one sorted array and `aggregate` walks it, so a fold needs one shuffle on the key and no Python.
-Keys are users, cases and tasks; an array is as long as one key's history. Order is by (order columns) and must be total.
+Keys are users, cases and tasks; an array is as long as one key's history, and the state that is carried has a fixed size.
+What gives a row for each row (`hash_chain`) walks sorted partitions in Python instead and holds one row. Order is by
+(order columns) and must be total.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -83,17 +87,28 @@ def throttle(df: DataFrame, keys: list[str], second: str, order: list[str], wind
 
 
 def hash_chain(df: DataFrame, keys: list[str], order: list[str], payload: str) -> DataFrame:
-    """Rows with prev_hash and hash, each hash over the one before and the payload; one chain per key."""
-
-    def step(acc: Column, e: Column) -> Column:
-        last = F.coalesce(F.try_element_at(acc, F.lit(-1))["hash"], F.lit(""))
-        fields = [e[c].alias(c) for c in dict.fromkeys([*order, payload])]
-        return F.concat(acc, F.array(F.struct(*fields, last.alias("prev_hash"), F.sha2(F.concat(last, e[payload]).cast("binary"), 256).alias("hash"))))
+    """Rows with prev_hash and hash, each hash over the one before and the payload; one chain per key.
 
+    Partitions are dealt by key and sorted; the walk keeps the last key and hash only, so a key may have any number of
+    rows. A null payload has no hash, and the next row starts anew.
+    """
+    names = list(dict.fromkeys([*keys, *order, payload]))
     kinds = dict(df.dtypes)
-    row = ",".join(f"`{c}`:{kinds[c]}" for c in dict.fromkeys([*order, payload]))
-    start = F.array().cast(f"array<struct<{row},prev_hash:string,hash:string>>")
-    return fold(df, keys, order, [payload], start, step, "rows").select(*keys, F.explode("rows").alias("r")).select(*keys, "r.*")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, last = None, ""
+        for batch in batches:
+            before, hashes = [], []
+            for key, body in zip(zip(*(batch.column(k).to_pylist() for k in keys), strict=True), batch.column(payload).to_pylist(), strict=True):
+                if key != at:
+                    at, last = key, ""
+                before.append(last)
+                hashes.append(None if body is None else hashlib.sha256((last + str(body)).encode()).hexdigest())
+                last = hashes[-1] or ""
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before, pa.string()), pa.array(hashes, pa.string())], names=[*names, "prev_hash", "hash"])
+
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", prev_hash string, hash string"
+    return df.select(*names).repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(walk, schema)
 
 
 def attempts(df: DataFrame, keys: list[str], order: list[str], good: str, most: int = 6) -> DataFrame:

@@ -2,25 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberline.functions import geo
 from emberline.schemas import CORRIDOR_KM, GRID_N, RISK_KM, STATUS_SCORE, lookup
 
-#: Side of a cell of the radius join as a share of the radius; at least 1 so that neighbours suffice.
+#: A little below the true length, so that boxes are a little too large.
 _KM_PER_DEGREE = 111.0
 
 
-def radius_join(left: DataFrame, right: DataFrame, km: float, lat1: str = "lat", lng1: str = "lng", lat2: str = "r_lat", lng2: str = "r_lng", widest_lat: float = 60.0) -> DataFrame:
-    """Pairs within km, with `distance_km` to 4 places. Points beyond widest_lat degrees are not near their neighbours' cells."""
-    import math
+def _reach_deg(km: Column | float, lat: Column) -> Column:
+    """Degrees of longitude within which all points km away from a latitude lie; 180 near a pole."""
+    km = km if isinstance(km, Column) else F.lit(float(km))
+    sine, cos = F.sin(F.radians(km * 1.001 / _KM_PER_DEGREE)), F.cos(F.radians(lat))
+    return F.when(cos > sine * 1.001, F.degrees(F.asin(sine / cos))).otherwise(F.lit(180.0))
 
-    rows, cols = km / _KM_PER_DEGREE, km / (_KM_PER_DEGREE * math.cos(math.radians(widest_lat)))
-    row, col = (lambda c: F.floor(F.col(c) / rows).cast("int")), (lambda c: F.floor(F.col(c) / cols).cast("int"))
+
+def radius_join(left: DataFrame, right: DataFrame, km: float, lat1: str = "lat", lng1: str = "lng", lat2: str = "r_lat", lng2: str = "r_lng") -> DataFrame:
+    """Pairs within km, with `distance_km` to 4 places, at any latitude and over the date line.
+
+    Rows of cells are as high as the radius; a row's cells are as wide as the radius at its widest, so a left point lies
+    in about nine. Longitudes are taken from -180 to 180.
+    """
+    high = km * 1.001 / _KM_PER_DEGREE
+    row = lambda c: F.floor(F.col(c) / high).cast("int")
+    edge = F.greatest(F.abs(F.col("__r") * high), F.abs((F.col("__r") + 1) * high))
+    wide = F.least(F.lit(60.0), high / F.cos(F.radians(F.least(edge, F.lit(89.0)))))
     around = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    spread = left.withColumn("__r", F.explode(F.transform(around, lambda d: row(lat1) + d))).withColumn("__c", F.explode(F.transform(around, lambda d: col(lng1) + d)))
-    joined = spread.join(right.withColumn("__r", row(lat2)).withColumn("__c", col(lng2)), ["__r", "__c"])
+    reach = _reach_deg(km, F.col(lat1))
+    spread = left.withColumn("__r", F.explode(F.transform(around, lambda d: row(lat1) + d)))
+    # a wide reach takes the whole row once; a narrow one also what it meets over the date line
+    spread = spread.withColumn("__turn", F.explode(F.when(reach >= 120, F.array(F.lit(0.0))).otherwise(F.array(F.lit(-360.0), F.lit(0.0), F.lit(360.0)))))
+    west, east = F.when(reach >= 120, F.lit(-180.0)).otherwise(F.col(lng1) + F.col("__turn") - reach), F.when(reach >= 120, F.lit(180.0)).otherwise(F.col(lng1) + F.col("__turn") + reach)
+    spread = spread.withColumn("__w", F.greatest(F.lit(-180.0), west)).withColumn("__e", F.least(F.lit(180.0), east)).filter("__w <= __e")
+    spread = spread.withColumn("__c", F.explode(F.sequence(F.floor(F.col("__w") / wide).cast("int"), F.floor(F.col("__e") / wide).cast("int")))).drop("__w", "__e", "__turn")
+    held = right.withColumn("__r", row(lat2)).withColumn("__c", F.floor(F.col(lng2) / wide).cast("int"))
+    joined = spread.join(held, ["__r", "__c"])
     distance = F.round(geo.haversine_km(F.col(lat1), F.col(lng1), F.col(lat2), F.col(lng2)), 4)
     return joined.withColumn("distance_km", distance).filter(F.col("distance_km") <= km).drop("__r", "__c")
 
@@ -67,15 +85,26 @@ def risk_near(points: DataFrame, incidents: DataFrame, key: str, km: float = RIS
 
 
 def overlap_cells(rings: DataFrame, case: str) -> DataFrame:
-    """Cells of a lattice over each case's rings (case, lat, lng, radius_km) with the number of rings that cover them."""
+    """Cells of a lattice over each case's rings (case, lat, lng, radius_km) with the number of rings that cover them.
+
+    A ring is laid over the lattice lines of its own box only, so it costs the cells about it, not the lattice.
+    """
     cos = F.cos(F.radians("lat"))
     pad_lng = F.when(F.abs(cos) > 1e-9, F.col("radius_km") / (111.0 * cos)).otherwise(F.lit(180.0))
-    box = rings.groupBy(case).agg(F.min(F.col("lat") - F.col("radius_km") / 111.0).alias("s"), F.max(F.col("lat") + F.col("radius_km") / 111.0).alias("n"), F.min(F.col("lng") - pad_lng).alias("w"), F.max(F.col("lng") + pad_lng).alias("e"))
-    steps = F.sequence(F.lit(0), F.lit(GRID_N))
-    cells = box.withColumn("i", F.explode(steps)).withColumn("j", F.explode(steps))
-    cells = cells.select(case, (F.col("i") * (GRID_N + 1) + F.col("j")).alias("cell"), (F.col("s") + (F.col("n") - F.col("s")) * F.col("i") / F.lit(float(GRID_N))).alias("c_lat"), (F.col("w") + (F.col("e") - F.col("w")) * F.col("j") / F.lit(float(GRID_N))).alias("c_lng"))
+    box = rings.groupBy(case).agg(F.min(F.col("lat") - F.col("radius_km") / 111.0).alias("__s"), F.max(F.col("lat") + F.col("radius_km") / 111.0).alias("__n"), F.min(F.col("lng") - pad_lng).alias("__w"), F.max(F.col("lng") + pad_lng).alias("__e"))
+    on = rings.join(box, case)
+
+    def lines(low: str, high: str, middle: str, reach: Column) -> Column:
+        step = (F.col(high) - F.col(low)) / F.lit(float(GRID_N))
+        first = F.when(step > 0, F.floor((F.col(middle) - reach - F.col(low)) / step)).otherwise(F.lit(0))
+        last = F.when(step > 0, F.ceil((F.col(middle) + reach - F.col(low)) / step)).otherwise(F.lit(GRID_N))
+        return F.sequence(F.greatest(F.lit(0), F.least(first, F.lit(GRID_N))).cast("int"), F.greatest(F.lit(0), F.least(last, F.lit(GRID_N))).cast("int"))
+
+    on = on.withColumn("i", F.explode(lines("__s", "__n", "lat", F.col("radius_km") * 1.001 / _KM_PER_DEGREE)))
+    on = on.withColumn("j", F.explode(lines("__w", "__e", "lng", _reach_deg(F.col("radius_km"), F.col("lat")))))
+    on = on.withColumn("c_lat", F.col("__s") + (F.col("__n") - F.col("__s")) * F.col("i") / F.lit(float(GRID_N))).withColumn("c_lng", F.col("__w") + (F.col("__e") - F.col("__w")) * F.col("j") / F.lit(float(GRID_N)))
     covered = F.round(geo.haversine_km(F.col("c_lat"), F.col("c_lng"), F.col("lat"), F.col("lng")), 4) <= F.col("radius_km")
-    return cells.join(rings, case).filter(covered).groupBy(case, "cell").agg(F.first("c_lat").alias("c_lat"), F.first("c_lng").alias("c_lng"), F.count("*").alias("ring_count"))
+    return on.filter(covered).groupBy(case, (F.col("i") * (GRID_N + 1) + F.col("j")).alias("cell")).agg(F.first("c_lat").alias("c_lat"), F.first("c_lng").alias("c_lng"), F.count("*").alias("ring_count"))
 
 
 def zones(rings: DataFrame, case: str) -> DataFrame:

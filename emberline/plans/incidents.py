@@ -15,25 +15,25 @@ from emberline.sources import derived
 from emberline.sources.files import geojson, ranked_report, table
 
 NOW = "2024-01-31 00:00:00"
-_BLOCK = "concat_ws('|', type, strftime(published_at, '%Y'), cast(weekofyear(published_at) AS varchar))"
 
 _HAVERSINE = "2 * 6371.0::DOUBLE * asin(sqrt(least(1.0::DOUBLE, pow(sin(radians({b}lat - {a}lat) / 2), 2) + cos(radians({a}lat)) * cos(radians({b}lat)) * pow(sin(radians({b}lng - {a}lng) / 2), 2))))"
 _MATCH = (
-    "list_position(list_transform(s.cl, lambda c: round(" + _HAVERSINE.format(a="c.", b="d.") + ", 4) <= "
-    "CASE WHEN c.location_name = d.location_name THEN 55.0 WHEN c.state = d.state AND d.type IN ('kidnapping', 'banditry_attack', 'missing_person') THEN 55.0 WHEN d.type = 'armed_robbery' THEN 18.0 ELSE 30.0 END "
+    "list_position(list_transform(live, lambda c: round(" + _HAVERSINE.format(a="c.", b="d.") + ", 4) <= "
+    "CASE WHEN c.location_name = d.location_name OR c.lga = d.lga THEN 55.0 WHEN c.state = d.state AND d.type IN ('kidnapping', 'banditry_attack', 'missing_person') THEN 55.0 WHEN d.type = 'armed_robbery' THEN 18.0 ELSE 30.0 END "
     "AND abs(epoch(d.published_at - c.ws)) <= 259200), true)"
 )
-_SEED = "struct_pack(lat := d.lat, lng := d.lng, location_name := d.location_name, state := d.state, ws := d.published_at, id := d.signal_id)"
+_SEED = "struct_pack(lat := d.lat, lng := d.lng, location_name := d.location_name, state := d.state, lga := d.lga, ws := d.published_at, id := d.signal_id)"
 
-#: Detections with the leader of their cluster, one step of all blocks at a time.
+#: Detections with the leader of their cluster, one step of all types at a time; clusters older than 72 hours are left behind.
 LEADERS = (
     ("det", derived.DETECTIONS),
-    ("d", f"SELECT *, {_BLOCK} AS block, row_number() OVER (PARTITION BY {_BLOCK} ORDER BY published_at, signal_id) AS k FROM det"),
+    ("d", "SELECT *, type AS block, row_number() OVER (PARTITION BY type ORDER BY published_at, signal_id) AS k FROM det"),
     (
         "s",
         f"SELECT block, k, [{_SEED}] AS cl, signal_id, signal_id AS leader_id FROM d WHERE k = 1 UNION ALL "
-        f"SELECT block, k, CASE WHEN at_ > 0 THEN cl ELSE list_append(cl, seed) END, signal_id, CASE WHEN at_ > 0 THEN cl[at_].id ELSE signal_id END FROM "
-        f"(SELECT d.block, d.k, s.cl, d.signal_id, coalesce({_MATCH}, 0) AS at_, {_SEED} AS seed FROM s JOIN d ON s.block = d.block AND d.k = s.k + 1)",
+        f"SELECT block, k, CASE WHEN at_ > 0 THEN live ELSE list_append(live, seed) END, signal_id, CASE WHEN at_ > 0 THEN live[at_].id ELSE signal_id END FROM "
+        f"(SELECT block, k, live, signal_id, coalesce({_MATCH}, 0) AS at_, seed FROM "
+        f"(SELECT d.*, list_filter(s.cl, lambda c: epoch(d.published_at) - epoch(c.ws) <= 259200) AS live, {_SEED} AS seed FROM s JOIN d ON s.block = d.block AND d.k = s.k + 1) d)",
     ),
 )
 
@@ -70,15 +70,13 @@ SCORES = (
 @query(with_(*LEADERS) + " SELECT signal_id, leader_id FROM s")
 def cluster_leader(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each detection joins the first cluster of its type within the adaptive radius and 72 hours."""
-    block = F.concat_ws("|", "type", F.date_format("published_at", "yyyy"), F.weekofyear("published_at").cast("string"))
-    return clustering.leaders(derived.detections(spark, sf_dir), block).select("signal_id", "leader_id")
+    return clustering.leaders(derived.detections(spark, sf_dir)).select("signal_id", "leader_id")
 
 
 @query(with_(*ACCOUNTS) + " SELECT leader_id, signal_id, account::BIGINT AS account FROM a")
 def neardup_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Members of a cluster that repeat one account, by outlet or by title."""
-    block = F.concat_ws("|", "type", F.date_format("published_at", "yyyy"), F.weekofyear("published_at").cast("string"))
-    placed = clustering.leaders(derived.detections(spark, sf_dir), block)
+    placed = clustering.leaders(derived.detections(spark, sf_dir))
     placed = placed.withColumn("outlet", text.outlet(F.col("source_name"))).withColumn("tokens", text.tokens(F.col("title")))
     return clustering.accounts(placed, ["leader_id"], ["published_at", "signal_id"]).select("leader_id", "signal_id", "account")
 

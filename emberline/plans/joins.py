@@ -142,14 +142,15 @@ def case_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("c_custkey", F.coalesce("n", F.lit(0)).cast("long").alias("n_sightings"), F.coalesce("at", times.now_at("1990-01-01 00:00:00")).alias("seen_at"), F.coalesce("k", F.lit(-1)).cast("long").alias("anchor"))
 
 
-@query("WITH s AS (SELECT n_nationkey, s_suppkey FROM nation JOIN supplier ON s_nationkey = n_nationkey AND s_acctbal > 7000), m AS (SELECT n_nationkey FROM nation WHERE n_nationkey NOT IN (SELECT n_nationkey FROM s)) SELECT n_nationkey, s_suppkey, true AS own FROM s UNION ALL SELECT n_nationkey, s_suppkey, false FROM m JOIN supplier ON s_acctbal > 9500")
+@query("WITH s AS (SELECT n_nationkey, s_suppkey FROM nation JOIN supplier ON s_nationkey = n_nationkey AND s_acctbal > 9000), m AS (SELECT n_nationkey FROM nation WHERE n_nationkey NOT IN (SELECT n_nationkey FROM s)) SELECT n_nationkey, count(*) AS n_responders, min(s_suppkey) AS first_responder, true AS own FROM s GROUP BY n_nationkey UNION ALL SELECT n_nationkey, count(*), min(s_suppkey), false FROM m JOIN supplier ON s_acctbal > 2000 GROUP BY n_nationkey")
 def fallback_responders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Responders of the state, else all active ones; only states without any take the fallback list."""
+    """Responders of the state, else all active ones. Both are summed first; a state without any takes the one row of the fallback."""
     n, s = table(spark, sf_dir, "nation"), table(spark, sf_dir, "supplier")
-    own = n.join(s.filter("s_acctbal > 7000"), F.col("s_nationkey") == F.col("n_nationkey")).select("n_nationkey", "s_suppkey", F.lit(True).alias("own"))
-    rest = n.select("n_nationkey").join(own, "n_nationkey", "left_anti").withColumn("one", F.lit(1))
-    other = rest.join(s.filter("s_acctbal > 9500").withColumn("one", F.lit(1)), "one").select("n_nationkey", "s_suppkey", F.lit(False).alias("own"))
-    return own.unionByName(other)
+    sums = F.count("*").alias("n_responders"), F.min("s_suppkey").alias("first_responder")
+    own = n.join(s.filter("s_acctbal > 9000").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(*sums), "n_nationkey").select("n_nationkey", "n_responders", "first_responder", F.lit(True).alias("own"))
+    rest = n.select("n_nationkey").join(own, "n_nationkey", "left_anti")
+    other = rest.crossJoin(F.broadcast(s.filter("s_acctbal > 2000").agg(*sums)))  # one row
+    return own.unionByName(other.filter("n_responders > 0").withColumn("own", F.lit(False)))
 
 
 @query("SELECT user_id, coalesce(max(CASE WHEN c_custkey = user_id THEN c_name END), max(CASE WHEN o_orderkey = user_id THEN concat('order ', o_custkey) END), 'none') AS contact FROM (SELECT DISTINCT user_id FROM events) LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 3 = 0) ON c_custkey = user_id LEFT JOIN (SELECT * FROM orders WHERE o_orderkey % 2 = 0) ON o_orderkey = user_id GROUP BY user_id")
@@ -186,16 +187,16 @@ _HOUR = "date_trunc('hour', ts)"
 
 
 @query(
-    "WITH e AS (SELECT event_type, date_trunc('day', ts) AS day, ts, user_id % 9 AS caller, round(user_id % 6 / 7.0::DOUBLE, 2) AS area FROM events WHERE user_id % 10 < 3), "
+    "WITH e AS (SELECT event_type, date_trunc('hour', ts) AS day, ts, user_id % 9 AS caller, round(user_id % 6 / 7.0::DOUBLE, 2) AS area FROM events), "
     "b AS (SELECT event_type, day, count(*) AS n_reports, round(date_sub('second', min(ts), max(ts)) / 60.0::DOUBLE, 3) AS span_min FROM e GROUP BY ALL), "
     "c AS (SELECT event_type, day, round(max(n) / sum(n), 3) AS caller_share FROM (SELECT event_type, day, caller, count(*) AS n FROM e GROUP BY ALL) GROUP BY ALL), "
     "a AS (SELECT event_type, day, round(max(n) / sum(n), 3) AS area_share FROM (SELECT event_type, day, area, count(*) AS n FROM e GROUP BY ALL) GROUP BY ALL) "
-    "SELECT event_type, day, n_reports, CASE WHEN n_reports < 2 THEN 0.0 ELSE span_min END AS span_min, caller_share, area_share, n_reports >= 4 AND span_min <= 1200 AS burst, n_reports >= 4 AND span_min <= 1200 AND (caller_share >= 0.3 OR area_share >= 0.3) AS coordinated FROM b JOIN c USING (event_type, day) JOIN a USING (event_type, day)"
+    "SELECT event_type, day, n_reports, CASE WHEN n_reports < 2 THEN 0.0 ELSE span_min END AS span_min, caller_share, area_share, n_reports >= 4 AND span_min <= 45 AS burst, n_reports >= 4 AND span_min <= 45 AND (caller_share >= 0.3 OR area_share >= 0.3) AS coordinated FROM b JOIN c USING (event_type, day) JOIN a USING (event_type, day)"
 )
 def coord_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bursts, and whether a caller or an area dominates them."""
-    e = table(spark, sf_dir, "events").filter("user_id % 10 < 3").withColumn("day", F.date_trunc("day", "ts").cast("timestamp_ntz"))
-    return metrics.coordination(e, ["event_type", "day"], F.col("user_id") % 9, F.round(F.col("user_id") % 6 / F.lit(7.0), 2), "ts", 4, 1200.0, 0.3)
+    """Bursts within an hour, and whether a caller or an area dominates them."""
+    e = table(spark, sf_dir, "events").withColumn("day", F.date_trunc("hour", "ts").cast("timestamp_ntz"))
+    return metrics.coordination(e, ["event_type", "day"], F.col("user_id") % 9, F.round(F.col("user_id") % 6 / F.lit(7.0), 2), "ts", 4, 45.0, 0.3)
 
 
 _TITLE = "list_distinct(list_filter(regexp_extract_all(lower(title), '[a-z0-9]+'), lambda w: length(w) > 1 AND w <> 'near'))"
@@ -265,9 +266,12 @@ def quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 30 MINUTE PRECEDING AND CURRENT ROW) AS n_30m FROM events")
 def trailing_30m(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W06, ST09: reports of the trailing half hour."""
-    e = table(spark, sf_dir, "events").withColumn("us", F.timestamp_diff("MICROSECOND", times.now_at("1970-01-01 00:00:00"), F.col("ts")))
-    w = Window.partitionBy("event_type").orderBy("us").rangeBetween(-30 * 60 * 1_000_000, 0)
-    return e.select("event_id", F.count("*").over(w).alias("n_30m"))
+    span = 30 * 60 * 1_000_000
+    e = table(spark, sf_dir, "events").select("event_id", "event_type", F.timestamp_diff("MICROSECOND", times.now_at("1970-01-01 00:00:00"), F.col("ts")).alias("us"))
+    # half hours are counted each on its own, with the one before it, so no task gets a whole type
+    e = e.withColumn("later", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("half", F.floor(F.col("us") / span) + F.col("later"))
+    w = Window.partitionBy("event_type", "half").orderBy("us").rangeBetween(-span, 0)
+    return e.withColumn("n_30m", F.count("*").over(w)).filter("later = 0").select("event_id", "n_30m")
 
 
 @query("SELECT user_id, day, max(n) AS most, count(*) AS types, arg_max(event_type, n * 1000 - ascii(event_type)) AS top_type FROM (SELECT user_id, date_trunc('day', ts) AS day, event_type, count(*) AS n FROM events GROUP BY ALL) GROUP BY ALL")
@@ -292,10 +296,10 @@ def merge_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gazetteer.suggest([(n.filter("position < 10"), 0), (n.filter("position between 5 and 20"), 1)], "name", 14).select("name")
 
 
-@query(with_(_INC) + " SELECT state, max(CASE status WHEN 'verified' THEN 4 WHEN 'needs_human_review' THEN 3 WHEN 'corroborated' THEN 2 WHEN 'candidate_unverified' THEN 1 ELSE 0 END)::INTEGER AS score, count(*) AS n FROM inc WHERE severity = 0 AND confidence < 9 GROUP BY state")
+@query(with_(_INC) + " SELECT state, max(CASE status WHEN 'verified' THEN 4 WHEN 'needs_human_review' THEN 3 WHEN 'corroborated' THEN 2 WHEN 'candidate_unverified' THEN 1 ELSE 0 END)::INTEGER AS score, count(*) AS n FROM inc GROUP BY state")
 def area_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Worst score of an area."""
-    return derived.incidents(spark, sf_dir).filter("severity = 0 and confidence < 9").groupBy("state").agg(F.max(lookup(STATUS_SCORE, F.col("status"), 1)).alias("score"), F.count("*").alias("n"))
+    return derived.incidents(spark, sf_dir).groupBy("state").agg(F.max(lookup(STATUS_SCORE, F.col("status"), 1)).alias("score"), F.count("*").alias("n"))
 
 
 @query("SELECT event_type, day, n, running, latest_rank FROM (SELECT event_type, day, n, sum(n) OVER (PARTITION BY event_type ORDER BY day)::BIGINT AS running, rank() OVER (PARTITION BY event_type ORDER BY n DESC, day) AS latest_rank FROM (SELECT event_type, date_trunc('day', ts) AS day, count(*) AS n FROM events GROUP BY ALL)) WHERE latest_rank <= 10")

@@ -34,11 +34,11 @@ _SCORE = "CASE status WHEN 'verified' THEN 4 WHEN 'needs_human_review' THEN 3 WH
 _LEVEL = "CASE WHEN score >= 4 THEN 'RED' WHEN score >= 2 THEN 'ORANGE' WHEN score >= 1 THEN 'YELLOW' ELSE 'GREEN' END"
 
 
-@query(with_(_P, _INC, ("j", f"SELECT p.place_id, count(inc.incident_uuid) AS n_incidents, coalesce(max({_SCORE}) FILTER (incident_uuid IS NOT NULL), 0)::BIGINT AS score FROM p LEFT JOIN inc ON round({hav('p.', 'inc.')}, 4) <= 60 AND inc.confidence < 30 GROUP BY p.place_id")) + f" SELECT place_id, n_incidents, score, {_LEVEL} AS level FROM j")
+@query(with_(_P, _INC, ("j", f"SELECT p.place_id, count(inc.incident_uuid) AS n_incidents, coalesce(max({_SCORE}) FILTER (incident_uuid IS NOT NULL), 0)::BIGINT AS score FROM p LEFT JOIN inc ON round({hav('p.', 'inc.')}, 4) <= 60 GROUP BY p.place_id")) + f" SELECT place_id, n_incidents, score, {_LEVEL} AS level FROM j")
 def risk_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Incidents within 60 km of each place, as an equi-join on grid cells."""
     p = derived.places(spark, sf_dir).select("place_id", "lat", "lng")
-    return spatial.risk_near(p, derived.incidents(spark, sf_dir).filter("confidence < 30").select("incident_uuid", "lat", "lng", "status"), "place_id")
+    return spatial.risk_near(p, derived.incidents(spark, sf_dir).select("incident_uuid", "lat", "lng", "status"), "place_id")
 
 
 @query(with_(_INC) + f" SELECT incident_uuid, location_name, status FROM inc WHERE (contains(lower(location_name), 'place1') OR contains(lower(state), 'place1')) AND confidence > 20 ORDER BY {_SCORE} DESC, confidence DESC, incident_uuid LIMIT 12")
@@ -105,7 +105,7 @@ _T = f"CASE WHEN sq <= 1e-12 THEN 0.0 ELSE greatest(0.0, least(1.0, ((lng - alng
 _NEAR = (
     *_LEGS,
     _INC,
-    ("sel", "SELECT incident_uuid, status, lat, lng FROM inc WHERE confidence < 12"),
+    ("sel", "SELECT incident_uuid, status, lat, lng FROM inc"),
     ("sq", f"SELECT leg.*, sel.*, pow((blng - alng) * {_KX}, 2) + pow((blat - alat) * 110.574::DOUBLE, 2) AS sq FROM leg, sel"),
     ("tt", f"SELECT *, {_T} AS t FROM sq"),
     ("nn", f"SELECT route, segment, incident_uuid, status, lat, lng, alat + t * (blat - alat) * 110.574::DOUBLE / 110.574::DOUBLE AS nlat, alng + t * (blng - alng) * {_KX} / {_KX} AS nlng FROM tt"),
@@ -115,8 +115,7 @@ _NEAR = (
 
 def _legs_and_near(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     legs = spatial.segments(_routes(spark, sf_dir), "route", _N)
-    some = derived.incidents(spark, sf_dir).filter("confidence < 12").select("incident_uuid", "status", "lat", "lng")
-    return legs, spatial.corridor_join(legs, some)
+    return legs, spatial.corridor_join(legs, derived.incidents(spark, sf_dir).select("incident_uuid", "status", "lat", "lng"))
 
 
 @query(with_(*_NEAR, ("g", f"SELECT leg.route, leg.segment, count(near.incident_uuid) AS n_incidents, coalesce(max({_SCORE}) FILTER (near.incident_uuid IS NOT NULL), 0)::BIGINT AS score FROM leg LEFT JOIN near USING (route, segment) GROUP BY ALL")) + f" SELECT route::BIGINT AS route, segment, n_incidents, score, {_LEVEL} AS level FROM g")
@@ -137,15 +136,14 @@ def corridor_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TERRAIN = "CASE o_orderkey % 4 WHEN 0 THEN 'road' WHEN 1 THEN 'forest' WHEN 2 THEN 'mountain' ELSE 'mixed' END"
 _RINGS = (
     _INC,
-    ("ring0", "SELECT owner AS case_id, incident_uuid, lat, lng, window_end, row_number() OVER (PARTITION BY owner ORDER BY window_end DESC, incident_uuid DESC) AS n FROM inc WHERE owner % 30 = 4"),
-    ("ring", "SELECT case_id, incident_uuid, lat, lng, least(250.0, 25.0 * greatest(0.25, (n * 37 % 90) / 12.0::DOUBLE))::DOUBLE AS radius_km, n FROM ring0 WHERE n <= 4"),
+    ("ring0", "SELECT owner AS case_id, incident_uuid, lat, lng, window_end, row_number() OVER (PARTITION BY owner ORDER BY window_end DESC, incident_uuid DESC) AS n FROM inc"),
+    ("ring", "SELECT case_id, incident_uuid, lat, lng, least(250.0, 25.0 * greatest(0.25, (n * 37 % 90) / 12.0::DOUBLE))::DOUBLE AS radius_km, n FROM ring0"),
 )
 
 
 def _rings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    inc = derived.incidents(spark, sf_dir).filter("owner % 30 = 4")
     w = Window.partitionBy("owner").orderBy(F.desc("window_end"), F.desc("incident_uuid"))
-    r = inc.withColumn("n", F.row_number().over(w)).filter("n <= 4")
+    r = derived.incidents(spark, sf_dir).withColumn("n", F.row_number().over(w))
     return r.select(F.col("owner").alias("case_id"), "incident_uuid", "lat", "lng", geo.reach_km(F.col("n") * 37 % 90 / 12.0).alias("radius_km"), "n")
 
 
@@ -190,21 +188,21 @@ def search_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _TRAIL = (
     _INC,
-    ("t0", "SELECT owner AS case_id, lat, lng, lag(lat) OVER w AS plat, lag(lng) OVER w AS plng, row_number() OVER (PARTITION BY owner ORDER BY window_end DESC, incident_uuid DESC) AS r FROM inc WHERE owner % 10 = 1 WINDOW w AS (PARTITION BY owner ORDER BY window_end, incident_uuid)"),
+    ("t0", "SELECT owner AS case_id, lat, lng, lag(lat) OVER w AS plat, lag(lng) OVER w AS plng, row_number() OVER (PARTITION BY owner ORDER BY window_end DESC, incident_uuid DESC) AS r FROM inc WINDOW w AS (PARTITION BY owner ORDER BY window_end, incident_uuid)"),
     ("t1", f"SELECT *, {bearing('p', '')} AS brg FROM t0 WHERE r = 1 AND plat IS NOT NULL"),
 )
 
 
-@query(with_(*_TRAIL, ("arc", "SELECT case_id, lat, lng, brg, unnest(range(-34, 35, 8)) AS a FROM t1")) + f" SELECT case_id, count(*)::BIGINT + 2 AS n_points, round(sum(round({dest('lat', 'lng', '(brg + a)', '80.0')[0]}, 6)), 4) AS sum_lat, round(any_value(brg), 1) AS bearing FROM arc GROUP BY case_id")
+@query(with_(*_TRAIL, ("arc", "SELECT case_id, lat, lng, brg, unnest(range(-34, 35, 8)) AS a FROM t1")) + f" SELECT case_id, count(*)::BIGINT + 2 AS n_points, round(sum(round({dest('lat', 'lng', '(brg + a)', '80.0')[0]}, 6)), 6) AS sum_lat, round(any_value(brg), 1) AS bearing FROM arc GROUP BY case_id")
 def movement_cone(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wedge ahead of the last two points of a trail."""
-    inc = derived.incidents(spark, sf_dir).filter("owner % 10 = 1")
+    inc = derived.incidents(spark, sf_dir)
     w = Window.partitionBy("owner").orderBy("window_end", "incident_uuid")
     t = inc.select(F.col("owner").alias("case_id"), "lat", "lng", F.lag("lat").over(w).alias("p_lat"), F.lag("lng").over(w).alias("p_lng"), F.row_number().over(Window.partitionBy("owner").orderBy(F.desc("window_end"), F.desc("incident_uuid"))).alias("r"))
     t = t.filter("r = 1 and p_lat is not null").withColumn("brg", geo.bearing_deg(F.col("p_lat"), F.col("p_lng"), F.col("lat"), F.col("lng")))
     t = t.withColumn("poly", geo.cone_polygon(F.col("lat"), F.col("lng"), F.col("brg"), F.lit(80.0)))
     arc = F.slice("poly", 2, F.size("poly") - 2)
-    return t.select("case_id", F.size("poly").cast("long").alias("n_points"), F.round(F.aggregate(arc, F.lit(0.0), lambda a, p: a + p["lat"]), 4).alias("sum_lat"), F.round("brg", 1).alias("bearing"))
+    return t.select("case_id", F.size("poly").cast("long").alias("n_points"), F.round(F.aggregate(arc, F.lit(0.0), lambda a, p: a + p["lat"]), 6).alias("sum_lat"), F.round("brg", 1).alias("bearing"))
 
 
 @query(with_(("det", derived.DETECTIONS)) + " SELECT round(lat, 1) AS cell_lat, round(lng, 1) AS cell_lng, count(*) AS n, count(DISTINCT user_id) AS callers FROM det GROUP BY ALL")

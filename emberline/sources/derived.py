@@ -15,7 +15,8 @@ DETECTIONS = f"""SELECT event_id AS signal_id,
   CASE user_id % 7 WHEN 0 THEN 'Punch Metro' WHEN 1 THEN 'BBC News Pidgin' WHEN 2 THEN 'Reuters' WHEN 3 THEN 'Vanguard' ELSE concat('Local ', user_id % 7) END AS source_name,
   concat(event_type, ' near place', user_id % 25, ' mark', event_id % 5) AS title,
   user_id, {_CENTRE.format(u="user_id", e="event_id")},
-  CASE WHEN value > 120 THEN 2 WHEN value > 60 THEN 1 ELSE 0 END AS severity, user_id % 10 = 0 AS hotspot, value FROM events"""
+  CASE WHEN value > 120 THEN 2 WHEN value > 60 THEN 1 ELSE 0 END AS severity, user_id % 10 = 0 AS hotspot, value,
+  CASE WHEN event_id % 4 = 0 THEN concat('lga', user_id % 25 % 13) END AS lga FROM events"""
 
 INCIDENTS = f"""SELECT o_orderkey AS incident_uuid, o_custkey AS owner, o_orderdate AS window_end, o_orderpriority AS label,
   CASE o_orderkey % 5 WHEN 0 THEN 'verified' WHEN 1 THEN 'needs_human_review' WHEN 2 THEN 'corroborated' WHEN 3 THEN 'candidate_unverified' ELSE 'dismissed' END AS status,

@@ -25,7 +25,7 @@ def one(df, column):
 
 
 def scored(spark, rows):
-    return clustering.incidents(det(spark, rows), times.now_at("2024-06-01 13:00:00"), F.lit("one")).orderBy("leader_id").collect()
+    return clustering.incidents(det(spark, rows), times.now_at("2024-06-01 13:00:00")).orderBy("leader_id").collect()
 
 
 def test_far_pair_of_one_district_is_one_incident(spark):
@@ -58,6 +58,46 @@ def test_window_and_order(spark):
     assert [r.signal_ids for r in scored(spark, rows)] == [[1, 2], [3]]
 
 
+def test_clusters_span_weeks_years_and_the_date_line(spark):
+    sunday, new_year = 36 + 11, (dt.datetime(2024, 12, 31, 23) - T0).total_seconds() / 3600  # T0 is a Saturday noon
+    rows = [(1, "kidnapping", sunday - 12, "a", "a", 10.0, 6.0, "X", "Y"), (2, "kidnapping", sunday + 12, "b", "b", 10.0, 6.0, "X", "Y")]
+    rows += [(3, "kidnapping", new_year, "a", "a", 10.0, 6.0, "X", "Y"), (4, "kidnapping", new_year + 2, "b", "b", 10.0, 6.0, "X", "Y")]
+    rows += [(5, "police_misconduct", 0, "a", "a", 1.0, 179.95, "P", "S"), (6, "police_misconduct", 1, "b", "b", 1.0, -179.95, "Q", "T")]
+    rows += [(7, "police_misconduct", 0, "a", "a", 89.9, 0.0, "P", "S"), (8, "police_misconduct", 1, "b", "b", 89.9, 180.0, "Q", "T")]
+    assert [r.signal_ids for r in scored(spark, rows)] == [[1, 2], [3, 4], [5, 6], [7, 8]]
+
+
+def test_clusters_equal_a_plain_walk(spark):
+    """Leaders in order over all earlier clusters of the type, with no blocks and no reduction."""
+    import math
+    import random
+
+    rng = random.Random(12)
+    kinds = ["kidnapping", "armed_robbery", "police_misconduct"]
+    rows = [(i, rng.choice(kinds), rng.choice([0, 400]) + rng.randrange(300) / 2, "s", "t", 9.0 + rng.choice([0, 0.1, 0.3, 0.45, 3]), 6.0 + rng.choice([0, 0.1, 0.3, 0.45, 9]), rng.choice(["A", "b ", "B", ""]), rng.choice(["X", "Y", ""])) for i in range(400)]
+    lga = {i: rng.choice([None, None, "L1", "L2"]) for i in range(400)}
+
+    def km(a, b):
+        x = math.sin(math.radians(b[0] - a[0]) / 2) ** 2 + math.cos(math.radians(a[0])) * math.cos(math.radians(b[0])) * math.sin(math.radians(b[1] - a[1]) / 2) ** 2
+        return round(2 * 6371 * math.asin(math.sqrt(x)), 4)
+
+    want, held = {}, []
+    for i, kind, h, _, _, lat, lng, place, state in sorted(rows, key=lambda r: (r[2], r[0])):
+        place, state = place.strip().lower(), state.strip().lower()
+        for lead, k, at, p, q, s, g in held:
+            wide = place and p == place or lga[i] and g == lga[i] or kind == "kidnapping" and state and s == state
+            radius = 55 if wide else 18 if kind == "armed_robbery" else 30
+            if k == kind and km(q, (lat, lng)) <= radius and h - at <= 72:
+                want[i] = lead
+                break
+        else:
+            want[i] = i
+            held.append((i, kind, h, place, (lat, lng), state, lga[i]))
+    of = spark.createDataFrame(list(lga.items()), "signal_id bigint, lga string")
+    got = {r.signal_id: r.leader_id for r in clustering.leaders(det(spark, rows).join(of, "signal_id")).collect()}
+    assert got == want
+
+
 def test_places_missing_are_left_out(spark):
     rows = [(1, "kidnapping", 0, "a", "a", None, 6.0, "X", "Y"), (2, "kidnapping", 0, "b", "b", 10.0, 6.0, None, None)]
     assert [r.signal_ids for r in scored(spark, rows)] == [[2]]
@@ -112,6 +152,53 @@ def test_radius_join_equals_all_pairs(spark):
     assert near == {(r.a, r.b) for r in every.collect()} and len(near) > 60
 
 
+def test_radius_join_at_the_poles_and_over_the_date_line(spark):
+    import random
+
+    rng = random.Random(3)
+    points = [(i, rng.choice([0.0, 45.0, 70.0, 84.0, 88.5, 89.7, -89.9]) + rng.random() / 4, rng.choice([179.9, -179.9, 0.0, 90.0]) + rng.random() / 20) for i in range(60)]
+    left = spark.createDataFrame(points, "i int, lat double, lng double")
+    right = left.toDF("j", "r_lat", "r_lng")
+    for km in (20.0, 60.0, 400.0):
+        got = sorted((r.i, r.j) for r in spatial.radius_join(left, right, km).select("i", "j").collect())
+        near = left.crossJoin(right).filter(F.round(geo.haversine_km(F.col("lat"), F.col("lng"), F.col("r_lat"), F.col("r_lng")), 4) <= km)
+        assert got == sorted((r.i, r.j) for r in near.select("i", "j").collect())
+
+
+def test_ring_cells_equal_all_cells(spark):
+    rings = spark.createDataFrame([(1, 9.0, 7.0, 40.0), (1, 9.3, 7.2, 90.0), (1, 12.0, 9.0, 6.25), (2, 80.0, 10.0, 250.0), (2, 79.0, 30.0, 20.0)], "k int, lat double, lng double, radius_km double")
+    got = {(r.k, r.cell): r.ring_count for r in spatial.overlap_cells(rings, "k").collect()}
+    want = {}
+    for k in (1, 2):
+        mine = [r for r in rings.collect() if r.k == k]
+        import math
+
+        pad = [r.radius_km / (111 * math.cos(math.radians(r.lat))) for r in mine]
+        s, n = min(r.lat - r.radius_km / 111 for r in mine), max(r.lat + r.radius_km / 111 for r in mine)
+        w, e = min(r.lng - p for r, p in zip(mine, pad, strict=True)), max(r.lng + p for r, p in zip(mine, pad, strict=True))
+        for i in range(49):
+            for j in range(49):
+                a, o = s + (n - s) * i / 48, w + (e - w) * j / 48
+                hav = lambda r: 2 * 6371 * math.asin(math.sqrt(math.sin(math.radians(r.lat - a) / 2) ** 2 + math.cos(math.radians(a)) * math.cos(math.radians(r.lat)) * math.sin(math.radians(r.lng - o) / 2) ** 2))  # noqa: B023, E731
+                if c := sum(round(hav(r), 4) <= r.radius_km for r in mine):
+                    want[k, i * 49 + j] = c
+    assert got == want
+
+
+def test_hash_chain_of_many_batches(spark):
+    rows = [(u, n, None if (u, n) == (2, 3) else f"p{u}{n}") for u in (1, 2) for n in range(30)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = {(r.u, r.n): (r.prev_hash, r.hash) for r in folds.hash_chain(spark.createDataFrame(rows, "u int, n int, p string"), ["u"], ["n"], "p").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    last = {}
+    for u, n, p in rows:
+        before = last.get(u) or ""
+        last[u] = None if p is None else hashlib.sha256((before + p).encode()).hexdigest()
+        assert got[u, n] == (before, last[u])
+
+
 def test_waypoints_and_segment(spark):
     pts = one(spark.range(1), geo.waypoints(F.lit(6.5), F.lit(3.4), F.lit(9.1), F.lit(7.5), 24))
     assert len(pts) == 24 and (pts[0].lat, pts[0].lng, pts[-1].lat, pts[-1].lng) == (6.5, 3.4, 9.1, 7.5)
