@@ -12,11 +12,16 @@
 
 A pair at the threshold is missed with a probability of about 5e-6 by the bands and 3e-6 by the signatures.
 
-Texts are read twice: for signatures, and again for the sets of documents in clusters, told by a Bloom filter of fixed
-size (an exact join follows). Sets are never kept for other documents.
+Texts are read twice: for signatures, and again for the sets of documents in clusters, told by a Bloom filter of 16 bits a
+document (an exact join follows), or beyond MOST_BITS by a join. Sets are never kept for other documents.
 
-Defined results: null or empty text has an empty set and is linked with nothing; a null key is linked with nothing and
-has no component; rows of one key are one document with a row each; other columns are not read.
+What many rows may share (an equal set, a bucket, a component's centre) is found by partial aggregation, cut to a table,
+and joined back; adaptive execution splits such a join where a third of all rows meet on one key.
+
+Defined results: null or empty text has an empty set and is linked with nothing; a very long text is one set, whole; a null
+key is linked with nothing and has no component; rows of one key with one text are one document with a row each, rows
+of one key with several texts are linked through what any of them is like; of equal sets the least key stands for all;
+an empty table gives an empty result; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,17 +34,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberline.llm.common import cut, mix, slices, text_buffer, words
-from emberline.llm.components import connected_components
+from emberline.llm.components import HUB, connected_components
 
 BANDS, ROWS = 32, 4
 _rng = np.random.default_rng(17)
 _A = _rng.integers(1, 2**63, (BANDS * ROWS, 1), dtype=np.uint64) | np.uint64(1)
 _B = _rng.integers(0, 2**63, (BANDS * ROWS, 1), dtype=np.uint64)
 _PLACES = _rng.integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
-#: Bits of the filter that tells documents of clusters on the second reading.
-FILTER_BITS = 1 << 23
-#: Bytes of shingle sets in a block, the most that is compared within one group; and about that of small clusters together.
-BLOCK, BIN = 16 << 20, 1 << 20
+#: Most bits of the filter that tells documents of clusters on the second reading: 128 MB.
+MOST_BITS = 1 << 30
+#: Bytes of shingle sets in a block, the most that is compared within one group, and about that of small clusters together;
+#: a document counts for ROW bytes besides its set, which bounds a block's rows.
+BLOCK, BIN, ROW = 16 << 20, 1 << 20, 512
+#: Rows that a row is first compared with in a block, before all that are not yet connected with it.
+PROBES = 64
 #: Documents of a cluster beyond one block that all others are compared with first.
 HUBS = 16
 
@@ -92,30 +100,38 @@ def _sketch(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("id", "text").mapInArrow(run, f"id {kind}, n bigint, k1 bigint, k2 bigint, bands array<bigint>")
 
 
-def _filter(ids: DataFrame) -> np.ndarray:
-    """Bit map of hashed ids, of fixed size."""
-    bit = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
-    rows = ids.select(F.floor(bit / 32).cast("int").alias("at"), F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 32).cast("int")).alias("bits"))
-    out = np.zeros(FILTER_BITS // 32, np.uint32)
-    for r in rows.groupBy("at").agg(F.bit_or("bits").alias("bits")).toLocalIterator():
-        out[r["at"]] = r["bits"]
-    return out
+def _filter(ids: DataFrame, most: int) -> np.ndarray | None:
+    """Bit map of hashed ids with 16 bits for each; None if that is more than most."""
+    size = 1 << max(16, int(ids.count() * 16 - 1).bit_length())
+    if size > most:
+        return None
+    bit = F.pmod(F.xxhash64("id"), F.lit(size))
+    rows = ids.select(F.floor(bit / 64).cast("long").alias("at"), F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int")).alias("bits"))
+    rows = rows.groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(size // 64, np.int64)
+    out[rows.column("at").to_numpy()] = rows.column("bits").to_numpy()
+    return out.view(np.uint64)
 
 
-def _sets(docs: DataFrame, within: np.ndarray, width: int) -> DataFrame:
-    """(id, sig, shingles) of the documents that the filter lets through; sig has a byte of each minimum."""
+def _sets(docs: DataFrame, ids: DataFrame, width: int, most: int = MOST_BITS) -> DataFrame:
+    """(id, sig, shingles) of at least the documents of ids; sig has a byte of each minimum."""
     kind = docs.schema["id"].dataType.simpleString()
+    within = _filter(ids, most)
+    if within is None:
+        docs = docs.join(ids.distinct(), "id", "left_semi")
+    size = 64 * len(within) if within is not None else 1
 
     def run(batches):
         for batch in batches:
-            bit = batch.column("bit").to_numpy()
-            batch = batch.filter(pa.array((within[bit >> 5] >> (bit & 31).astype(np.uint32) & 1).astype(bool)))
+            if within is not None:
+                bit = batch.column("bit").to_numpy()
+                batch = batch.filter(pa.array((within[bit >> 6] >> (bit & 63).astype(np.uint64) & np.uint64(1)).astype(bool)))
             for part in slices(batch, "text"):
                 ids, found = part.column("id"), list(shingle_sets(part, "text", width))
                 sigs = [(minima(s) & 255).astype(np.uint8).tobytes() for s in found]
                 yield pa.RecordBatch.from_arrays([ids, pa.array(sigs, pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], names=["id", "sig", "shingles"])
 
-    return docs.select("id", "text", F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)).alias("bit")).mapInArrow(run, f"id {kind}, sig binary, shingles binary")
+    return docs.select("id", "text", F.pmod(F.xxhash64("id"), F.lit(size)).alias("bit")).mapInArrow(run, f"id {kind}, sig binary, shingles binary")
 
 
 def connected(sigs: np.ndarray, sets: list[np.ndarray], side: np.ndarray, known: list, percent: int) -> np.ndarray:
@@ -130,10 +146,12 @@ def connected(sigs: np.ndarray, sets: list[np.ndarray], side: np.ndarray, known:
     p = percent / 100
     least = sigs.shape[1] * p - 4.5 * (sigs.shape[1] * p * (1 - p)) ** 0.5
     sizes = np.array([len(x) for x in sets])
-    for i in range(max(1, split), len(sets)):
-        till = split or i
-        small, large = np.minimum(sizes[:till], sizes[i]), np.maximum(sizes[:till], sizes[i])
-        open_ = np.flatnonzero((of[:till] != of[i]) & (100 * small >= percent * large))
+    rows = np.arange(len(sets))
+
+    def merge(i: int, among: np.ndarray) -> None:
+        """Connect row i with those of the rows that it is like; the likeliest first, as each saves its component."""
+        small, large = np.minimum(sizes[among], sizes[i]), np.maximum(sizes[among], sizes[i])
+        open_ = among[(of[among] != of[i]) & (100 * small >= percent * large)]
         alike = (sigs[open_] == sigs[i]).sum(1)
         near = alike >= least
         open_ = open_[near][np.argsort(-alike[near], kind="stable")]
@@ -143,6 +161,15 @@ def connected(sigs: np.ndarray, sets: list[np.ndarray], side: np.ndarray, known:
             if 100 * both >= percent * (sizes[i] + sizes[j] - both):
                 of[of == of[j]] = of[i]
                 open_ = open_[of[open_] != of[i]]
+
+    probes = rows[:0]
+    for i in range(max(1, split), len(sets)):
+        till = split or i
+        if till > 2 * PROBES:  # rows of the first components, and a spread of all
+            if not len(probes) or i % PROBES == 0:
+                probes = np.unique(np.concatenate([np.unique(of[:till], return_index=True)[1][: PROBES // 2], np.linspace(0, till - 1, PROBES // 2).astype(int)]))
+            merge(i, probes)
+        merge(i, rows[:till][of[:till] != of[i]])
     return of
 
 
@@ -197,7 +224,7 @@ def _rest(large: DataFrame, labels: DataFrame, block: int) -> DataFrame:
     known = large.join(labels, "id", "left").withColumn("known", F.coalesce("component", "id"))
     size = known.groupBy("cluster", "known").agg(F.sum("n").alias("size"))
     main = size.groupBy("cluster").agg(F.max_by("known", F.struct("size", "known")).alias("main"), F.max("size").alias("most"), F.sum("size").alias("all"))
-    count = lambda c: F.ceil(c * 8 / block).cast("int")
+    count = lambda c: F.ceil(c / block).cast("int")
     k = known.join(main.select("cluster", "main", count(F.col("most")).alias("mains"), count(F.col("all") - F.col("most")).alias("rests")), "cluster").filter("rests > 0")
     inside = F.col("known") == F.col("main")
     at = F.pmod(F.xxhash64("id", F.lit(1)), F.when(inside, F.col("mains")).otherwise(F.col("rests"))).cast("int")
@@ -210,33 +237,34 @@ def _rest(large: DataFrame, labels: DataFrame, block: int) -> DataFrame:
     return dealt.select("id", "cluster", F.xxhash64("cluster").alias("unit"), "to.i", "to.j", "to.side", "known")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 75, block: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 75, block: int = BLOCK, most_bits: int = MOST_BITS, hub: int = HUB) -> DataFrame:
     """Per row: key, n_shingles, component_id and kept."""
     docs = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     sketch = cut(_sketch(docs, width))
     alike = ["k1", "k2", "n"]
-    groups = sketch.filter("n > 0 and id is not null").groupBy(*alike).agg(F.min("id").alias("rep"))
+    groups = cut(sketch.filter("n > 0 and id is not null").groupBy(*alike).agg(F.min("id").alias("rep")))
     firsts = sketch.join(groups.withColumnRenamed("rep", "id"), ["id", *alike]).select("id", "n", "bands")
     tagged = cut(sketch.drop("bands").join(groups, alike, "left").select("id", "n", "rep"))
 
     held = firsts.select("id", F.explode("bands").alias("bucket"))
-    leaders = held.groupBy("bucket").agg(F.min("id").alias("leader"), F.count("*").alias("c")).filter("c > 1").drop("c")
+    leaders = cut(held.groupBy("bucket").agg(F.min("id").alias("leader"), F.count("*").alias("c")).filter("c > 1").drop("c"))
     ties = held.join(leaders, "bucket").filter("id <> leader").select(F.col("id").alias("u"), F.col("leader").alias("v")).distinct()
-    clusters = cut(connected_components(ties).withColumnRenamed("component", "cluster").join(tagged.filter("id = rep").groupBy("id").agg(F.max("n").alias("n")), "id"))
+    weights = tagged.filter("id = rep").groupBy("id").agg((F.max("n") * 8 + ROW).alias("n"))
+    clusters = cut(connected_components(ties, hub).withColumnRenamed("component", "cluster").join(weights, "id"))
 
-    sizes = clusters.groupBy("cluster").agg((F.sum("n") * 8).alias("bytes"), F.count("*").alias("docs"))
+    sizes = clusters.groupBy("cluster").agg(F.sum("n").alias("bytes"), F.count("*").alias("docs"))
     fits = F.col("bytes") <= block
     small, many = sizes.agg(F.coalesce(F.sum(F.when(fits, F.col("bytes"))), F.lit(0)), F.count_if(~fits)).first()
     sized = clusters.join(sizes, "cluster")
-    sets = _sets(docs, _filter(clusters.select("id")), width)
+    sets = _sets(docs, clusters.select("id"), width, most_bits)
     dealt = _small(sized.filter(fits), int(small // min(block, BIN) + 1))
     before = None
     if many:
         large = sized.filter(~fits).withColumn("parts", F.ceil(F.col("bytes") / block).cast("int"))
-        before = cut(_links(_with_hubs(large), _sets(docs, _filter(large.select("id")), width), percent))
-        dealt = dealt.unionByName(_rest(large, connected_components(before), block))
+        before = cut(_links(_with_hubs(large), _sets(docs, large.select("id"), width, most_bits), percent))
+        dealt = dealt.unionByName(_rest(large, connected_components(before, hub), block))
     links = _links(dealt, sets, percent)
-    found = connected_components(links if before is None else links.unionByName(before))
+    found = connected_components(links if before is None else links.unionByName(before), hub)
     out = tagged.join(found.withColumnRenamed("id", "rep"), "rep", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id"))
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("id") == component).alias("kept")).withColumn("kept", F.coalesce("kept", F.lit(True)))

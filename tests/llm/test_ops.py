@@ -76,8 +76,9 @@ def test_near_duplicates(docs, empty):
                     least[a] = least[b] = min(least[a], least[b])
         if all(least[least[i]] == least[i] for i in ids):
             break
-    for block in (1 << 22, 2000):  # whole clusters, and clusters dealt to blocks
-        rows = minhash.near_duplicates(docs, block=block).collect()
+    # whole clusters; clusters dealt to blocks, every node a hub, and a join instead of the filter
+    for options in ({}, {"block": 6000, "hub": 0, "most_bits": 64}):
+        rows = minhash.near_duplicates(docs, **options).collect()
         assert len(rows) == len(corpus())
         for r in rows:
             assert r.n_shingles == len(sets[r.doc_id])
@@ -86,6 +87,51 @@ def test_near_duplicates(docs, empty):
     assert minhash.near_duplicates(empty).count() == 0
 
 
+def test_blocks_of_many_rows():
+    """Chains, stars and strangers of one block, beyond the first rows that are compared: as by comparing all pairs."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    sets = []
+    for _ in range(40):
+        base = rng.integers(0, 2**63, 60, dtype=np.uint64)
+        for _ in range(rng.integers(1, 25)):
+            base = base.copy()
+            base[rng.integers(0, 60, rng.integers(0, 9))] = rng.integers(0, 2**63, dtype=np.uint64)
+            sets.append(np.unique(base))
+    order = rng.permutation(len(sets))
+    sets = [sets[i] for i in order]
+    sigs = np.stack([(minhash.minima(s) & 255).astype(np.uint8) for s in sets])
+    for side in (np.zeros(len(sets), int), (np.arange(len(sets)) >= 300).astype(int)):
+        of = list(range(len(sets)))
+        for i in range(len(sets)):
+            for j in range(i):
+                both = len(np.intersect1d(sets[i], sets[j]))
+                if (side[0] == side[-1] or side[i] != side[j]) and 4 * both >= 3 * (len(sets[i]) + len(sets[j]) - both):
+                    of = [of[j] if x == of[i] else x for x in of]
+        got = minhash.connected(sigs, sets, side, list(range(len(sets))), 75)
+        assert len(set(zip(of, got.tolist(), strict=True))) == len(set(of)) == len(set(got.tolist()))
+
+
+def test_joins_with_cut_minima_are_split(spark):
+    """The shape of all joins on hot keys: rows with a table of minima; adaptive execution splits it."""
+    from emberline.llm.common import cut
+
+    settings = {"spark.sql.autoBroadcastJoinThreshold": -1, "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": 1000, "spark.sql.adaptive.skewJoin.skewedPartitionFactor": 1.5, "spark.sql.adaptive.advisoryPartitionSizeInBytes": 2000, "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": 16}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, str(v))
+    try:
+        rows = spark.range(0, 6000, 1, 8).select(F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id")).alias("u"), F.col("id").alias("v"))
+        joined = rows.join(cut(rows.groupBy("u").agg(F.min("v").alias("m"))), "u")
+        joined.write.format("noop").mode("overwrite").save()
+        joined.collect()
+        assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(i, i + 1) for i in range(1000, 1040)] + [(5, 5)]
@@ -93,7 +139,9 @@ def test_components(spark):
     for _ in range(60):
         for a, b in edges:
             least[a] = least[b] = min(least[a], least[b])
-    got = connected_components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()
+    df = spark.createDataFrame(edges, "u bigint, v bigint")
+    got = connected_components(df).collect()
+    assert sorted(got) == sorted(connected_components(df, hub=0).collect())
     assert len(got) == len({r.id for r in got})
     assert all(least[r.id] == r.component for r in got) and {r.id for r in got} >= {x for a, b in edges if a != b for x in (a, b)}
 
