@@ -264,7 +264,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
         before = cut(_links(_with_hubs(large), _sets(docs, large.select("id"), width, most_bits), percent))
         dealt = dealt.unionByName(_rest(large, connected_components(before, hub), block))
     links = _links(dealt, sets, percent)
-    found = connected_components(links if before is None else links.unionByName(before), hub)
-    out = tagged.join(found.withColumnRenamed("id", "rep"), "rep", "left")
+    found = cut(connected_components(links if before is None else links.unionByName(before), hub).withColumnRenamed("id", "rep"))
+    # rows without a set or a key meet nothing, and so no join, where they would share one key
+    alone = tagged.filter("rep is null").withColumn("component", F.lit(None).cast(found.schema["component"].dataType))
+    out = tagged.filter("rep is not null").join(found, "rep", "left").unionByName(alone)
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id"))
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("id") == component).alias("kept")).withColumn("kept", F.coalesce("kept", F.lit(True)))

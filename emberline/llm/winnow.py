@@ -5,11 +5,16 @@ that a document and a test item share has a common fingerprint. Fingerprints are
 windows of `span` words around it are compared through the hashes of their two halves. Items of fewer than `span` words
 are one window, looked up whole.
 
-The fingerprints of the items are broadcast only if they are at most `broadcast_rows`; beyond that the join shuffles.
-Nothing but markers (one row a document) and hits reaches the aggregation.
+The fingerprints of the items are broadcast only if they are at most `broadcast_rows`. Beyond that a bit map of their
+hashes is broadcast, of 2^26 bits whatever their number, and what it lets through is shuffled. Nothing but markers (one
+row a document) and hits reaches the aggregation.
 
-Defined results: null or empty text has no words, is never hit, and an item without words has no window; repeated
-documents are reported each; repeated items count once by item_id; null item_ids hit but are not listed.
+A fingerprint is picked by 32 bits of its hash, then by place, which any two texts do alike; it is compared by all 64.
+
+Defined results: null or empty text has no words, is never hit, and an item without words has no window; very long texts
+are taken whole, of up to 2^31 words; of equal least hashes the first is picked; repeated documents are reported each;
+repeated items count once by item_id; null item_ids hit but are not listed; without documents the result is empty,
+without items nothing is hit; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,8 +26,10 @@ from emberline.llm.ledger import let
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Low bits for a word's place in its text, below as many bits of hash as are left in a positive long.
-_PLACE = 27
+_PLACE = 31
 K = 5
+#: Bits of the map of test fingerprints: at most 2^20 rows of 64.
+_MAP = 1 << 26
 
 
 def item_words(text: Column) -> Column:
@@ -91,6 +98,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
 
     rows = docs.select(F.col(key).alias("key"), row.alias("row"), let(w, prints).alias("p")).select("key", "row", F.col("p.n").alias("n_words"), F.explode("p.prints").alias("f"))
     rows = rows.select("key", "row", "n_words", "f.place", "f.print", "f.around")
+    if not small:
+        word, bit = F.floor(F.pmod("print", F.lit(_MAP)) / 64), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("print", F.lit(64)).cast("int"))
+        bits = tests.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits"))
+        rows = rows.withColumn("word", word).join(F.broadcast(bits), "word", "left").filter((F.col("place") < 0) | (F.col("bits").bitwiseAND(bit) != 0)).drop("word", "bits")
     joined = rows.join(F.broadcast(tests) if small else tests, "print", "left")
     starts = F.filter(
         F.sequence(F.lit(0), F.lit(width - 1)),
