@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import html
 import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -94,7 +96,6 @@ TERRAIN_WORDS = {
 }
 
 _ACCENTED, _PLAIN = "àáâäāèéêëēìíîïīòóôöōùúûüūñç", "aaaaaeeeeeiiiiiooooouuuuunc"
-_ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&amp;": "&"}
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -103,11 +104,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def html_clean(text: Column) -> Column:
-    """Tags to spaces, the common entities decoded, white space collapsed, trimmed."""
+    """Tags to spaces, all character references decoded, white space collapsed, trimmed. Python decodes, in Arrow batches."""
     bare = F.regexp_replace(F.coalesce(text, F.lit("")), "<[^>]+>", " ")
-    for entity, char in _ENTITIES.items():
-        bare = F.replace(bare, F.lit(entity), F.lit(char))
-    return F.trim(F.regexp_replace(bare, r"\s+", " "))
+    return F.trim(F.regexp_replace(F.pandas_udf(_unescaped, "string")(bare), r"(?U)\s+", " "))
+
+
+def _unescaped(texts: pd.Series) -> pd.Series:
+    return texts.map(html.unescape)
 
 
 def tokens(text: Column, stop: list[str] | tuple[str, ...] = tuple(STOP_ACCOUNT)) -> Column:
@@ -173,6 +176,11 @@ def place_key(name: Column) -> Column:
     return F.trim(F.regexp_replace(s, "[^a-z0-9]+", " "))
 
 
+def fold(name: Column) -> Column:
+    """A name as typed, but for case, accents and white space around it."""
+    return F.trim(F.translate(F.lower(F.coalesce(name, F.lit(""))), _ACCENTED, _PLAIN))
+
+
 def loose_key(name: Column) -> Column:
     """place_key without affixes at either end; empty if there is nothing else."""
     any_affix = "|".join(sorted(AFFIXES, key=len, reverse=True))

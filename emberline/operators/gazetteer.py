@@ -1,7 +1,8 @@
 """Place lookup by tiers: exact, alias, normalised, fuzzy, partial.
 
-A dimension of places is small; each tier is an equi-join on an exploded key, but for the fuzzy tier, which blocks on
-first letter and length. Each query takes its best tier, so later tiers only see what earlier ones left.
+A dimension of places is small; each tier is an equi-join on an exploded key. Names alike by the ratio of matching blocks
+share two letters in a row, and names within two edits share a string that is left when two letters of each are taken
+away, so the fuzzy tiers join on those and lose no pair.
 """
 
 from __future__ import annotations
@@ -9,10 +10,10 @@ from __future__ import annotations
 import difflib
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberline.functions.text import loose_key, place_key
+from emberline.functions.text import AFFIXES, fold, loose_key, place_key
 
 # fixed values: confidence of a tier
 TIER_SCORE = {"exact": 1.0, "alias": 0.95, "normalised": 0.85, "fuzzy": 0.7, "partial": 0.55}
@@ -37,25 +38,51 @@ def index(places: DataFrame) -> DataFrame:
     return exact.unionByName(alias).filter("key <> ''")
 
 
-def _best(rows: DataFrame, query: str) -> DataFrame:
-    rank = F.when(F.col("tier") == "exact", 0).otherwise(1)
-    return rows.withColumn("__n", F.row_number().over(Window.partitionBy(query).orderBy(rank, "name"))).filter("__n = 1").drop("__n")
+def _first(rows: DataFrame, by: list[str], *order: Column | str) -> DataFrame:
+    return rows.withColumn("__n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter("__n = 1").drop("__n")
 
 
-def resolve(queries: DataFrame, query: str, places: DataFrame) -> DataFrame:
-    """(query, name, tier, score) by the exact, alias, normalised and partial tiers; a miss is no row, never a guess."""
-    idx = index(places)
-    asked = queries.select(query).distinct().withColumn("key", place_key(F.col(query))).withColumn("loose", loose_key(F.col(query)))
-    hit = _best(asked.join(idx, "key").select(query, "name", "tier"), query)
-    left = asked.join(hit, query, "left_anti")
-    loose = _best(left.join(idx.withColumnRenamed("key", "loose"), "loose").select(query, "name", F.lit("normalised").alias("tier")), query)
-    left = left.join(loose, query, "left_anti").filter("loose <> ''")
-    part = partial(left.select(query, "loose"), query, idx)
-    out = hit.unionByName(loose).unionByName(part)
+def _scored(rows: DataFrame) -> DataFrame:
     score = F.lit(None).cast("double")
     for tier, value in TIER_SCORE.items():
         score = F.when(F.col("tier") == tier, value).otherwise(score)
-    return out.withColumn("score", score)
+    return rows.withColumn("score", score)
+
+
+def candidates(queries: DataFrame, query: str, places: DataFrame, limit: int = 5, fuzzy: bool = True) -> DataFrame:
+    """(query, position, name, tier, score): up to `limit` places of each query, best first; a miss is no row, never a guess.
+
+    In order: the place whose name or alias is the query's key (exact only if typed as named, otherwise normalised); the
+    one that the key without affixes names; names alike, the likest first; names that hold all words of the query, or of
+    two words or more are held by it. A place counts at its best tier. A query of affixes alone names nothing.
+    """
+    idx = _first(index(places), ["key"], F.when(F.col("tier") == "exact", 0).otherwise(1), "name")
+    names = places.select("name", place_key(F.col("name")).alias("nkey")).filter("nkey <> ''").distinct()
+    asked = queries.select(query).distinct().withColumn("key", place_key(F.col(query))).withColumn("loose", loose_key(F.col(query)))
+    asked = asked.filter((F.col("key") != "") & ((F.col("loose") != "") | ~F.col("key").isin(*AFFIXES)))
+    out = lambda rows, tier, rank, first=F.lit(0.0), second=F.lit(0): rows.select(query, "name", tier.alias("tier"), F.lit(rank).alias("rank"), first.alias("first"), second.alias("second"))
+    soft = F.when((F.col("tier") == "exact") & (fold(F.col(query)) != fold(F.col("name"))), "normalised").otherwise(F.col("tier"))
+    parts = [out(asked.join(idx, "key"), soft, 0)]
+    loose = names.select(loose_key(F.col("name")).alias("key"), "name").filter("key <> ''")
+    loose = _first(idx.select("key", "name", F.lit(0).alias("o")).unionByName(loose.withColumn("o", F.lit(1))), ["key"], "o", "name")
+    parts.append(out(asked.filter("loose <> ''").join(loose.withColumnRenamed("key", "loose"), "loose"), F.lit("normalised"), 1))
+    if fuzzy:
+        parts.append(out(alike(asked.select(query, "key"), names), F.lit("fuzzy"), 2, -F.col("ratio")))
+    q, n = asked.withColumn("qw", F.array_distinct(F.split("key", " "))), names.withColumn("nw", F.array_distinct(F.split("nkey", " ")))
+    meet = q.select(query, "qw", F.explode("qw").alias("w")).join(n.select("name", "nkey", "nw", F.explode("nw").alias("w")), "w").drop("w").distinct()
+    within = (F.size(F.array_except("qw", "nw")) == 0) | ((F.size("nw") > 1) & (F.size(F.array_except("nw", "qw")) == 0))
+    parts.append(out(meet.filter(within), F.lit("partial"), 3, -F.size(F.array_intersect("qw", "nw")).cast("double"), F.length("nkey")))
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    rows = _first(rows, [query, "name"], "rank", "first", "second")
+    rows = rows.withColumn("position", F.row_number().over(Window.partitionBy(query).orderBy("rank", "first", "second", "name")).cast("long"))
+    return _scored(rows.filter(F.col("position") <= max(1, limit))).select(query, "position", "name", "tier", "score")
+
+
+def resolve(queries: DataFrame, query: str, places: DataFrame, fuzzy: bool = False) -> DataFrame:
+    """(query, name, tier, score): the best candidate of each query."""
+    return candidates(queries, query, places, 1, fuzzy).drop("position")
 
 
 def resolve_cached(queries: DataFrame, query: str, places: DataFrame, cache: DataFrame) -> DataFrame:
@@ -66,42 +93,74 @@ def resolve_cached(queries: DataFrame, query: str, places: DataFrame, cache: Dat
     return known.filter("name is not null").unionByName(resolve(fresh, query, places))
 
 
-def partial(asked: DataFrame, query: str, idx: DataFrame) -> DataFrame:
-    """Names of which all words are in the query, or the other way; most words shared, shortest, first by name."""
-    q = asked.withColumn("qw", F.array_distinct(F.split("loose", " ")))
-    n = idx.withColumn("nw", F.array_distinct(F.split("key", " ")))
-    meet = q.select(query, "qw", F.explode("qw").alias("w")).join(n.select("name", "nw", F.explode("nw").alias("w")), "w").drop("w").distinct()
-    within = (F.size(F.array_except("qw", "nw")) == 0) | (F.size(F.array_except("nw", "qw")) == 0)
-    rows = meet.filter(within).withColumn("shared", F.size(F.array_intersect("qw", "nw")))
-    w = Window.partitionBy(query).orderBy(F.desc("shared"), F.length("name"), "name")
-    return rows.withColumn("__n", F.row_number().over(w)).filter("__n = 1").select(query, "name", F.lit("partial").alias("tier"))
+def _deletions(key: Column) -> Column:
+    """What is left of a key when up to two letters are taken away."""
+    one = lambda k: F.when(F.length(k) > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(k))), lambda i: F.concat(F.substring(k, 1, i - 1), F.substring(k, i + 1, 1 << 20)))).otherwise(F.array().cast("array<string>"))
+    once = one(key)
+    return F.array_distinct(F.concat(F.array(key), once, F.flatten(F.transform(once, one))))
 
 
-def fuzzy_levenshtein(queries: DataFrame, query: str, places: DataFrame, most: int = 2) -> DataFrame:
-    """Best name within `most` edits and the same first letter; an edit measure that SQL engines share."""
-    q = queries.select(query).distinct().withColumn("key", place_key(F.col(query))).withColumn("c", F.substring("key", 1, 1))
-    n = index(places).withColumnRenamed("key", "nkey").withColumn("c", F.substring("nkey", 1, 1))
-    rows = q.join(n, "c").withColumn("distance", F.levenshtein("key", "nkey").cast("long")).filter(F.col("distance") <= most)
-    w = Window.partitionBy(query).orderBy("distance", "name")
-    return rows.withColumn("__n", F.row_number().over(w)).filter("__n = 1").select(query, "name", "distance")
+def fuzzy_levenshtein(queries: DataFrame, query: str, places: DataFrame) -> DataFrame:
+    """Best name within two edits; an edit measure that SQL engines share."""
+    q = queries.select(query).distinct().withColumn("key", place_key(F.col(query)))
+    n = index(places).select(F.col("key").alias("nkey"), "name").distinct()
+    meet = q.withColumn("left", F.explode(_deletions(F.col("key")))).join(n.withColumn("left", F.explode(_deletions(F.col("nkey")))), "left").drop("left").distinct()
+    rows = meet.withColumn("distance", F.levenshtein("key", "nkey").cast("long")).filter("distance <= 2")
+    return _first(rows, [query], "distance", "name").select(query, "name", "distance")
 
 
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype=float)
 
 
+def alike(asked: DataFrame, names: DataFrame, cut: float = FUZZY_CUT) -> DataFrame:
+    """Rows of asked (.., key) with names (name, nkey) of a matching-blocks ratio of at least cut.
+
+    With T letters in both, at most 0.18 T are unmatched, which break at most as many of the matched pairs of letters; so
+    two different keys that are alike share such a pair, and their lengths are in proportion.
+    """
+    pairs = lambda k: F.array_distinct(F.concat(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(k) - 1)), lambda i: F.substring(k, i, 2)), F.array(F.concat(F.lit("="), k))))
+    meet = asked.withColumn("two", F.explode(pairs(F.col("key")))).join(names.withColumn("two", F.explode(pairs(F.col("nkey")))), "two").drop("two").distinct()
+    a, b = F.length("key"), F.length("nkey")
+    near = meet.filter(2 * F.least(a, b) >= cut * (a + b))
+    return near.withColumn("ratio", F.pandas_udf(_ratio, "double")("key", "nkey")).filter(F.col("ratio") >= cut)
+
+
 def fuzzy_ratio(queries: DataFrame, query: str, places: DataFrame, cut: float = FUZZY_CUT) -> DataFrame:
-    """Best name by matching-blocks ratio at or above cut, blocked on the first letter."""
-    q = queries.select(query).distinct().withColumn("key", place_key(F.col(query))).withColumn("c", F.substring("key", 1, 1))
-    n = index(places).withColumnRenamed("key", "nkey").withColumn("c", F.substring("nkey", 1, 1))
-    rows = q.join(n, "c").withColumn("ratio", F.pandas_udf(_ratio, "double")("key", "nkey")).filter(F.col("ratio") >= cut)
-    w = Window.partitionBy(query).orderBy(F.desc("ratio"), "name")
-    return rows.withColumn("__n", F.row_number().over(w)).filter("__n = 1").select(query, "name", F.round("ratio", 6).alias("ratio"))
+    """Best name by matching-blocks ratio at or above cut."""
+    q = queries.select(query).distinct().withColumn("key", place_key(F.col(query)))
+    rows = alike(q, index(places).select("name", F.col("key").alias("nkey")).distinct(), cut)
+    return _first(rows, [query], F.desc("ratio"), "name").select(query, "name", F.round("ratio", 6).alias("ratio"))
 
 
 def coverage(places: DataFrame) -> DataFrame:
-    """Counts by kind and by state, and in all, in one pass."""
-    return places.groupingSets([[F.col("kind")], [F.col("state")], []], "kind", "state").agg(F.count("*").alias("n_places"), F.grouping_id().alias("level"))
+    """Counts by kind, by source and in all in one pass, with the distinct states of each, and whether the dimension is nationwide.
+
+    Places without a kind are towns, those without a source are built in.
+    """
+    p = places.withColumn("kind", F.coalesce("kind", F.lit("town"))).withColumn("source", F.coalesce("source", F.lit("built-in")))
+    g = p.groupingSets([[F.col("kind")], [F.col("source")], []], "kind", "source").agg(
+        F.count("*").alias("n_places"), F.countDistinct("state").alias("n_states"), F.count_if(F.col("kind") == "lga").alias("lgas"), F.count_if(F.col("kind") == "ward").alias("wards"), F.grouping_id().alias("level")
+    )
+    return g.select("kind", "source", "n_places", "n_states", "level", ((F.col("lgas") >= 774) & (F.col("wards") >= 8000)).alias("nationwide"))
+
+
+def build(rows: DataFrame, kind: str, source: str) -> DataFrame:
+    """A dimension from administrative rows (name, state, lat, lng): one place for each key and state, with aliases made.
+
+    Aliases are the name without hyphens and apostrophes, without affixes, and with the kind after it; never the name itself.
+    """
+    named = rows.withColumn("key", place_key(F.col("name"))).filter((F.col("key") != "") & F.col("lat").isNotNull() & F.col("lng").isNotNull())
+    named = _first(named, ["key", "state"], "name", "lat", "lng")
+    bare = F.trim(F.regexp_replace("name", "[-'’`]+", " "))
+    made = F.array_distinct(F.array(bare, F.initcap(loose_key(F.col("name"))), F.concat_ws(" ", "name", F.lit(kind.upper()))))
+    aliases = F.filter(made, lambda a: (a != "") & (a != F.col("name")))
+    return named.select("name", "lat", "lng", "state", F.lit(kind).alias("kind"), F.lit(False).alias("hotspot"), aliases.alias("aliases"), F.lit(source).alias("source"))
+
+
+def write_dimension(dimension: DataFrame, folder: str) -> None:
+    """One folder of JSON lines for each kind."""
+    dimension.write.mode("overwrite").partitionBy("kind").json(folder)
 
 
 def suggest(ranked: list[tuple[DataFrame, int]], name: str, most: int) -> DataFrame:

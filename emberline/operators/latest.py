@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+from typing import NamedTuple
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -53,25 +57,64 @@ def reconcile(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     return joined.select(*key, F.coalesce("uuid", "fresh_uuid").alias("uuid"), changed.cast("long").alias("version"), F.col("uuid").isNull().alias("is_new"))
 
 
-def retention(tables: dict[str, tuple[DataFrame, Column]]) -> DataFrame:
-    """Rows that each policy would delete; a policy is a table and its condition."""
-    parts = [df.agg(F.count("*").alias("total"), F.coalesce(F.count_if(cond), F.lit(0)).alias("due")).select(F.lit(name).alias("policy"), "total", "due") for name, (df, cond) in tables.items()]
+class Policy(NamedTuple):
+    """A retention policy: rows of a table older than so many days by a column, and meeting a further condition if given."""
+
+    name: str
+    table: str
+    at: str
+    days: int
+    extra: str = "true"
+
+    def due(self, now: str) -> Column:
+        return (F.col(self.at) < F.expr(f"TIMESTAMP_NTZ '{now}' - INTERVAL {self.days} DAYS")) & F.expr(self.extra)
+
+
+def retention(policies: list[Policy], load: Callable[[str], DataFrame | None], now: str) -> DataFrame:
+    """Per policy its rows and those due. A policy whose table or column is absent has an error and deletes nothing; the others go on."""
+    parts = []
+    for p in policies:
+        try:
+            if (df := load(p.table)) is None:
+                raise LookupError("no table")
+            part = df.agg(F.count("*").alias("total"), F.coalesce(F.count_if(p.due(now)), F.lit(0)).alias("due")).select(F.lit(p.name).alias("policy"), "total", "due", F.lit("").alias("error"))
+        except LookupError as e:
+            part = _failed(p, str(e))
+        except AnalysisException as e:
+            part = _failed(p, str(e.getCondition()))
+        parts.append(part)
     out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    for part in parts[1:]:
+        out = out.unionByName(part)
     return out
 
 
+def _failed(p: Policy, why: str) -> DataFrame:
+    zero = F.lit(0).cast("long")
+    return SparkSession.active().range(1).select(F.lit(p.name).alias("policy"), zero.alias("total"), zero.alias("due"), F.lit(why).alias("error"))
+
+
 def apply_retention(df: DataFrame, due: Column) -> DataFrame:
     """What stays; a row whose condition is unknown stays."""
     return df.filter(~F.coalesce(due, F.lit(False)))
 
 
-def erase(tables: dict[str, tuple[DataFrame, str]], subjects: DataFrame, subject: str) -> DataFrame:
-    """Per table, rows of the subjects and rows that stay."""
+def subjects(asked: DataFrame, users: DataFrame) -> DataFrame:
+    """Requests (address_hash, owner_token, user_id, phone_hash; any may be NULL) with user_id found by phone where it is not given.
+
+    A number of several users names each of them; an unknown number names nobody.
+    """
+    known = users.select(F.col("user_id").alias("found"), F.col("phone_hash").alias("of")).filter("of is not null").distinct()
+    rows = asked.join(known, (F.col("phone_hash") == F.col("of")) & F.col("user_id").isNull(), "left")
+    return rows.withColumn("user_id", F.coalesce("user_id", "found")).drop("found", "of")
+
+
+def erase(tables: dict[str, tuple[DataFrame, str, str]], asked: DataFrame) -> DataFrame:
+    """Per table (rows, its column, the identifier of asked that it holds), rows of the subjects and rows that stay."""
     parts = []
-    for name, (df, column) in tables.items():
-        marked = df.join(subjects.select(F.col(subject).alias(column)).distinct().withColumn("__gone", F.lit(1)), column, "left")
+    for name, (df, column, identifier) in tables.items():
+        ids = asked.select(F.col(identifier).alias(column)).filter(F.col(column).isNotNull()).distinct().withColumn("__gone", F.lit(1))
+        marked = df.join(ids, column, "left")
         parts.append(marked.agg(F.count("__gone").alias("erased"), F.count_if(F.col("__gone").isNull()).alias("kept")).select(F.lit(name).alias("table_name"), "erased", "kept"))
     out = parts[0]
     for p in parts[1:]:

@@ -37,6 +37,54 @@ def acknowledgement(tasks: DataFrame, sla_min: int = 30) -> DataFrame:
     )
 
 
+#: The record's columns by the part that makes them; a part whose table is absent is all NULL.
+_PARTS = {
+    "timing": "signal_to_review_min double, review_to_alert_min double, false_positive_dismissed bigint, false_positive_judged bigint, false_positive_rate double, verified_emergencies bigint",
+    "alerts": "alerts_active bigint",
+    "sos": "sos_total bigint, sos_open bigint, sos_safe bigint, sos_closed bigint",
+    "responder": "responder_total bigint, responder_acknowledged bigint, responder_ack_rate double, responder_within_sla bigint, responder_sla_rate double",
+    "cases": "cases_open bigint, cases_resolved bigint",
+    "deliveries": "deliveries bigint, deliveries_real bigint, deliveries_sim bigint, deliveries_acknowledged bigint, recipient_ack_rate double",
+}
+
+
+def kpis(funnel_row: DataFrame | None = None, alerts: DataFrame | None = None, sos: DataFrame | None = None, tasks: DataFrame | None = None, cases: DataFrame | None = None, deliveries: DataFrame | None = None, receipts: DataFrame | None = None, sla_min: int = 30) -> DataFrame:
+    """The KPI record, one row: ten headlines, the counts behind them, and the north star. Tables may be absent.
+
+    funnel_row: signal_to_review_min, review_to_alert_min, dismissed, judged, false_positive_rate, verified. alerts:
+    active. sos: state. tasks: state, created_at, ack_at. cases: status. deliveries: sim; receipts: their acknowledgements.
+    """
+    made: dict[str, DataFrame] = {}
+    if funnel_row is not None:
+        made["timing"] = funnel_row.select("signal_to_review_min", "review_to_alert_min", F.col("dismissed").alias("false_positive_dismissed"), F.col("judged").alias("false_positive_judged"), "false_positive_rate", F.col("verified").alias("verified_emergencies"))
+    if alerts is not None:
+        made["alerts"] = alerts.agg(F.count_if("active").alias("alerts_active"))
+    if sos is not None:
+        state = F.coalesce("state", F.lit(""))
+        made["sos"] = sos.agg(F.count("*").alias("sos_total"), F.count_if(~state.isin("SAFE", "CLOSED")).alias("sos_open"), F.count_if(state == "SAFE").alias("sos_safe"), F.count_if(state == "CLOSED").alias("sos_closed"))
+    if tasks is not None:
+        a = acknowledgement(tasks, sla_min)
+        made["responder"] = a.select(F.col("tasks").alias("responder_total"), F.col("acked").alias("responder_acknowledged"), F.col("ack_rate").alias("responder_ack_rate"), F.col("within_sla").alias("responder_within_sla"), F.col("sla_rate").alias("responder_sla_rate"))
+    if cases is not None:
+        made["cases"] = cases.agg(F.count_if(F.col("status") == "active").alias("cases_open"), F.count_if(F.col("status").isin("located", "recovered")).alias("cases_resolved"))
+    if deliveries is not None:
+        d = deliveries.agg(F.count("*").alias("deliveries"), F.count_if(F.col("sim") == 1).alias("deliveries_sim"))
+        acked = receipts.agg(F.count("*").alias("deliveries_acknowledged")) if receipts is not None else d.sparkSession.range(1).select(F.lit(0).cast("long").alias("deliveries_acknowledged"))
+        d = d.crossJoin(acked).withColumn("deliveries_real", F.col("deliveries") - F.col("deliveries_sim"))
+        made["deliveries"] = d.withColumn("recipient_ack_rate", rate(F.col("deliveries_acknowledged"), F.col("deliveries")))
+    if not made:
+        raise ValueError("no table at all")
+    out = None
+    for df in made.values():  # rows of one each
+        out = df if out is None else out.crossJoin(df)
+    for name, columns in _PARTS.items():
+        for column, kind in (c.split() for c in columns.split(", ")):
+            if name not in made:
+                out = out.withColumn(column, F.lit(None).cast(kind))
+    star = {"acknowledged_responses": F.col("responder_acknowledged"), "within_sla_rate": F.col("responder_sla_rate"), "ack_sla_min": F.lit(sla_min)}
+    return out.select(*(c.split()[0] for columns in _PARTS.values() for c in columns.split(", ")), *(x.alias(n) for n, x in star.items()))
+
+
 def max_share(df: DataFrame, groups: list[str], key: Column, name: str) -> DataFrame:
     """Share of the most frequent key among rows that have one."""
     counts = df.withColumn("__k", key).filter("__k is not null").groupBy(*groups, "__k").agg(F.count("*").alias("n"))

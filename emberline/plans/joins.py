@@ -10,7 +10,7 @@ from emberline.operators import folds, gazetteer, latest, metrics
 from emberline.plans.registry import query, with_
 from emberline.schemas import ALERT_TTL_HOURS, STATUS_SCORE, lookup
 from emberline.sources import derived
-from emberline.sources.files import table
+from emberline.sources.files import table, table_or_none
 
 NOW = "2001-08-03 00:00:00"
 _INC, _DEC = ("inc", derived.INCIDENTS), ("dec", derived.DECISIONS)
@@ -106,6 +106,47 @@ def ack_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.acknowledgement(o.select(state.alias("state"), F.col("o_orderdate").alias("created_at"), ack.alias("ack_at")))
 
 
+_KPI = """,
+ t AS (SELECT CASE o_orderstatus WHEN 'O' THEN 'received' WHEN 'P' THEN 'reviewing' ELSE 'closed' END AS state, o_orderdate AS c, CASE WHEN o_orderkey % 4 <> 1 THEN o_orderdate + to_minutes(o_orderkey % 97) END AS ack FROM orders),
+ r AS (SELECT count(*) AS n, count(*) FILTER (ack IS NOT NULL OR state <> 'received') AS acked, count(*) FILTER (date_sub('second', c, ack) <= 1800) AS quick FROM t),
+ s AS (SELECT CASE o_orderkey % 7 WHEN 0 THEN 'SAFE' WHEN 1 THEN 'CLOSED' ELSE 'TRIGGERED' END AS state FROM orders),
+ x AS (SELECT CASE c_custkey % 5 WHEN 0 THEN 'active' WHEN 1 THEN 'located' WHEN 2 THEN 'recovered' ELSE 'closed' END AS status FROM customer),
+ v AS (SELECT count(*) AS n, count(*) FILTER (l_linenumber = 2) AS sim, count(*) FILTER (l_returnflag = 'R') AS acked FROM lineitem)"""
+
+
+@query(
+    with_(_DEC, _LATEST, ("a", "SELECT o_orderkey AS incident, o_orderdate + INTERVAL 300 DAY AS seen FROM orders WHERE o_orderkey % 3 = 0")) + _KPI
+    + """ SELECT (SELECT median(m) FROM (SELECT date_sub('second', o_orderdate, l.ruled_at) / 60.0::DOUBLE AS m FROM orders JOIN lastd l ON incident = o_orderkey) WHERE m >= 0) AS signal_to_review_min,
+ (SELECT median(m) FROM (SELECT date_sub('second', l.ruled_at, a.seen) / 60.0::DOUBLE AS m FROM a JOIN lastd l USING (incident) WHERE ruling = 'verified') WHERE m >= 0) AS review_to_alert_min,
+ count(*) FILTER (ruling = 'dismissed') AS false_positive_dismissed, count(*) FILTER (ruling IN ('verified', 'dismissed')) AS false_positive_judged, count(*) FILTER (ruling = 'dismissed') / nullif(count(*) FILTER (ruling IN ('verified', 'dismissed')), 0)::DOUBLE AS false_positive_rate, count(*) FILTER (ruling = 'verified') AS verified_emergencies,
+ NULL AS alerts_active, (SELECT count(*) FROM s) AS sos_total, (SELECT count(*) FROM s WHERE state NOT IN ('SAFE', 'CLOSED')) AS sos_open, (SELECT count(*) FROM s WHERE state = 'SAFE') AS sos_safe, (SELECT count(*) FROM s WHERE state = 'CLOSED') AS sos_closed,
+ (SELECT n FROM r) AS responder_total, (SELECT acked FROM r) AS responder_acknowledged, (SELECT acked / n::DOUBLE FROM r) AS responder_ack_rate, (SELECT quick FROM r) AS responder_within_sla, (SELECT quick / n::DOUBLE FROM r) AS responder_sla_rate,
+ (SELECT count(*) FROM x WHERE status = 'active') AS cases_open, (SELECT count(*) FROM x WHERE status IN ('located', 'recovered')) AS cases_resolved,
+ (SELECT n FROM v) AS deliveries, (SELECT n - sim FROM v) AS deliveries_real, (SELECT sim FROM v) AS deliveries_sim, (SELECT acked FROM v) AS deliveries_acknowledged, (SELECT acked / n::DOUBLE FROM v) AS recipient_ack_rate,
+ (SELECT acked FROM r) AS acknowledged_responses, (SELECT quick / n::DOUBLE FROM r) AS within_sla_rate, 30 AS ack_sla_min FROM lastd"""
+)
+def kpi_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The KPI record; the table of alerts is absent, so that headline is unknown."""
+    o, l, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "customer")  # noqa: E741
+    last = latest_decisions(spark, sf_dir).withColumnRenamed("ruled_at", "at")
+    signals = o.select(F.col("o_orderkey").alias("incident"), F.col("o_orderdate").alias("at"))
+    warned = o.filter("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("incident"), (F.col("o_orderdate") + F.expr("INTERVAL 300 DAYS")).alias("at"))
+    timing = metrics.funnel(signals, last, warned).crossJoin(last.agg(F.count_if(F.col("ruling") == "verified").alias("verified")))
+    k = F.col("o_orderkey")
+    state = F.when(F.col("o_orderstatus") == "O", "received").when(F.col("o_orderstatus") == "P", "reviewing").otherwise("closed")
+    ack = F.when(k % 4 != 1, F.col("o_orderdate") + F.make_dt_interval(mins=(k % 97).cast("int")))
+    status = F.when(F.col("c_custkey") % 5 == 0, "active").when(F.col("c_custkey") % 5 == 1, "located").when(F.col("c_custkey") % 5 == 2, "recovered").otherwise("closed")
+    return metrics.kpis(
+        timing,
+        table_or_none(spark, sf_dir, "alerts"),
+        o.select(F.when(k % 7 == 0, "SAFE").when(k % 7 == 1, "CLOSED").otherwise("TRIGGERED").alias("state")),
+        o.select(state.alias("state"), F.col("o_orderdate").alias("created_at"), ack.alias("ack_at")),
+        c.select(status.alias("status")),
+        l.select((F.col("l_linenumber") == 2).cast("int").alias("sim")),
+        l.filter("l_returnflag = 'R'"),
+    )
+
+
 @query("SELECT o_orderstatus, count(*) AS total, count(*) FILTER (o_orderpriority = '1-URGENT') AS urgent, count(*) FILTER (o_orderpriority IN ('1-URGENT', '2-HIGH')) AS open_cases, count(*) FILTER (o_totalprice > 250000) / nullif(count(*), 0)::DOUBLE AS dear_rate FROM orders GROUP BY ROLLUP (o_orderstatus)")
 def conditional_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conditional counts by state and in all."""
@@ -177,10 +218,10 @@ def outlet_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived.detections(spark, sf_dir).groupBy("source_name", text.outlet(F.col("source_name")).alias("outlet")).agg(F.count("*").alias("n"))
 
 
-@query(with_(("p", derived.PLACES)) + " SELECT kind, state, count(*) AS n_places, grouping(kind, state)::BIGINT AS level FROM p GROUP BY GROUPING SETS ((kind), (state), ())")
+@query(with_(("p", f"SELECT *, CASE WHEN place_id % 3 > 0 THEN state END AS source FROM ({derived.PLACES})"), ("k", "SELECT coalesce(kind, 'town') AS kind, coalesce(source, 'built-in') AS source, state FROM p")) + " SELECT kind, source, count(*) AS n_places, count(DISTINCT state) AS n_states, grouping(kind, source)::BIGINT AS level, count(*) FILTER (kind = 'lga') >= 774 AND count(*) FILTER (kind = 'ward') >= 8000 AS nationwide FROM k GROUP BY GROUPING SETS ((kind), (source), ())")
 def coverage_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Coverage of the gazetteer by kind and by state in one pass."""
-    return gazetteer.coverage(derived.places(spark, sf_dir))
+    """Coverage of the gazetteer by kind and by source in one pass."""
+    return gazetteer.coverage(derived.places(spark, sf_dir).withColumn("source", F.when(F.col("place_id") % 3 > 0, F.col("state"))))
 
 
 _HOUR = "date_trunc('hour', ts)"

@@ -219,10 +219,11 @@ _ASKED = (
     ("asked", f"SELECT q, {_KEY} AS key FROM asked0"),
     ("loose0", f"SELECT q, key, regexp_replace(regexp_replace(key, '^(?:(?:{'|'.join(sorted(text.AFFIXES, key=len, reverse=True))}) )+', ''), '(?: (?:{'|'.join(sorted(text.AFFIXES, key=len, reverse=True))}))+$', '') AS loose FROM asked"),
     ("idx", "SELECT trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')) AS key, name, 'exact' AS tier, 0 AS r FROM p UNION ALL SELECT 'n ' || place_id, name, 'alias', 1 FROM p UNION ALL SELECT 'old ' || trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')), name, 'alias', 1 FROM p"),
-    ("hit", "SELECT q, name, tier FROM (SELECT q, name, tier, row_number() OVER (PARTITION BY q ORDER BY r, name) AS n FROM asked JOIN idx USING (key)) WHERE n = 1"),
+    ("hit", "SELECT q, name, CASE WHEN tier = 'exact' AND lower(trim(q)) <> lower(name) THEN 'normalised' ELSE tier END AS tier FROM (SELECT q, name, tier, row_number() OVER (PARTITION BY q ORDER BY r, name) AS n FROM asked JOIN idx USING (key)) WHERE n = 1"),
     ("norm", "SELECT q, name, 'normalised' AS tier FROM (SELECT q, name, row_number() OVER (PARTITION BY q ORDER BY r, name) AS n FROM loose0 JOIN idx ON idx.key = loose WHERE q NOT IN (SELECT q FROM hit)) WHERE n = 1"),
-    ("rest", "SELECT q, list_distinct(string_split(loose, ' ')) AS qw FROM loose0 WHERE loose <> '' AND q NOT IN (SELECT q FROM hit) AND q NOT IN (SELECT q FROM norm)"),
-    ("part", "SELECT q, name, 'partial' AS tier FROM (SELECT q, name, row_number() OVER (PARTITION BY q ORDER BY len(list_intersect(qw, string_split(key, ' '))) DESC, length(name), name) AS n FROM rest JOIN idx ON len(list_intersect(qw, string_split(key, ' '))) > 0 AND (list_has_all(qw, string_split(key, ' ')) OR list_has_all(string_split(key, ' '), qw))) WHERE n = 1"),
+    ("rest", "SELECT q, list_distinct(string_split(key, ' ')) AS qw FROM loose0 WHERE loose <> '' AND q NOT IN (SELECT q FROM hit) AND q NOT IN (SELECT q FROM norm)"),
+    ("canon", "SELECT name, key, list_distinct(string_split(key, ' ')) AS nw FROM idx WHERE tier = 'exact'"),
+    ("part", "SELECT q, name, 'partial' AS tier FROM (SELECT q, name, row_number() OVER (PARTITION BY q ORDER BY len(list_intersect(qw, nw)) DESC, length(key), name) AS n FROM rest JOIN canon ON list_has_all(nw, qw) OR (len(nw) > 1 AND list_has_all(qw, nw))) WHERE n = 1"),
 )
 
 
@@ -235,11 +236,17 @@ def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_(*_ASKED) + " SELECT q, name, tier, CASE tier WHEN 'exact' THEN 1.0 WHEN 'alias' THEN 0.95 WHEN 'normalised' THEN 0.85 ELSE 0.55 END::DOUBLE AS score FROM (SELECT * FROM hit UNION ALL SELECT * FROM norm UNION ALL SELECT * FROM part)")
 def gazetteer_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Places by tiers; a miss is no row."""
+    """The best place by the tiers that SQL has too; a miss is no row."""
     return gazetteer.resolve(_asked(spark, sf_dir), "q", derived.places(spark, sf_dir))
 
 
-@query(with_(*_ASKED, ("lv", "SELECT q, name, levenshtein(asked.key, idx.key)::BIGINT AS distance FROM asked JOIN idx ON substr(asked.key, 1, 1) = substr(idx.key, 1, 1)")) + " SELECT q, name, distance FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY distance, name) AS n FROM lv WHERE distance <= 2) WHERE n = 1")
+@query()
+def gazetteer_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first five places of each query through all tiers, the fuzzy one too."""
+    return gazetteer.candidates(_asked(spark, sf_dir), "q", derived.places(spark, sf_dir))
+
+
+@query(with_(*_ASKED, ("lv", "SELECT q, name, levenshtein(asked.key, idx.key)::BIGINT AS distance FROM asked, idx")) + " SELECT q, name, distance FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY distance, name) AS n FROM lv WHERE distance <= 2) WHERE n = 1")
 def gazetteer_fuzzy_lev(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fuzzy names by edits."""
     return gazetteer.fuzzy_levenshtein(_asked(spark, sf_dir), "q", derived.places(spark, sf_dir))

@@ -10,7 +10,7 @@ from emberline.functions.times import now_at
 from emberline.operators import folds, latest, paging
 from emberline.plans.registry import query, with_
 from emberline.sources import derived
-from emberline.sources.files import first_feeds, gather, table
+from emberline.sources.files import first_feeds, gather, table, table_or_none
 
 _HASH = "sha256(concat_ws('|', coalesce(source, ''), coalesce(lang, ''), coalesce(text, '')))"
 _SIGNAL_HASH = lambda: text.raw_hash(F.col("source"), F.col("lang"), F.col("text"))
@@ -110,26 +110,58 @@ def incident_identity_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest.reconcile(old, generation("o_orderkey % 7 <> 0").withColumnRenamed("uuid", "fresh_uuid"), ["k"])
 
 
-_POLICIES = {"signals": ("events", "ts < TIMESTAMP_NTZ '2024-01-10 00:00:00'"), "errors": ("events", "ts < TIMESTAMP_NTZ '2024-01-20 00:00:00' and event_type = 'error'"), "orders": ("orders", "o_orderdate < TIMESTAMP_NTZ '1997-01-01 00:00:00'"), "tasks": ("lineitem", "l_shipdate < TIMESTAMP_NTZ '1996-01-01 00:00:00'")}
+_NOW = "2024-02-01 00:00:00"
+#: The reference's seven, over the driver's tables; one has no table and one no such column.
+_POLICIES = [
+    latest.Policy("expired_codes", "events", "ts", 2, "event_type = 'signup'"),
+    latest.Policy("expired_sessions", "events", "ts", 10, "event_type = 'view'"),
+    latest.Policy("old_receipts", "lineitem", "l_shipdate", 180 * 50),
+    latest.Policy("old_posts", "channel", "created_at", 90),
+    latest.Policy("old_journey_events", "events", "ts", 14, "event_type = 'click'"),
+    latest.Policy("old_checkins", "orders", "checked_at", 180),
+    latest.Policy("closed_cases", "orders", "o_orderdate", 365 * 27, "o_orderstatus IN ('F')"),
+]
+_ABSENT = {"old_posts": "no table", "old_checkins": "UNRESOLVED_COLUMN.WITH_SUGGESTION"}
 
 
-@query(" UNION ALL ".join(f"SELECT '{n}' AS policy, count(*) AS total, count(*) FILTER ({c.replace('TIMESTAMP_NTZ', 'TIMESTAMP')}) AS due FROM {t}" for n, (t, c) in _POLICIES.items()))
+def _due(p: latest.Policy) -> str:
+    return f"{p.at} < TIMESTAMP '{_NOW}' - INTERVAL {p.days} DAY AND {p.extra}"
+
+
+@query(" UNION ALL ".join(f"SELECT '{p.name}' AS policy, 0 AS total, 0 AS due, '{_ABSENT[p.name]}' AS error" if p.name in _ABSENT else f"SELECT '{p.name}' AS policy, count(*) AS total, count(*) FILTER ({_due(p)}) AS due, '' AS error FROM {p.table}" for p in _POLICIES))
 def retention_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows that each retention policy would delete."""
-    return latest.retention({n: (table(spark, sf_dir, t), F.expr(c)) for n, (t, c) in _POLICIES.items()})
+    """Rows that each of seven policies would delete; one that fails says so and stops no other."""
+    return latest.retention(_POLICIES, lambda name: table_or_none(spark, sf_dir, name), _NOW)
 
 
-@query("SELECT event_id FROM events WHERE NOT (ts < TIMESTAMP '2024-01-20 00:00:00' AND event_type = 'error')")
+@query(f"SELECT event_id FROM events WHERE NOT ({_due(_POLICIES[1])})")
 def retention_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a policy leaves."""
-    return latest.apply_retention(table(spark, sf_dir, "events"), F.expr(_POLICIES["errors"][1])).select("event_id")
+    return latest.apply_retention(table(spark, sf_dir, "events"), _POLICIES[1].due(_NOW)).select("event_id")
+
 
+_ASKED = "SELECT CASE WHEN c_custkey % 4 = 0 THEN sha256('a' || c_custkey) END AS address_hash, CASE WHEN c_custkey % 4 = 1 THEN c_custkey END AS owner_token, CASE WHEN c_custkey % 4 = 2 THEN c_custkey END AS user_id, CASE WHEN c_custkey % 4 = 3 THEN sha256('p' || c_custkey % 100) END AS phone_hash FROM customer WHERE c_custkey % 11 = 3"
 
-@query("WITH g AS (SELECT c_custkey FROM customer WHERE c_custkey % 11 = 3) SELECT 'orders' AS table_name, count(*) FILTER (o_custkey IN (SELECT * FROM g)) AS erased, count(*) FILTER (o_custkey NOT IN (SELECT * FROM g)) AS kept FROM orders UNION ALL SELECT 'events', count(*) FILTER (user_id IN (SELECT * FROM g)), count(*) FILTER (user_id NOT IN (SELECT * FROM g)) FROM events")
+
+@query(
+    f"WITH g AS ({_ASKED}), u AS (SELECT c_custkey AS uid, sha256('p' || c_custkey) AS ph FROM customer WHERE c_custkey < 90), s AS (SELECT g.address_hash, g.owner_token, coalesce(g.user_id, u.uid) AS user_id FROM g LEFT JOIN u ON g.phone_hash = u.ph AND g.user_id IS NULL), "
+    "t AS (SELECT 'subscribers' AS table_name, sha256('a' || c_custkey) IN (SELECT address_hash FROM s WHERE address_hash IS NOT NULL) AS gone FROM customer UNION ALL SELECT 'trusted_contacts', o_custkey IN (SELECT owner_token FROM s WHERE owner_token IS NOT NULL) FROM orders UNION ALL SELECT 'sessions', user_id IN (SELECT user_id FROM s WHERE user_id IS NOT NULL) FROM events UNION ALL SELECT 'users', uid IN (SELECT user_id FROM s WHERE user_id IS NOT NULL) FROM u) "
+    "SELECT table_name, count(*) FILTER (gone) AS erased, count(*) FILTER (NOT gone) AS kept FROM t GROUP BY table_name"
+)
 def subject_erasure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Erasure of subjects across tables."""
-    subjects = table(spark, sf_dir, "customer").filter("c_custkey % 11 = 3")
-    return latest.erase({"orders": (table(spark, sf_dir, "orders"), "o_custkey"), "events": (table(spark, sf_dir, "events"), "user_id")}, subjects, "c_custkey")
+    """Erasure of subjects across tables by any identifier; a phone's hash is resolved to its user."""
+    c = table(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    hashed = lambda mark, x: F.sha2(F.concat(F.lit(mark), x.cast("string")).cast("binary"), 256)
+    users = c.filter("c_custkey < 90").select(k.alias("user_id"), hashed("p", k).alias("phone_hash"))
+    asked = c.filter("c_custkey % 11 = 3").select(F.when(k % 4 == 0, hashed("a", k)).alias("address_hash"), F.when(k % 4 == 1, k).alias("owner_token"), F.when(k % 4 == 2, k).alias("user_id"), F.when(k % 4 == 3, hashed("p", k % 100)).alias("phone_hash"))
+    tables = {
+        "subscribers": (c.select(hashed("a", k).alias("address_hash")), "address_hash", "address_hash"),
+        "trusted_contacts": (table(spark, sf_dir, "orders"), "o_custkey", "owner_token"),
+        "sessions": (table(spark, sf_dir, "events"), "user_id", "user_id"),
+        "users": (users, "user_id", "user_id"),
+    }
+    return latest.erase(tables, latest.subjects(asked, users))
 
 
 _CHAIN = (
@@ -269,8 +301,12 @@ def ops_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts over tables; an absent table counts as unknown, not as none."""
     one = lambda name, df: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
     inc = derived.incidents(spark, sf_dir)
-    out = one("incidents", inc).unionByName(one("open", inc.filter(~F.col("status").isin("verified", "dismissed")))).unionByName(one("tasks", table(spark, sf_dir, "lineitem"))).unionByName(one("events", table(spark, sf_dir, "events")))
-    return out.unionByName(spark.range(1).select(F.lit("missing_table").alias("name"), F.lit(None).cast("long").alias("n")))
+    out = one("incidents", inc).unionByName(one("open", inc.filter(~F.col("status").isin("verified", "dismissed"))))
+    for name, file in (("tasks", "lineitem"), ("events", "events"), ("missing_table", "sos_events")):
+        df = table_or_none(spark, sf_dir, file)
+        unknown = spark.range(1).select(F.lit(name).alias("name"), F.lit(None).cast("long").alias("n"))
+        out = out.unionByName(unknown if df is None else one(name, df))
+    return out
 
 
 @query("SELECT n_regionkey, count(DISTINCT c_custkey) AS owners, true AS approx_in_range FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_regionkey")

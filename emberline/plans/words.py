@@ -111,7 +111,7 @@ def terrain_class(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    r"SELECT page_id, sha256(trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '" + '"' + r"'), '&#39;', ''''), '&amp;', '&'), '\s+', ' ', 'g'))) AS clean_hash FROM pages"
+    r"SELECT page_id, sha256(trim(regexp_replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&copy;', '©'), '&middot;', '·'), '&quot;', '" + '"' + r"'), '&amp;', '&'), '\s+', ' ', 'g'))) AS clean_hash FROM pages"
 )
 def html_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tags out, entities decoded, white space collapsed."""

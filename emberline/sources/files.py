@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +14,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def table_or_none(spark: SparkSession, sf_dir: str, name: str) -> DataFrame | None:
+    """A table, or None where it is absent; any other fault is raised."""
+    try:
+        return table(spark, sf_dir, name)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def samples(spark: SparkSession, path: str, now: Column) -> DataFrame:
     """Signals of a sample file; published_at is now less hours_ago."""
     rows = spark.read.schema(SAMPLES).json(path, multiLine=True).select(F.explode("signals").alias("s")).select("s.*")

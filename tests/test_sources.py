@@ -129,3 +129,124 @@ def test_health(spark, tmp_path):
     finally:
         spark.streams.removeListener(health)
     assert sum(r["rows"] for r in health.runs.values()) >= 4
+
+
+def plain_key(x):
+    import re
+    import unicodedata
+
+    x = "".join(c for c in unicodedata.normalize("NFKD", x.lower()) if not unicodedata.combining(c)).replace("'", "").replace("\u2019", "").replace("`", "")
+    return " ".join(re.sub("[^a-z0-9]+", " ", x).split())
+
+
+def plain_loose(x):
+    from emberline.functions.text import AFFIXES
+
+    key = plain_key(x)
+    for _ in range(9):
+        for a in sorted(AFFIXES, key=len, reverse=True):
+            key = "" if key == a else key.removeprefix(a + " ").removesuffix(" " + a)
+    return key
+
+
+def test_candidates_equal_a_plain_search(spark):
+    """All tiers in order over every name, by plain loops and the library's ratio."""
+    import difflib
+    import random
+
+    from emberline.functions.text import AFFIXES
+    from emberline.operators import gazetteer
+
+    rng = random.Random(4)
+    names = ["Kankara", "Kankiya", "Katsina", "Kara", "Ado-Ekiti", "Birnin Gwari", "Birnin Kebbi", "Gwari", "Oyo", "Old Mill", "Zango Kataf", "Ka"]
+    aliases = {n: [n[::-1], "Port " + n] for n in names[:5]}
+    places = spark.createDataFrame([(n, aliases.get(n, [])) for n in names], "name string, aliases array<string>")
+    asked = [*names, "KANKARA", "Ado Ekiti", "Kankara LGA", "Port Kara", "lga", "town", "", "Birnin", "Gwari town", "the Old Mill of Oyo", "ka", "k"]
+    for n in names:
+        for _ in range(12):  # typos anywhere, the first letter too
+            t = list(n)
+            for _ in range(rng.randrange(1, 3)):
+                at = rng.randrange(len(t))
+                t[at : at + 1] = rng.choice([[], [rng.choice("abkrz")], [t[at], rng.choice("abkrz")]])
+                t = t or ["a"]
+            asked.append("".join(t))
+    got = {}
+    for r in gazetteer.candidates(spark.createDataFrame([(q,) for q in asked], "q string"), "q", places).collect():
+        got.setdefault(r.q, []).append((r.position, r["name"], r.tier))
+    index = {}
+    for n in names:
+        index.setdefault(plain_key(n), (n, "exact"))
+    for n in sorted(aliases):
+        for a in aliases[n]:
+            index.setdefault(plain_key(a), (n, "alias"))
+    for q in set(asked):
+        key, loose, out = plain_key(q), plain_loose(q), {}
+        if key and (loose or key not in AFFIXES):
+            if key in index:
+                n, tier = index[key]
+                out[n] = "normalised" if tier == "exact" and q.strip().lower() != n.lower() else tier
+            if loose in index:
+                out.setdefault(index[loose][0], "normalised")
+            for ratio, n in sorted(((difflib.SequenceMatcher(None, key, plain_key(n)).ratio(), n) for n in names), key=lambda x: (-x[0], x[1])):
+                if ratio >= 0.82:
+                    out.setdefault(n, "fuzzy")
+            w = set(key.split())
+            part = [(-len(w & c), len(plain_key(n)), n) for n in names for c in [set(plain_key(n).split())] if w <= c or len(c) > 1 and c <= w]
+            for _, _, n in sorted(part):
+                out.setdefault(n, "partial")
+        assert [(n, t) for _, n, t in sorted(got.get(q, []))] == list(out.items())[:5], q
+
+
+def test_two_edits_lose_no_name(spark):
+    import random
+
+    from emberline.operators import gazetteer
+
+    rng = random.Random(5)
+    names = sorted({"".join(rng.choice("abc") for _ in range(rng.randrange(1, 8))) for _ in range(60)})
+    places = spark.createDataFrame([(n, []) for n in names], "name string, aliases array<string>")
+    asked = sorted({"".join(rng.choice("abcd") for _ in range(rng.randrange(1, 8))) for _ in range(60)})
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    got = {r.q: (r.distance, r["name"]) for r in gazetteer.fuzzy_levenshtein(spark.createDataFrame([(q,) for q in asked], "q string"), "q", places).collect()}
+    for q in asked:
+        best = min((edits(q, n), n) for n in names)
+        assert got.get(q) == (best if best[0] <= 2 else None)
+
+
+def test_built_dimension(spark, tmp_path):
+    from emberline.operators import gazetteer
+
+    rows = spark.createDataFrame([("Ado-Ekiti", "Ekiti", 7.6, 5.2), ("ado ekiti", "Ekiti", 7.7, 5.3), ("Kara LGA", "Niger", 9.0, 6.0), ("Kara", "Oyo", 8.0, 4.0), ("Nowhere", "Oyo", None, 4.0)], "name string, state string, lat double, lng double")
+    built = gazetteer.build(rows, "lga", "census")
+    got = {(r["name"], r.state): r.aliases for r in built.collect()}
+    assert set(got) == {("Ado-Ekiti", "Ekiti"), ("Kara LGA", "Niger"), ("Kara", "Oyo")}
+    assert "Ado Ekiti" in got["Ado-Ekiti", "Ekiti"] and "Kara" in got["Kara LGA", "Niger"] and "Kara LGA" in got["Kara", "Oyo"]
+    gazetteer.write_dimension(built, f"{tmp_path}/d")
+    assert spark.read.json(f"{tmp_path}/d").filter("kind = 'lga'").count() == 3
+    (total,) = gazetteer.coverage(built).filter("level = 3").collect()
+    assert (total.n_places, total.n_states, total.nationwide) == (3, 3, False)
+
+
+def test_kpi_record_without_tables(spark):
+    from emberline.operators import metrics
+
+    timing = spark.sql("select 10.0D signal_to_review_min, 10.0D review_to_alert_min, 1L dismissed, 2L judged, 0.5D false_positive_rate, 1L verified")
+    sos = spark.createDataFrame([("SAFE",), ("TRIGGERED",)], "state string")
+    tasks = spark.sql("select 'received' state, timestamp_ntz'2024-01-01 10:00:00' created_at, cast(null as timestamp_ntz) ack_at union all select 'reviewing', timestamp_ntz'2024-01-01 10:00:00', timestamp_ntz'2024-01-01 10:05:00'")
+    cases = spark.createDataFrame([("active",), ("located",)], "status string")
+    sent = spark.createDataFrame([(0,), (1,)], "sim int")
+    r = metrics.kpis(timing, spark.createDataFrame([(True,)], "active boolean"), sos, tasks, cases, sent).first()
+    assert (r.signal_to_review_min, r.review_to_alert_min, r.alerts_active, r.false_positive_rate) == (10.0, 10.0, 1, 0.5)
+    assert (r.sos_open, r.sos_safe, r.sos_total, r.responder_ack_rate, r.responder_within_sla, r.responder_sla_rate) == (1, 1, 2, 0.5, 1, 0.5)
+    assert (r.cases_open, r.cases_resolved, r.deliveries, r.deliveries_real, r.deliveries_sim) == (1, 1, 2, 1, 1)
+    assert (r.verified_emergencies, r.acknowledged_responses, r.within_sla_rate, r.ack_sla_min) == (1, 1, 0.5, 30)
+    less = metrics.kpis(cases=cases).first()
+    assert less.cases_open == 1 and less.sos_open is None and less.recipient_ack_rate is None and len(less) == len(r)
