@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from emberline.sources.shared import stored
+
 
 def classes(df: DataFrame, key: str, tokens: str) -> DataFrame:
     """Rows with class_id, the least key with an equal set, and n_tokens."""
@@ -27,7 +29,8 @@ def similar_classes(df: DataFrame, key: str, tokens: str, tenths: int = 6) -> Da
     sets = df.select(key, F.sort_array(F.transform(tokens, lambda w: F.xxhash64(w))).alias("t"))
     reps = sets.groupBy("t").agg(F.min(key).alias("class_id")).filter(F.size("t") > 0).select("class_id", "t", F.size("t").alias("n"))
     words = reps.select("class_id", "n", F.explode("t").alias("w"))
-    rarity = words.groupBy("w").agg(F.count("*").alias("df")).filter("df > 1")  # other words are in no pair
+    # other words are in no pair; a table of its own, so that the join on a word that most sets have may be split
+    rarity = stored(words.groupBy("w").agg(F.count("*").alias("df")).filter("df > 1"), "rarity")
     n = F.col("n")
     ranked = words.join(rarity, "w", "left").groupBy("class_id", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "w"))).alias("s"))
     longer = (n - F.ceil(n * tenths / 10) + 1).cast("int")
