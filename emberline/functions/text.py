@@ -15,14 +15,16 @@ from pyspark.sql import functions as F
 from emberline.schemas import INCIDENT_TYPES, OTHER_TYPE, TYPE_ALIASES, lookup
 
 # fixed values: words that tell nothing about an event, for accounts and for bursts
-STOP_ACCOUNT = (
-    "sample the a an of in on at to for and near around along said reported reportedly report residents people after were was has have had "
-    "into from with by are is as that this second corroborating fresh some"
-).split()
-STOP_BURST = (
-    "the a an of in on at to for and near around along said reported reportedly report residents people after were was has have had into from "
-    "with by are is as that this some help now please there here happening sos urgent"
-).split()
+STOP_ACCOUNT = [
+    "sample", "the", "a", "an", "of", "in", "on", "at", "to", "for", "and", "near", "around", "along", "said", "reported", "reportedly", "report",
+    "residents", "people", "after", "were", "was", "has", "have", "had", "into", "from", "with", "by", "are", "is", "as", "that", "this", "second",
+    "corroborating", "fresh", "some",
+]
+STOP_BURST = [
+    "the", "a", "an", "of", "in", "on", "at", "to", "for", "and", "near", "around", "along", "said", "reported", "reportedly", "report", "residents",
+    "people", "after", "were", "was", "has", "have", "had", "into", "from", "with", "by", "are", "is", "as", "that", "this", "some", "help", "now",
+    "please", "there", "here", "happening", "sos", "urgent",
+]
 
 # fixed values: outlets that are one owner, in the order in which they are tried within longer names
 OUTLETS = {
@@ -89,10 +91,22 @@ AFFIXES = (
 
 # fixed values: words of a terrain, the slowest terrain first
 TERRAIN_WORDS = {
-    "mountain": "mountain|mountains|mountainous|hill|hills|hilly|highland|highlands|plateau|rock|rocks|rocky|cliff|ridge|valley|gorge|river|riverine|swamp|swampy|creek|creeks|marsh|wetland|mambilla|mandara",
-    "forest": "forest|forests|forested|bush|bushes|jungle|woods|woodland|thicket|shrub|scrub|savannah|savanna|grove|rugu|reserve|game reserve|national park|sambisa|falgore|kamuku|into the bush|into the forest",
-    "road": "road|roads|highway|expressway|motorway|tarred|tar|asphalt|checkpoint|junction|roundabout|toll|tollgate|bypass|ring road|street|by vehicle|on the road|abuja-kaduna|kaduna-abuja|by car|convoy",
-    "mixed": "track|tracks|path|footpath|trail|village|villages|hamlet|outskirts|rural|farmland|farm|farms|field|fields|settlement|settlements|border|interland|hinterland|remote|off-road|off road|dirt",
+    "mountain": (
+        "mountain", "mountains", "mountainous", "hill", "hills", "hilly", "highland", "highlands", "plateau", "rock", "rocks", "rocky", "cliff",
+        "ridge", "valley", "gorge", "river", "riverine", "swamp", "swampy", "creek", "creeks", "marsh", "wetland", "mambilla", "mandara",
+    ),
+    "forest": (
+        "forest", "forests", "forested", "bush", "bushes", "jungle", "woods", "woodland", "thicket", "shrub", "scrub", "savannah", "savanna",
+        "grove", "rugu", "reserve", "game reserve", "national park", "sambisa", "falgore", "kamuku", "into the bush", "into the forest",
+    ),
+    "road": (
+        "road", "roads", "highway", "expressway", "motorway", "tarred", "tar", "asphalt", "checkpoint", "junction", "roundabout", "toll", "tollgate",
+        "bypass", "ring road", "street", "by vehicle", "on the road", "abuja-kaduna", "kaduna-abuja", "by car", "convoy",
+    ),
+    "mixed": (
+        "track", "tracks", "path", "footpath", "trail", "village", "villages", "hamlet", "outskirts", "rural", "farmland", "farm", "farms", "field",
+        "fields", "settlement", "settlements", "border", "interland", "hinterland", "remote", "off-road", "off road", "dirt",
+    ),
 }
 
 _ACCENTED, _PLAIN = "àáâäāèéêëēìíîïīòóôöōùúûüūñç", "aaaaaeeeeeiiiiiooooouuuuunc"
@@ -241,7 +255,7 @@ def incident_type(raw: Column) -> Column:
 def terrain(*parts: Column) -> Column:
     """The slowest terrain that the text names; mixed if none."""
     text = F.regexp_replace(F.lower(F.concat_ws(" ", *parts)), r"\s+", " ")
-    tests = [F.when(text.rlike(rf"(?<!\w)(?:{words})(?!\w)"), F.lit(name)) for name, words in TERRAIN_WORDS.items()]
+    tests = [F.when(text.rlike(rf"(?<!\w)(?:{'|'.join(words)})(?!\w)"), F.lit(name)) for name, words in TERRAIN_WORDS.items()]
     return F.coalesce(*tests, F.lit("mixed"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from emberline.functions import scoring, signing, text, times
+from emberline.functions import scoring, signing, text, times, views
 from emberline.operators import folds
 from emberline.plans.joins import latest_decisions
 from emberline.plans.registry import query, with_
@@ -24,6 +24,27 @@ def redact_flyer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(F.col("c_custkey").alias("id"), text.short_name(F.col("c_name")).alias("name"), F.trim("c_mktsegment").alias("area"), F.lit(True).alias("redacted"), lat.alias("lat"))
 
 
+@query(
+    "WITH d AS (SELECT l_orderkey, count(*) AS n, count(*) FILTER (l_returnflag = 'A') AS sent FROM lineitem GROUP BY l_orderkey) "
+    "SELECT o_orderkey AS id, 'H-' || o_custkey AS ref, CASE o_orderstatus WHEN 'O' THEN 'TRIGGERED' WHEN 'P' THEN 'DELIVERED' ELSE 'CLOSED' END AS state, 'silent' AS mode, NULL::VARCHAR AS contact_state, o_orderdate AS created_at, o_orderdate + INTERVAL 2 DAY AS updated_at, coalesce(n, 0) AS deliveries_total, coalesce(sent, 0) AS deliveries_sent FROM orders LEFT JOIN d ON l_orderkey = o_orderkey"
+)
+def public_sos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The public view of SOS events with delivery counts; owner, message and coordinates never pass."""
+    o, d = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    state = F.when(F.col("o_orderstatus") == "O", "TRIGGERED").when(F.col("o_orderstatus") == "P", "DELIVERED").otherwise("CLOSED")
+    e = o.select(F.col("o_orderkey").alias("sos_uuid"), F.concat(F.lit("H-"), F.col("o_custkey").cast("string")).alias("handoff_ref"), state.alias("state"), F.lit("silent").alias("mode"), F.col("o_orderdate").alias("created_at"), (F.col("o_orderdate") + F.expr("INTERVAL 2 DAYS")).alias("updated_at"), F.col("o_custkey").alias("owner_token"), F.lit(9.1).alias("lat"))
+    return views.public_sos(e, d.select(F.col("l_orderkey").alias("sos_uuid"), F.when(F.col("l_returnflag") == "R", "failed").when(F.col("l_returnflag") == "A", "sent").alias("status")))
+
+
+@query("SELECT c_custkey AS user_uuid, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE split_part(c_name, '#', 1) END AS first_name, CASE WHEN c_custkey % 2 = 0 THEN 'ha' ELSE 'en' END AS language, 'active' AS status FROM customer")
+def public_user(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The public view of a user: defaults for what is not given."""
+    c = table(spark, sf_dir, "customer")
+    name = F.when(F.col("c_custkey") % 3 != 0, F.split_part("c_name", F.lit("#"), F.lit(1)))
+    rows = c.select(F.col("c_custkey").alias("user_uuid"), name.alias("first_name"), F.when(F.col("c_custkey") % 2 == 0, "ha").alias("language"), F.lit("").alias("status"), F.col("c_acctbal").alias("secret"))
+    return views.public(rows, "user").drop("phone", "guardian_policy_id")
+
+
 _ROLES = ("viewer", "reviewer", "analyst", "verifier", "operator", "admin", "guest")
 _RANK = "CASE role WHEN 'viewer' THEN 1 WHEN 'reviewer' THEN 2 WHEN 'analyst' THEN 2 WHEN 'verifier' THEN 3 WHEN 'operator' THEN 3 WHEN 'admin' THEN 4 ELSE 0 END"
 

@@ -98,7 +98,7 @@ def geoparse_abstain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.filter("type is not null and place is not null")
 
 
-_T = {n: "|".join(w.split("|")) for n, w in text.TERRAIN_WORDS.items()}
+_T = {n: "|".join(w) for n, w in text.TERRAIN_WORDS.items()}
 _NOTE = "concat_ws(' ', CASE p_partkey % 5 WHEN 0 THEN 'North into the forest near' WHEN 1 THEN 'along the highway toward' WHEN 2 THEN 'over the Hill by' WHEN 3 THEN 'target hidden' END, p_name)"
 
 

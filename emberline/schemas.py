@@ -53,27 +53,72 @@ TYPE_ALIASES = {
 # fixed values: roles
 ROLE_RANK = {"viewer": 1, "reviewer": 2, "analyst": 2, "verifier": 3, "operator": 3, "admin": 4}
 
-# fixed values: state machines, as state|event -> next state
-_LIVE = ("mark_safe", "SAFE"), ("close", "CLOSED")
-_SOS = {
-    "TRIGGERED": (("capture_location", "LOCATION_CAPTURED"), ("notify_circle", "CIRCLE_NOTIFIED"), ("operator_ack", "OPERATOR_ACK"), ("escalate", "ESCALATED"), *_LIVE),
-    "LOCATION_CAPTURED": (("notify_circle", "CIRCLE_NOTIFIED"), ("operator_ack", "OPERATOR_ACK"), ("escalate", "ESCALATED"), *_LIVE),
-    "CIRCLE_NOTIFIED": (("delivery_confirmed", "DELIVERED"), ("operator_ack", "OPERATOR_ACK"), ("escalate", "ESCALATED"), *_LIVE),
-    "DELIVERED": (("operator_ack", "OPERATOR_ACK"), ("escalate", "ESCALATED"), *_LIVE),
-    "OPERATOR_ACK": (("request_112", "HANDOFF_112_REQUESTED"), ("coordinate", "COORDINATED"), ("escalate", "ESCALATED"), *_LIVE),
-    "HANDOFF_112_REQUESTED": (("coordinate", "COORDINATED"), ("escalate", "ESCALATED"), *_LIVE),
-    "COORDINATED": (("request_112", "HANDOFF_112_REQUESTED"), ("escalate", "ESCALATED"), *_LIVE),
-    "ESCALATED": (("operator_ack", "OPERATOR_ACK"), ("request_112", "HANDOFF_112_REQUESTED"), ("coordinate", "COORDINATED"), *_LIVE),
-    # two further states are written by handlers; closing is the only event that leaves them
-    "CLOSE_REQUESTED": (("close", "CLOSED"),),
-    "DURESS_CONFIRMED": (("close", "CLOSED"),),
-    "SAFE": (("close", "CLOSED"),),
+# fixed values: state machines, as state|event -> next state; those of tasks and alerts as state|next state -> next state
+SOS_MACHINE = {
+    "TRIGGERED|capture_location": "LOCATION_CAPTURED",
+    "TRIGGERED|notify_circle": "CIRCLE_NOTIFIED",
+    "TRIGGERED|operator_ack": "OPERATOR_ACK",
+    "TRIGGERED|escalate": "ESCALATED",
+    "TRIGGERED|mark_safe": "SAFE",
+    "TRIGGERED|close": "CLOSED",
+    "LOCATION_CAPTURED|notify_circle": "CIRCLE_NOTIFIED",
+    "LOCATION_CAPTURED|operator_ack": "OPERATOR_ACK",
+    "LOCATION_CAPTURED|escalate": "ESCALATED",
+    "LOCATION_CAPTURED|mark_safe": "SAFE",
+    "LOCATION_CAPTURED|close": "CLOSED",
+    "CIRCLE_NOTIFIED|delivery_confirmed": "DELIVERED",
+    "CIRCLE_NOTIFIED|operator_ack": "OPERATOR_ACK",
+    "CIRCLE_NOTIFIED|escalate": "ESCALATED",
+    "CIRCLE_NOTIFIED|mark_safe": "SAFE",
+    "CIRCLE_NOTIFIED|close": "CLOSED",
+    "DELIVERED|operator_ack": "OPERATOR_ACK",
+    "DELIVERED|escalate": "ESCALATED",
+    "DELIVERED|mark_safe": "SAFE",
+    "DELIVERED|close": "CLOSED",
+    "OPERATOR_ACK|request_112": "HANDOFF_112_REQUESTED",
+    "OPERATOR_ACK|coordinate": "COORDINATED",
+    "OPERATOR_ACK|escalate": "ESCALATED",
+    "OPERATOR_ACK|mark_safe": "SAFE",
+    "OPERATOR_ACK|close": "CLOSED",
+    "HANDOFF_112_REQUESTED|coordinate": "COORDINATED",
+    "HANDOFF_112_REQUESTED|escalate": "ESCALATED",
+    "HANDOFF_112_REQUESTED|mark_safe": "SAFE",
+    "HANDOFF_112_REQUESTED|close": "CLOSED",
+    "COORDINATED|request_112": "HANDOFF_112_REQUESTED",
+    "COORDINATED|escalate": "ESCALATED",
+    "COORDINATED|mark_safe": "SAFE",
+    "COORDINATED|close": "CLOSED",
+    "ESCALATED|operator_ack": "OPERATOR_ACK",
+    "ESCALATED|request_112": "HANDOFF_112_REQUESTED",
+    "ESCALATED|coordinate": "COORDINATED",
+    "ESCALATED|mark_safe": "SAFE",
+    "ESCALATED|close": "CLOSED",
+    "CLOSE_REQUESTED|close": "CLOSED",
+    "DURESS_CONFIRMED|close": "CLOSED",
+    "SAFE|close": "CLOSED",
+}
+TASK_MACHINE = {
+    "received|received": "received",
+    "received|reviewing": "reviewing",
+    "received|responding": "responding",
+    "received|closed": "closed",
+    "reviewing|reviewing": "reviewing",
+    "reviewing|responding": "responding",
+    "reviewing|received": "received",
+    "reviewing|closed": "closed",
+    "responding|responding": "responding",
+    "responding|reviewing": "reviewing",
+    "responding|closed": "closed",
+    "closed|closed": "closed",
+}
+ALERT_MACHINE = {
+    "PUBLISHED|UPDATED": "UPDATED",
+    "PUBLISHED|CANCELLED": "CANCELLED",
+    "PUBLISHED|EXPIRED": "EXPIRED",
+    "UPDATED|UPDATED": "UPDATED",
+    "UPDATED|CANCELLED": "CANCELLED",
+    "UPDATED|EXPIRED": "EXPIRED",
 }
-SOS_MACHINE = {f"{s}|{e}": n for s, moves in _SOS.items() for e, n in moves}
-_TASK = {"received": "received reviewing responding closed", "reviewing": "reviewing responding received closed", "responding": "responding reviewing closed", "closed": "closed"}
-TASK_MACHINE = {f"{s}|{n}": n for s, nexts in _TASK.items() for n in nexts.split()}
-_ALERT = {"PUBLISHED": "UPDATED CANCELLED EXPIRED", "UPDATED": "UPDATED CANCELLED EXPIRED"}
-ALERT_MACHINE = {f"{s}|{n}": n for s, nexts in _ALERT.items() for n in nexts.split()}
 
 # fixed values: reputation
 REP_START, REP_GAIN, REP_LOSS, REP_LOW, REP_HIGH, REP_TRUST_MIN = 50.0, 6.0, 10.0, 35.0, 70.0, 3

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -64,6 +67,19 @@ def first_feeds(df: DataFrame, feed_column: str, order: Column, feeds: int, per_
     return df.join(names, feed_column, "left_semi").withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= per_feed).drop("__n")
 
 
+def within_budget(loads: list[Callable[[], DataFrame]], seconds: float, clock: Callable[[], float] = time.monotonic) -> list[DataFrame]:
+    """What the sources give until the time is up; the one that is loading is kept, a source that fails gives nothing."""
+    began, out = clock(), []
+    for load in loads:
+        if clock() - began > seconds:
+            break
+        try:
+            out.append(load())
+        except (AnalysisException, OSError):
+            continue
+    return out
+
+
 def landed(spark: SparkSession, path: str, files_per_trigger: int = 8) -> DataFrame:
     """Stream of signals landed as JSON lines."""
     return spark.readStream.schema(SIGNAL).option("maxFilesPerTrigger", files_per_trigger).json(path)

@@ -250,3 +250,26 @@ def test_kpi_record_without_tables(spark):
     assert (r.verified_emergencies, r.acknowledged_responses, r.within_sla_rate, r.ack_sla_min) == (1, 1, 0.5, 30)
     less = metrics.kpis(cases=cases).first()
     assert less.cases_open == 1 and less.sos_open is None and less.recipient_ack_rate is None and len(less) == len(r)
+
+
+def test_public_views_show_allowed_columns_only(spark):
+    from emberline.functions import views
+
+    rows = spark.sql("select 'u' user_uuid, 'S. Eke' first_name, '08031234567' phone_display, 'g' guardian_uuid, '' name, 'ann@example.org' address, 1 verified, cast(null as int) active, 'secret' pin_hash, 'j' journey_uuid, 'h' handoff_ref, 9.1D last_lat, 'e' evidence_uuid")
+    for view, specs in views.VIEWS.items():
+        seen = views.public(rows, view)
+        assert "pin_hash" not in seen.columns and "last_lat" not in seen.columns and len(seen.columns) == len(specs) + len(views.MARKS.get(view, {}))
+    g = views.public(rows, "guardian").first()
+    assert (g["name"], g.channel, g.verified, g.active) == ("Guardian", "sms", True, False) and "ann" not in g.address_redacted
+    u = views.public(rows, "user").first()
+    assert u.language == "en" and "31234" not in u.phone
+    assert views.public(rows, "journey").first().coords_redacted and views.public(rows, "evidence").first().restricted
+
+
+def test_feeds_within_a_budget(spark):
+    from emberline.sources.files import within_budget
+
+    now = iter([0, 1, 2, 9, 99])
+    broken = lambda: spark.read.parquet("/no/such/folder")
+    got = within_budget([lambda: spark.range(1), broken, lambda: spark.range(3), lambda: spark.range(4)], 5, lambda: next(now))
+    assert [df.count() for df in got] == [1]
