@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -87,24 +92,46 @@ def risk_near(points: DataFrame, incidents: DataFrame, key: str, km: float = RIS
 def overlap_cells(rings: DataFrame, case: str) -> DataFrame:
     """Cells of a lattice over each case's rings (case, lat, lng, radius_km) with the number of rings that cover them.
 
-    A ring is laid over the lattice lines of its own box only, so it costs the cells about it, not the lattice.
+    Partitions are dealt by case and sorted; a walk over them keeps one lattice of counts, whatever a case's rings are, and
+    lays each ring over the lattice lines of its own box with numpy.
     """
+    kind = rings.schema[case].dataType.simpleString()
+    rings = rings.filter("lat is not null and lng is not null and radius_km is not null")
     cos = F.cos(F.radians("lat"))
     pad_lng = F.when(F.abs(cos) > 1e-9, F.col("radius_km") / (111.0 * cos)).otherwise(F.lit(180.0))
-    box = rings.groupBy(case).agg(F.min(F.col("lat") - F.col("radius_km") / 111.0).alias("__s"), F.max(F.col("lat") + F.col("radius_km") / 111.0).alias("__n"), F.min(F.col("lng") - pad_lng).alias("__w"), F.max(F.col("lng") + pad_lng).alias("__e"))
-    on = rings.join(box, case)
-
-    def lines(low: str, high: str, middle: str, reach: Column) -> Column:
-        step = (F.col(high) - F.col(low)) / F.lit(float(GRID_N))
-        first = F.when(step > 0, F.floor((F.col(middle) - reach - F.col(low)) / step)).otherwise(F.lit(0))
-        last = F.when(step > 0, F.ceil((F.col(middle) + reach - F.col(low)) / step)).otherwise(F.lit(GRID_N))
-        return F.sequence(F.greatest(F.lit(0), F.least(first, F.lit(GRID_N))).cast("int"), F.greatest(F.lit(0), F.least(last, F.lit(GRID_N))).cast("int"))
-
-    on = on.withColumn("i", F.explode(lines("__s", "__n", "lat", F.col("radius_km") * 1.001 / _KM_PER_DEGREE)))
-    on = on.withColumn("j", F.explode(lines("__w", "__e", "lng", _reach_deg(F.col("radius_km"), F.col("lat")))))
-    on = on.withColumn("c_lat", F.col("__s") + (F.col("__n") - F.col("__s")) * F.col("i") / F.lit(float(GRID_N))).withColumn("c_lng", F.col("__w") + (F.col("__e") - F.col("__w")) * F.col("j") / F.lit(float(GRID_N)))
-    covered = F.round(geo.haversine_km(F.col("c_lat"), F.col("c_lng"), F.col("lat"), F.col("lng")), 4) <= F.col("radius_km")
-    return on.filter(covered).groupBy(case, (F.col("i") * (GRID_N + 1) + F.col("j")).alias("cell")).agg(F.first("c_lat").alias("c_lat"), F.first("c_lng").alias("c_lng"), F.count("*").alias("ring_count"))
+    box = rings.groupBy(case).agg(F.min(F.col("lat") - F.col("radius_km") / 111.0).alias("s"), F.max(F.col("lat") + F.col("radius_km") / 111.0).alias("n"), F.min(F.col("lng") - pad_lng).alias("w"), F.max(F.col("lng") + pad_lng).alias("e"))
+    on = rings.select(F.col(case).alias("k"), "lat", "lng", "radius_km", _reach_deg(F.col("radius_km"), F.col("lat")).alias("reach")).join(box.withColumnRenamed(case, "k"), "k")
+
+    def lines(low: float, high: float, middle: float, reach: float) -> slice:
+        step = (high - low) / GRID_N
+        if step <= 0:
+            return slice(0, GRID_N + 1)
+        return slice(max(0, math.floor((middle - reach - low) / step)), min(GRID_N, math.ceil((middle + reach - low) / step)) + 1)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, counts, at = None, np.zeros((GRID_N + 1, GRID_N + 1), np.int64), (np.zeros(0), np.zeros(0))
+
+        def out() -> pa.RecordBatch:
+            i, j = np.nonzero(counts)
+            return pa.RecordBatch.from_arrays([pa.array([key] * len(i), kinds), pa.array((i * (GRID_N + 1) + j).astype(np.int32)), pa.array(at[0][i]), pa.array(at[1][j]), pa.array(counts[i, j])], names=["k", "cell", "c_lat", "c_lng", "ring_count"])
+
+        for batch in batches:
+            kinds = batch.schema.field("k").type
+            for k, lat, lng, km, reach, s, n, w, e in zip(*(batch.column(c).to_pylist() for c in ("k", "lat", "lng", "radius_km", "reach", "s", "n", "w", "e")), strict=True):
+                if k != key:
+                    if counts.any():
+                        yield out()
+                    steps = np.arange(GRID_N + 1)
+                    key, counts, at = k, np.zeros_like(counts), (s + (n - s) * steps / GRID_N, w + (e - w) * steps / GRID_N)
+                rows, cols = lines(s, n, lat, km * 1.001 / _KM_PER_DEGREE), lines(w, e, lng, reach)
+                a, b = np.radians(at[0][rows])[:, None], math.radians(lat)
+                h = np.sin((b - a) / 2) ** 2 + np.cos(a) * math.cos(b) * np.sin(np.radians(lng - at[1][cols]) / 2)[None, :] ** 2
+                counts[rows, cols] += np.round(2 * geo.EARTH_KM * np.arcsin(np.sqrt(np.minimum(1.0, h))), 4) <= km
+        if counts.any():
+            yield out()
+
+    rows = on.repartition("k").sortWithinPartitions("k").mapInArrow(walk, f"k {kind}, cell int, c_lat double, c_lng double, ring_count bigint")
+    return rows.withColumnRenamed("k", case)
 
 
 def zones(rings: DataFrame, case: str) -> DataFrame:
