@@ -9,8 +9,10 @@ as long as some listed path. The key universe is complete: each key of each URL
 The filters are all that is broadcast. A level takes `bits_per_key` bits a key, and building stops with an error when a
 level would pass max_bits, so their size has a bound that does not depend on the corpus.
 
-Defined results: a null url, or one without "://", has empty host and path and no rule; repeated rows are judged each;
-an empty rule list lets everything through with the default verdict.
+Defined results: a null or empty url, or one without "://", has empty host and path and no rule; very long urls are read
+whole, and have a key for each dot of the host and each length of a listed path; of rules as long, that with the longer
+host wins, and of equal rules the verdict that sorts first; repeated rows are judged each; an empty table gives an empty
+result; an empty rule list lets everything through with the default verdict; other columns are not read.
 """
 
 from __future__ import annotations

@@ -6,9 +6,10 @@ mixture: expectation-maximisation over its trigrams estimates the share of each
 that with the best likelihood less a penalty for each further language. The prediction is the language with the largest
 share; its score is the share, or for one language its posterior among single languages.
 
-Defined results: null text, text without letters and an empty training set give `und` with score 0; null or empty key
-text counts as the empty string in the split; null lang is never learned; ties go to the language that sorts first;
-repeated rows are predicted each; other columns are not read.
+Defined results: null or empty text, text without letters and an empty training set give `und` with score 0; very long
+texts are read whole, in pieces cut between words; a null key counts as the empty string in the split; null lang is never
+learned; ties go to the language that sorts first; repeated rows are predicted each; an empty table gives an empty result;
+other columns are not read, and those of `keep` come back under their names.
 """
 
 from __future__ import annotations

@@ -6,7 +6,9 @@ encodings begin a piece and which is proven stable: a space after something else
 such a pair, so that no merge can cross it and what follows it is encoded as in the whole text. Where an overlap has no
 such position, it is doubled, up to the whole rest of the text.
 
-Defined results: null or empty text has 0 bytes and 0 tokens; repeated rows are counted each; other columns are not read.
+Defined results: null or empty text has 0 bytes and 0 tokens; very long texts are counted whole, by chunks where the
+vocabulary allows it; counts have no ties; repeated rows, and rows of one key, are counted each; an empty table gives an
+empty result; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations

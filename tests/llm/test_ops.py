@@ -762,3 +762,17 @@ def test_pipeline(spark, tmp_path):
     df.filter("false").write.parquet(f"{d}/none/documents.parquet")
     spark.read.parquet(f"{d}/benchmark.parquet").write.parquet(f"{d}/none/benchmark.parquet")
     assert corpus_pipeline.run(spark, f"{d}/none").count() == 0
+
+
+def test_long_urls_and_ties(spark):
+    rules = [("block", "com", "/a"), ("allow", "com", "/a"), ("block", "b.com", "/"), ("allow", "com", "/a/" + "x" * 5000)]
+    urls = [(1, "http://com/a"), (2, "http://b.com/a"), (3, "http://" + "s." * 3000 + "b.com/" + "y" * 50_000), (4, "http://com/a/" + "x" * 6000 + "?" + "z" * 9000)]
+    got = {r.page_id: (r.rule, r.verdict) for r in cascade.judge(spark.createDataFrame(urls, "page_id int, url string"), rules).collect()}
+    assert got == {1: ("com/a", "allow"), 2: ("b.com/", "block"), 3: ("b.com/", "block"), 4: ("com/a/" + "x" * 5000, "allow")}
+
+
+def test_language_ties_and_long_texts(spark):
+    same = [(i, "abc abd " * 20, x) for i, x in enumerate(("fr", "en", "de"))]
+    df = spark.createDataFrame([*same, (9, "abc abd " * 300_000, None)], "doc_id int, text string, lang string")
+    got = langid.predict(df, langid.train(df)).collect()
+    assert {r.lang_pred for r in got} == {"de"} and all(r.score == pytest.approx(1 / 3, abs=1e-6) for r in got)
