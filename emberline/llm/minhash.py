@@ -146,7 +146,11 @@ def connected(sigs: np.ndarray, sets: list[np.ndarray], side: np.ndarray, known:
     p = percent / 100
     least = sigs.shape[1] * p - 4.5 * (sigs.shape[1] * p * (1 - p)) ** 0.5
     sizes = np.array([len(x) for x in sets])
-    rows = np.arange(len(sets))
+    rows, ends = np.arange(len(sets)), np.cumsum(sizes).tolist()
+    # shingles as small numbers, and which of them row i has: an intersection is one look at the other set
+    numbered = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
+    number = [numbered[e - n : e] for e, n in zip(ends, sizes.tolist(), strict=True)]
+    has = np.zeros(int(numbered.max(initial=-1)) + 1, bool)
 
     def merge(i: int, among: np.ndarray) -> None:
         """Connect row i with those of the rows that it is like; the likeliest first, as each saves its component."""
@@ -157,7 +161,7 @@ def connected(sigs: np.ndarray, sets: list[np.ndarray], side: np.ndarray, known:
         open_ = open_[near][np.argsort(-alike[near], kind="stable")]
         while len(open_):
             j, open_ = open_[0], open_[1:]
-            both = sizes[i] + sizes[j] - len(np.union1d(sets[i], sets[j]))
+            both = np.count_nonzero(has[number[j]])
             if 100 * both >= percent * (sizes[i] + sizes[j] - both):
                 of[of == of[j]] = of[i]
                 open_ = open_[of[open_] != of[i]]
@@ -165,11 +169,13 @@ def connected(sigs: np.ndarray, sets: list[np.ndarray], side: np.ndarray, known:
     probes = rows[:0]
     for i in range(max(1, split), len(sets)):
         till = split or i
+        has[number[i]] = True
         if till > 2 * PROBES:  # rows of the first components, and a spread of all
             if not len(probes) or i % PROBES == 0:
                 probes = np.unique(np.concatenate([np.unique(of[:till], return_index=True)[1][: PROBES // 2], np.linspace(0, till - 1, PROBES // 2).astype(int)]))
             merge(i, probes)
         merge(i, rows[:till][of[:till] != of[i]])
+        has[number[i]] = False
     return of
 
 
