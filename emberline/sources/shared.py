@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -25,6 +26,12 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def freed(spark: SparkSession) -> None:
+    """Steps that are done leave their shuffle files until the driver collects its garbage; have it do so now."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def ship(spark: SparkSession) -> None:
     """Make this package importable in Python workers wherever they run: once a context, as a zip that Spark hands out."""
     context = spark.sparkContext

@@ -4,6 +4,7 @@ import datetime as dt
 import hashlib
 import hmac
 
+import pytest
 from pyspark.sql import functions as F
 
 from emberline import schemas
@@ -269,6 +270,36 @@ def test_similar_classes(spark):
     assert got == {(1, 3, 8, 12), (1, 6, 7, 10), (3, 6, 7, 10)}
 
 
+def _random_sets(spark, n, words, size):
+    import random
+
+    r = random.Random(7)
+    rows = [[i, r.sample(range(words), r.randint(*size))] for i in range(n)]
+    for i in range(0, n, 3):  # near copies, of other sizes too
+        rows[i][1] = list({*rows[i // 2][1][: r.randint(2 * size[0] // 3, size[1])], r.randrange(words)})
+    rows = [(i, [f"w{w}" for w in t]) for i, t in rows]
+    return rows, spark.createDataFrame(rows, "k bigint, t array<string>")
+
+
+@pytest.mark.parametrize("limits", [{}, {"SETS": 16, "HOT": 8, "WORDS": 64, "BLOCK": 400, "BLOCK_SETS": 3, "LISTED": 0, "AT_ONCE": 64}])
+def test_similar_classes_against_all_pairs(spark, monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(similarity, name, value)
+    rows, df = _random_sets(spark, 240, 300, (3, 150))
+    rows = [(i, set(t)) for i, t in rows]
+    want = {(a, b, len(s & t), len(s | t)) for a, s in rows for b, t in rows if a < b and s != t and 10 * len(s & t) >= 6 * len(s | t)}
+    got = [(r.a, r.b, r.both, r.either) for r in similarity.similar_classes(df, "k", "t").collect()]
+    assert want and len(got) == len(want) and set(got) == want
+
+
+def test_similar_classes_shuffle_no_set_for_each_pair_that_shares_a_word(spark):
+    rows, df = _random_sets(spark, 1500, 1000, (80, 120))
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+    before = written()
+    assert similarity.similar_classes(df, "k", "t").count()
+    assert written() - before < 4 * 8 * sum(len(t) for _, t in rows)
+
+
 def test_times(spark):
     pick = lambda c: one(spark.range(1), c)
     assert pick(times.parse_iso(F.lit("2024-06-01T10:00:00Z"))) == dt.datetime(2024, 6, 1, 10) and pick(times.parse_iso(F.lit("soon"))) is None
