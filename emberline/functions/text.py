@@ -117,8 +117,17 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def html_clean(text: Column) -> Column:
-    """Tags to spaces, all character references decoded, white space collapsed, trimmed. Python decodes, in Arrow batches."""
+def html_clean(text: Column, references: dict[str, str] | None = None) -> Column:
+    """Tags to spaces, character references decoded, white space collapsed, trimmed.
+
+    All references, also those without a semicolon, in Python in Arrow batches; a null is an empty text. Or only the given
+    ones, as they are written, in that order, with ASCII white space, and a null stays null.
+    """
+    if references is not None:
+        bare = F.regexp_replace(text, "<[^>]+>", " ")
+        for name, value in references.items():
+            bare = F.replace(bare, F.lit(name), F.lit(value))
+        return F.regexp_replace(F.regexp_replace(bare, r"[\t\n\f\r ]+", " "), r"\A\p{Zs}+|\p{Zs}+\z", "")
     bare = F.regexp_replace(F.coalesce(text, F.lit("")), "<[^>]+>", " ")
     return F.trim(F.regexp_replace(F.pandas_udf(_unescaped, "string")(bare), r"(?U)\s+", " "))
 

@@ -41,3 +41,11 @@ def test_query(name, spark, sf_dir, duck):
     order = [[c[0] for c in got.description].index(c) for c in columns]
     assert len(order) == len(got.description)
     assert rows == sorted("|".join(norm(r[i]) for i in order) for r in got.fetchall())
+
+
+def test_html_clean_on_odd_pages(spark, tmp_path):
+    html = ["<title>R&amp</title> &am &quo &amp;amp; &amp;copy;", None, "", "\u00a0 a\u000bb\u0085 c\u2003\n", "&lt;b&gt; &copy &#65; &nbsp;", "a<>b<c\nd>e\f\r\tf", "\u2028<p>x</p>\u2028 ", "<p>&quot;&middot;&copy;", "a < b > c <", "\u3000\u00a0"]
+    spark.createDataFrame(list(enumerate(html)), "page_id bigint, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    assert {tuple(r) for r in catalog.QUERIES["html_clean"](spark, str(tmp_path)).collect()} == set(con.execute(catalog.SQL["html_clean"]).fetchall())
