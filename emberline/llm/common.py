@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -55,6 +56,12 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def swept(df: DataFrame) -> None:
+    """Have Spark remove shuffle files that no frame needs: it does so when the driver's collector runs, which else is by chance."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finalise 64-bit hashes, in place."""
     h ^= h >> np.uint64(30)

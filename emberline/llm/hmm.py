@@ -26,14 +26,17 @@ empty result; a null key counts as the empty string in the split; other columns
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
+from functools import cached_property
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm.common import cut, slices, stored, text_buffer, words
+from emberline.llm.common import cut, slices, stored, swept, text_buffer, words
 from emberline.llm.langid import remainder
 
 STATES = 8
@@ -56,6 +59,9 @@ class Sizes(NamedTuple):
     def classes(self) -> int:
         return 1 + self.own + self.shared  # the end is class 0
 
+    def shared_class(self, h: np.ndarray) -> np.ndarray:
+        return np.where(h == END, 0, 1 + self.own + (h & np.uint64(self.shared - 1)).astype(np.int64)).astype(np.int16)
+
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of batches with the hashes of their words, an END after each text, and the texts' lengths in tokens."""
@@ -125,7 +131,7 @@ class Vocabulary:
         self.h, self.c = h[order], c[order]  # by rank
         self.sorted = np.argsort(self.h, kind="stable").astype(np.int32)
         self.keys = self.h[self.sorted]
-        self.cls = self.shared_class(self.h)
+        self.cls = sizes.shared_class(self.h)
         own = np.flatnonzero(self.h != END)[: sizes.own]
         self.cls[own] = np.arange(1, len(own) + 1)
         self.cls[self.h == END] = 0
@@ -133,7 +139,7 @@ class Vocabulary:
         by_class = F.when(F.col("h") == int(END), -1 - sizes.own).otherwise(F.col("h").bitwiseAND(F.lit(sizes.shared - 1)))
         for r in counts.groupBy(by_class.alias("k")).agg(F.sum("c").alias("c")).collect():
             of_class[1 + sizes.own + r["k"]] = r["c"]
-        np.subtract.at(of_class, self.shared_class(self.h[own]), self.c[own])
+        np.subtract.at(of_class, sizes.shared_class(self.h[own]), self.c[own])
         of_class[self.cls[own]] = self.c[own]
         self.unigram = (of_class + 1) / (of_class.sum() + sizes.classes)
 
@@ -141,31 +147,40 @@ class Vocabulary:
     def _level() -> Column:
         return F.floor(F.log2("c") * 8).cast("int")
 
-    def shared_class(self, h: np.ndarray) -> np.ndarray:
-        return np.where(h == END, 0, 1 + self.sizes.own + (h & np.uint64(self.sizes.shared - 1)).astype(np.int64)).astype(np.int16)
-
     def frequent(self) -> Column:
         """Whether a row of the counts is of a word that every task holds."""
         return self._level() >= self.level
 
-    def ranks(self, tokens: np.ndarray) -> np.ndarray:
-        """Rank of each token's word, -1 for rarer ones."""
-        if not len(self.keys):
-            return np.full(len(tokens), -1, np.int32)
-        at = np.minimum(np.searchsorted(self.keys, tokens), len(self.keys) - 1)
-        return np.where(self.keys[at] == tokens, self.sorted[at], np.int32(-1))
+
+def _ranks(keys: np.ndarray, ranks: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """Rank of each token's word, -1 for rarer ones."""
+    if not len(keys):
+        return np.full(len(tokens), -1, np.int32)
+    at = np.minimum(np.searchsorted(keys, tokens), len(keys) - 1)
+    return np.where(keys[at] == tokens, ranks[at], np.int32(-1))
+
+
+@contextmanager
+def _shared(df: DataFrame, value: object) -> Iterator[Broadcast]:
+    """A value that tasks read. In a function's own variables each pass would leave one more copy on each executor's disk."""
+    held = df.sparkSession.sparkContext.broadcast(value)
+    try:
+        yield held
+    finally:
+        held.destroy()
 
 
 _CODED = "row bigint, id {}, held_out boolean, n_tokens bigint, codes binary, rare array<bigint>"
 
 
-def coded(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+def coded(docs: DataFrame, known: Broadcast) -> DataFrame:
     """Texts as codes: a frequent word's rank, or the number of frequent words plus the place in the text's `rare`."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches):
+        keys, ranks = known.value
         for part, tokens, lengths in _tokens(batches):
-            codes = vocabulary.ranks(tokens)
+            codes = _ranks(keys, ranks, tokens)
             at = np.flatnonzero(codes < 0)
             doc, h = np.repeat(np.arange(len(lengths)), lengths)[at], tokens[at]
             order = np.lexsort((h, doc))
@@ -173,7 +188,7 @@ def coded(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
             new = np.ones(len(order), bool)
             new[1:] = (d[1:] != d[:-1]) | (x[1:] != x[:-1])
             ends = np.concatenate([[0], np.cumsum(np.bincount(d[new], minlength=len(lengths)))])
-            codes[at[order]] = len(vocabulary.h) + np.cumsum(new) - 1 - ends[d]
+            codes[at[order]] = len(keys) + np.cumsum(new) - 1 - ends[d]
             bounds = (np.concatenate([[0], np.cumsum(lengths)]) * 4).astype(np.int32)
             binary = pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(bounds), pa.py_buffer(codes.astype(np.int32))])
             rare = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(x[new].view(np.int64)))
@@ -188,10 +203,11 @@ def _read(batches: Iterator[pa.RecordBatch], hot: int, together: int) -> Iterato
     for batch in batches:
         for part in slices(batch, "codes", 4 * together):
             data, offsets = text_buffer(part.column("codes"))
-            codes, lengths = np.frombuffer(data.tobytes(), np.int32).astype(np.int64), np.diff(offsets) // 4
+            codes, lengths = np.frombuffer(data.tobytes(), np.int32).copy(), np.diff(offsets) // 4
             lists = part.column("rare")
             sizes = np.diff(lists.offsets.to_numpy())
-            codes += np.where(codes >= hot, np.repeat(np.cumsum(sizes) - sizes, lengths), 0)
+            at = np.flatnonzero(codes >= hot)
+            codes[at] += (np.cumsum(sizes) - sizes)[np.searchsorted(offsets // 4, at, "right") - 1]
             yield part, codes, lengths, lists.flatten().to_numpy().astype(np.int64).view(np.uint64)
 
 
@@ -199,19 +215,37 @@ class Layout:
     """Sequences by time: at each step the tokens of all sequences that are as long, the longest first."""
 
     def __init__(self, lengths: np.ndarray) -> None:
-        self.order = np.argsort(-lengths, kind="stable")
-        rank = np.empty(len(lengths), np.int64)
-        rank[self.order] = np.arange(len(lengths))
+        self.given, self.order = lengths, np.argsort(-lengths, kind="stable")
+        self.begins = (np.cumsum(lengths) - lengths)[self.order]
         self.active = np.cumsum(np.bincount(lengths)[::-1])[::-1][1:].tolist()
         self.at = np.concatenate([[0], np.cumsum(self.active)])
-        time = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        self.place = self.at[time] + np.repeat(rank, lengths)
+
+    @cached_property
+    def place(self) -> np.ndarray:
+        rank = np.empty(len(self.order), np.int64)
+        rank[self.order] = np.arange(len(self.order))
+        time = np.arange(self.given.sum()) - np.repeat(np.cumsum(self.given) - self.given, self.given)
+        return self.at[time] + np.repeat(rank, self.given)
 
     def by_time(self, x: np.ndarray) -> np.ndarray:
         out = np.empty_like(x)
         out[self.place] = x
         return out
 
+    def parts(self) -> list[tuple[int, int]]:
+        """Steps (from, to) of about AHEAD tokens each."""
+        out, t = [], 0
+        while t < len(self.active):
+            to = max(t + 1, int(np.searchsorted(self.at, self.at[t] + AHEAD, "right")) - 1)
+            out.append((t, to))
+            t = to
+        return out
+
+    def tokens(self, first: int, to: int) -> np.ndarray:
+        """Where the tokens of some steps are in the sequences as given."""
+        n = self.active[first:to]
+        return self.begins[np.arange(self.at[first], self.at[to]) - np.repeat(self.at[first:to], n)] + np.repeat(np.arange(first, to), n)
+
 
 def _emissions(obs: np.ndarray, emit: np.ndarray, lay: Layout) -> Iterator[np.ndarray]:
     """Emissions of each step's tokens, looked up for about AHEAD at once."""
@@ -223,22 +257,23 @@ def _emissions(obs: np.ndarray, emit: np.ndarray, lay: Layout) -> Iterator[np.nd
         yield loaded[at[t] - first : at[t + 1] - first]
 
 
-def forward(obs: np.ndarray, emit: np.ndarray, begin: np.ndarray, move: np.ndarray, lay: Layout, keep: bool = False) -> tuple[np.ndarray | None, np.ndarray]:
-    """Scales of the forward recursion by time, and its scaled probabilities if they are to be kept.
+def forward(obs: np.ndarray, emit: np.ndarray, begin: np.ndarray, move: np.ndarray, lay: Layout) -> tuple[np.ndarray, np.ndarray]:
+    """The last step's scaled probabilities (states x sequences), and the scales of the forward recursion by time.
 
     begin: states before each sequence's first token, in the layout's order.
     """
     kind = np.result_type(emit, begin)
-    alpha, scale, at = np.empty((len(obs), STATES), kind) if keep else None, np.empty(len(obs), kind), lay.at.tolist()
-    a = None
-    for t, e in enumerate(_emissions(obs, emit, lay)):
-        a = (begin if a is None else a[: len(e)] @ move) * e
-        s = a.sum(1)
-        a /= s[:, None]
-        scale[at[t] : at[t + 1]] = s
-        if keep:
-            alpha[at[t] : at[t + 1]] = a
-    return alpha, scale
+    scale, at = np.empty(len(obs), kind), lay.at.tolist()
+    a, turned = None, np.ascontiguousarray(move.T)
+    for first, to in lay.parts():
+        low = at[first]
+        part = np.ascontiguousarray(emit[obs[low : at[to]]].T, kind)
+        for t in range(first, to):
+            here = part[:, at[t] - low : at[t + 1] - low]
+            here *= begin.T if a is None else turned @ a[:, : at[t + 1] - at[t]]
+            here /= np.add.reduce(here, 0, out=scale[at[t] : at[t + 1]])
+            a = here
+    return a, scale
 
 
 def transfers(obs: np.ndarray, lengths: np.ndarray, emit: np.ndarray, move: np.ndarray) -> np.ndarray:
@@ -316,37 +351,57 @@ class Model:
         np.fill_diagonal(move, 0.8)
         return cls(np.full(STATES, 1 / STATES), move, emit / emit.sum(0), sizes)
 
-    def posteriors(self, obs: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
-        """Per group of runs: its tokens, their state probabilities, and expected starts and moves."""
-        emit, move = self.emit.astype(np.float32), self.move.astype(np.float32)
+    def posteriors(self, obs: np.ndarray, lengths: np.ndarray, ids: np.ndarray, sums: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Ids of some tokens and their state probabilities (states x tokens), until all were given; sums: gets expected starts and moves.
+
+        The forward recursion is kept by parts, which the backward one turns to probabilities in place, from the last on.
+        """
+        emit, move = np.ascontiguousarray(self.emit.T, np.float32), self.move.astype(np.float32)
+        turned = np.ascontiguousarray(move.T)
         runs = Runs(obs, lengths, self.emit, self.start, self.move, True, self.sizes)
-        extra = runs.moves
+        sums[1:] += runs.moves
         for which, tokens in runs.groups():
-            lay = Layout(runs.lengths[which])
-            seen = lay.by_time(obs[tokens])
-            alpha, scale = forward(seen, emit, runs.before[which][lay.order].astype(np.float32), move, lay, keep=True)
-            after, at, moves, beta = runs.after[which][lay.order].astype(np.float32), lay.at.tolist(), np.zeros((STATES, STATES)), None
-            for t in range(len(lay.active) - 1, -1, -1):
-                n, met = lay.active[t], 0 if beta is None else len(beta)
-                here = alpha[at[t] : at[t + 1]]
-                new = after[:n] / (here * after[:n]).sum(1, keepdims=True) if n > met else np.empty((n, STATES), np.float32)
-                if met:
-                    ahead = beta * emit[seen[at[t + 1] : at[t + 2]]] / scale[at[t + 1] : at[t + 2], None]
-                    moves += here[:met].T @ ahead
-                    new[:met] = ahead @ move.T
-                here *= new
-                beta = new
-            firsts = alpha[: lay.active[0]][runs.first[which][lay.order]].sum(0, dtype=np.float64)
-            yield tokens, alpha[lay.place], firsts, moves * self.move + extra
-            extra = 0.0
+            lay, seen, named = Layout(runs.lengths[which]), obs[tokens], ids[tokens]
+            at, kept, a = lay.at.tolist(), [], np.ascontiguousarray(runs.before[which][lay.order].T, np.float32)
+            for first, to in lay.parts():
+                low, here = at[first], lay.tokens(first, to)
+                which_obs, scale = seen[here], np.empty(len(here), np.float32)
+                part = np.take(emit, which_obs, 1, mode="clip")
+                for t in range(first, to):
+                    i, j = at[t] - low, at[t + 1] - low
+                    now = part[:, i:j]
+                    now *= turned @ a[:, : j - i] if t else a
+                    now /= np.add.reduce(now, 0, out=scale[i:j])
+                    a = now
+                kept.append((first, to, here, which_obs, np.reciprocal(scale, out=scale), part))
+            after, ahead = np.ascontiguousarray(runs.after[which][lay.order].T, np.float32), np.empty((STATES, 0), np.float32)
+            while kept:
+                first, to, here, which_obs, scale, gamma = kept.pop()
+                low, moves = at[first], np.zeros((to - first, STATES, STATES), np.float32)
+                part = np.take(emit, which_obs, 1, mode="clip")
+                part *= scale
+                for t in range(to - 1, first - 1, -1):
+                    i, j, met = at[t] - low, at[t + 1] - low, ahead.shape[1]
+                    now, beta = gamma[:, i:j], move @ ahead
+                    np.matmul(now[:, :met], ahead.T, out=moves[t - first])
+                    if j - i > met:
+                        last = after[:, met : j - i]
+                        beta = np.concatenate([beta, last / (now[:, met:] * last).sum(0)], 1)
+                    now *= beta
+                    ahead = part[:, i:j]
+                    ahead *= beta
+                sums[1:] += moves.sum(0, dtype=np.float64) * self.move
+                if not first:
+                    sums[0] += gamma[:, : at[1]][:, runs.first[which][lay.order]].sum(1, dtype=np.float64)
+                yield named[here].astype(np.int64), gamma
 
     def expected(self, obs: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Expected counts of starts, moves and emissions, in one vector."""
-        total = np.zeros(STATES * (STATES + 1 + len(self.emit)))
-        for tokens, gamma, starts, moves in self.posteriors(obs, lengths):
-            out = np.stack([np.bincount(obs[tokens], gamma[:, s], len(self.emit)) for s in range(STATES)], 1)
-            total += np.concatenate([starts, moves.ravel(), out.ravel()])
-        return total
+        sums, out = np.zeros((1 + STATES, STATES)), np.zeros((STATES, len(self.emit)))
+        for seen, gamma in self.posteriors(obs, lengths, obs, sums):
+            for total, g in zip(out, gamma, strict=True):
+                total += np.bincount(seen, g, len(total))
+        return np.concatenate([sums.ravel(), out.T.ravel()])
 
     @classmethod
     def of_counts(cls, v: np.ndarray, unigram: np.ndarray, sizes: Sizes) -> Model:
@@ -359,46 +414,48 @@ def train(texts: DataFrame, vocabulary: Vocabulary, rounds: int) -> Model:
     """Baum-Welch over coded texts; each round is a pass over all of them."""
     sizes, hot = vocabulary.sizes, len(vocabulary.h)
     model = Model.first(vocabulary.unigram, sizes)
-    for _ in range(rounds):
-
-        def add_up(batches, model=model):
-            total = None
-            for _, codes, lengths, rare in _read(batches, hot, sizes.together):
-                cls = np.concatenate([vocabulary.cls, vocabulary.shared_class(rare)])[codes].astype(np.int64)
-                v = model.expected(cls, lengths)
-                total = v if total is None else total + v
-            if total is not None:
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], names=["at", "x"])
-
-        sums = texts.select("codes", "rare").mapInArrow(add_up, "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).toArrow()
-        v = np.zeros(STATES * (STATES + 1 + sizes.classes))
-        v[sums.column("at").to_numpy()] = sums.column("x").to_numpy()
-        model = Model.of_counts(v, vocabulary.unigram, sizes)
+    with _shared(texts, vocabulary.cls) as of_hot:
+        for _ in range(rounds):
+
+            def add_up(batches, model=model):
+                total = None
+                for _, codes, lengths, rare in _read(batches, hot, sizes.together):
+                    cls = np.concatenate([of_hot.value, sizes.shared_class(rare)])[codes]
+                    v = model.expected(cls, lengths)
+                    total = v if total is None else total + v
+                if total is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], names=["at", "x"])
+
+            sums = texts.select("codes", "rare").mapInArrow(add_up, "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).toArrow()
+            v = np.zeros(STATES * (STATES + 1 + sizes.classes))
+            v[sums.column("at").to_numpy()] = sums.column("x").to_numpy()
+            model = Model.of_counts(v, vocabulary.unigram, sizes)
     return model
 
 
-def word_states(texts: DataFrame, vocabulary: Vocabulary, model: Model) -> DataFrame:
-    """(h, g0, g1, ...): expected occurrences of each word of coded texts by state."""
-    hot, sizes = len(vocabulary.h), vocabulary.sizes
+def word_states(texts: DataFrame, words_of: Broadcast, model: Model) -> DataFrame:
+    """(h, g0, g1, ...): expected occurrences of each word of coded texts by state; words_of: hashes and classes of the frequent ones."""
+    sizes = model.sizes
 
     def count(batches):
-        sums, held = _Sums(), np.zeros((hot, STATES))
+        hot_h, hot_cls = words_of.value
+        hot = len(hot_h)
+        sums, held = _Sums(), np.zeros((STATES, hot))
         out = lambda h, x: pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), *(pa.array(x[:, k].astype(np.float32)) for k in range(STATES))], names=["h", *_G])
         for _, codes, lengths, rare in _read(batches, hot, sizes.together):
-            cls = np.concatenate([vocabulary.cls, vocabulary.shared_class(rare)])[codes].astype(np.int64)
-            of_rare = np.zeros((len(rare), STATES))
-            for tokens, gamma, _, _ in model.posteriors(cls, lengths):
-                x = np.stack([np.bincount(codes[tokens], gamma[:, k], hot + len(rare)) for k in range(STATES)], 1)
-                held += x[:hot]
-                of_rare += x[hot:]
+            cls, x = np.concatenate([hot_cls, sizes.shared_class(rare)])[codes], np.zeros((STATES, hot + len(rare)))
+            for seen, gamma in model.posteriors(cls, lengths, codes, np.zeros((1 + STATES, STATES))):
+                for total, g in zip(x, gamma.astype(np.float64), strict=True):
+                    np.add.at(total, seen, g)
+            held += x[:, :hot]
             if len(rare):
-                for found in sums.add(rare, of_rare):
+                for found in sums.add(rare, np.ascontiguousarray(x[:, hot:].T)):
                     yield out(*found)
         for found in sums.rest():
             yield out(*found)
-        at = np.flatnonzero(held.any(1))
+        at = np.flatnonzero(held.any(0))
         for i in range(0, len(at), 1 << 17):
-            yield out(vocabulary.h[at[i : i + (1 << 17)]], held[at[i : i + (1 << 17)]])
+            yield out(hot_h[at[i : i + (1 << 17)]], held[:, at[i : i + (1 << 17)]].T)
 
     rows = texts.select("codes", "rare").mapInArrow(count, "h bigint, " + ", ".join(f"{g} float" for g in _G))
     return rows.groupBy("h").agg(*(F.sum(g).alias(g) for g in _G))
@@ -406,7 +463,7 @@ def word_states(texts: DataFrame, vocabulary: Vocabulary, model: Model) -> DataF
 
 def emissions(counts: DataFrame, states: DataFrame, total: int, distinct: int) -> tuple[DataFrame, np.ndarray]:
     """(h, c, r) with r the ratios of a word's emissions to its add-one probability, by state; and r of unknown words."""
-    rows = cut(counts.join(states, "h", "left").select("h", "c", *(F.coalesce(g, F.lit(0.0)).alias(g) for g in _G)))
+    rows = stored(counts.join(states, "h", "left").select("h", "c", *(F.coalesce(g, F.lit(0.0)).alias(g) for g in _G)))
     sums = rows.agg(*(F.sum(g) for g in _G)).first()
     share = np.array([x or 0.0 for x in sums]) + 1e-9
     share /= share.sum()
@@ -416,21 +473,20 @@ def emissions(counts: DataFrame, states: DataFrame, total: int, distinct: int) -
     return rows.select("h", "c", F.array(*((x / F.lit(float(n))).cast("float") for x, n in zip(told, norm, strict=True))).alias("r")), share / norm
 
 
-def _score(texts: DataFrame, table: tuple[np.ndarray, np.ndarray], unknown: np.ndarray, model: Model) -> DataFrame:
+def _score(texts: DataFrame, table: Broadcast, unknown: np.ndarray, start: np.ndarray, move: np.ndarray, bounds: Sizes) -> DataFrame:
     """Scores of coded texts with found, the known ones of their rarer words; emissions are relative to add-one ones."""
     kind = texts.schema["id"].dataType.simpleString()
-    hot_c, hot_r = table
-    hot = len(hot_c)
 
     def run(batches):
-        log_hot = np.log10(hot_c + 1.0)
+        hot_c, hot_r = table.value
+        hot, log_hot = len(hot_c), np.log10(hot_c + 1.0)
         for batch in batches:
             found = batch.column("found").flatten()
             at, c = found.field("at").to_numpy(), found.field("c").to_numpy()
             r = found.field("r").flatten().to_numpy().reshape(-1, STATES)
             known_of = np.diff(batch.column("found").offsets.to_numpy())
             row = 0
-            for part, codes, lengths, rare in _read([batch], hot, model.sizes.together):
+            for part, codes, lengths, rare in _read([batch], hot, bounds.together):
                 sizes = np.diff(part.column("rare").offsets.to_numpy())
                 lo, hi = int(known_of[:row].sum()), int(known_of[: row + part.num_rows].sum())
                 place = np.repeat(np.cumsum(sizes) - sizes, known_of[row : row + part.num_rows]) + at[lo:hi]
@@ -443,10 +499,10 @@ def _score(texts: DataFrame, table: tuple[np.ndarray, np.ndarray], unknown: np.n
                 known[hot + place] = 1
                 begin = np.cumsum(lengths) - lengths
                 inner = np.zeros(len(lengths))
-                runs = Runs(codes, lengths, emit, model.start, model.move, False, model.sizes)
+                runs = Runs(codes, lengths, emit, start, move, False, bounds)
                 for which, tokens in runs.groups():
                     lay = Layout(runs.lengths[which])
-                    _, scale = forward(lay.by_time(codes[tokens]), emit, runs.before[which][lay.order], model.move, lay)
+                    _, scale = forward(lay.by_time(codes[tokens]), emit, runs.before[which][lay.order], move, lay)
                     ends = np.cumsum(runs.lengths[which])
                     np.add.at(inner, runs.sequence[which], np.add.reduceat(np.log10(scale)[lay.place], ends - runs.lengths[which]))
                 columns = [pa.array(np.add.reduceat(known[codes], begin)), pa.array(np.add.reduceat(logs[codes], begin)), pa.array(inner)]
@@ -460,11 +516,14 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", modulus: int
     docs = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), (remainder(key, modulus) == held).alias("held_out"))
     counts = cut(word_counts(docs.filter(~F.col("held_out"))))
     vocabulary = Vocabulary(counts, sizes)
-    texts = stored(coded(docs, vocabulary))
+    with _shared(docs, (vocabulary.keys, vocabulary.sorted)) as known:
+        texts = stored(coded(docs, known))
     training = texts.filter(~F.col("held_out"))
     model = train(training, vocabulary, rounds)
     total, distinct = vocabulary.total, vocabulary.distinct
-    told, unknown = emissions(counts, word_states(training, vocabulary, model), total, distinct)
+    with _shared(docs, (vocabulary.h, vocabulary.cls)) as words_of:
+        told, unknown = emissions(counts, word_states(training, words_of, model), total, distinct)
+    swept(docs)
     hot = told.filter(vocabulary.frequent()).toArrow()
     c, h = hot.column("c").to_numpy(), hot.column("h").to_numpy().astype(np.int64).view(np.uint64)
     order = np.lexsort((h, -c))
@@ -472,6 +531,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", modulus: int
     asked = texts.select("row", F.posexplode("rare").alias("at", "h"))
     found = asked.join(told.filter(~vocabulary.frequent()), "h").groupBy("row").agg(F.collect_list(F.struct("at", "c", "r")).alias("found"))
     empty = F.array().cast("array<struct<at:int,c:bigint,r:array<float>>>")
-    rows = _score(texts.join(found, "row", "left").withColumn("found", F.coalesce("found", empty)), (c[order], r), unknown, model)
+    table = docs.sparkSession.sparkContext.broadcast((c[order], r))  # tasks of the result read it
+    rows = _score(texts.join(found, "row", "left").withColumn("found", F.coalesce("found", empty)), table, unknown, model.start, model.move, sizes)
     base = F.col("base") - F.col("n_tokens") * F.log10(F.lit(float(total + distinct + 1)))
     return rows.select(F.col("id").alias(key), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("inner") + base).alias("score"))

@@ -4,6 +4,7 @@ import collections
 import gzip
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -269,6 +270,48 @@ def test_runs_change_nothing():
         model = hmm.Model.of_counts(whole, unigram, sizes)
 
 
+def test_passes_leave_no_copies(spark, monkeypatch):
+    """Words that tasks hold are sent as values, removed after use; within a function, each pass left a copy on each executor's disk."""
+    sent, send = [], type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: sent.append((value, got := send(self, value))) or got)
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(1500))) for i in range(60)]
+    got = hmm.score(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(2), rounds=2).collect()
+    assert len(got) == 60 and all(math.isfinite(r.score) for r in got)
+    assert not [len(v) for v, _ in sent if isinstance(v, bytes)]
+    assert sum(x.nbytes for v, _ in sent if isinstance(v, tuple) for x in v) > 1 << 20
+    assert [os.path.exists(b._path) for _, b in sent] == [False] * (len(sent) - 1) + [True]
+
+
+def test_parts_of_steps_change_nothing(monkeypatch):
+    """State probabilities are those of plain loops, however few tokens are worked on at once."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    sizes = hmm.Sizes()
+    unigram = rng.uniform(1, 9, sizes.classes)
+    model = hmm.Model.first(unigram / unigram.sum(), sizes)
+    lengths = np.array([3, 1, 12, 12, 7, 2])
+    cls, ids = rng.integers(0, sizes.classes, lengths.sum()), np.arange(lengths.sum())
+    want, begin = np.zeros((len(cls), hmm.STATES)), 0
+    for n in lengths:
+        e = model.emit[cls[begin : begin + n]]
+        a, b = [model.start * e[0]], [np.ones(hmm.STATES)]
+        for i in range(1, n):
+            a.append(a[-1] @ model.move * e[i])
+            b.append(model.move @ (e[n - i] * b[-1]))
+        g = np.array(a) * np.array(b[::-1])
+        want[begin : begin + n] = g / g.sum(1, keepdims=True)
+        begin += n
+    for ahead in (1, 5, 1 << 15):
+        monkeypatch.setattr(hmm, "AHEAD", ahead)
+        got, sums, parts = np.zeros_like(want), np.zeros((1 + hmm.STATES, hmm.STATES)), 0
+        for seen, gamma in model.posteriors(cls, lengths, ids, sums):
+            got[seen], parts = got[seen] + gamma.T, parts + 1
+        assert got == pytest.approx(want, rel=1e-3, abs=1e-5) and parts == (12 if ahead == 1 else parts) and (parts == 1) == (ahead == 1 << 15)
+        firsts = want[np.cumsum(lengths) - lengths].sum(0)
+        assert sums[0] == pytest.approx(firsts, rel=1e-3) and sums[1:].sum() == pytest.approx(lengths.sum() - len(lengths), rel=1e-5)
+
+
 def test_trigrams_in_pieces():
     import numpy as np
 
